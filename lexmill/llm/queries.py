@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontam, lm, secrets, simhash, toxicity
+from lexmill.llm import chat, decontam, lm, mixing, oracles, secrets, simhash, syncmers, toxicity, urls, warc
+
+#: Tools that conversations may call, with the schemas of their arguments.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "additionalProperties": False},
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}},
+    "weather": {"type": "object", "required": ["city"], "properties": {"city": {"type": "string"}, "unit": {"enum": ["C", "F"]}}},
+}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +25,34 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(_table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -35,8 +62,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_secrets, op7_decontamination, op9_toxicity, op10_lm_scoring)}
+    own = (op1_simhash, op2_warc, op3_secrets, op4_mixing, op5_url_filter, op6_syncmers, op7_decontamination, op8_tool_calls, op9_toxicity, op10_lm_scoring)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": oracles.WARC, "op4_mixing": mixing.oracle(), "op5_url_filter": oracles.url_filter(urls.RULES), "op7_decontamination": oracles.DECONTAMINATION}
