@@ -1,25 +1,480 @@
-"""The registered queries of the analytics operators, each with its DuckDB equivalent where SQL can express it."""
+"""The registered queries of the analytics operators, each with its DuckDB equivalent where SQL can express it.
+
+The driver's documents hold no CJK text, so character classes are letters here; the operators default to CJK.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions import scores as S
+from lexmill.functions import text as X
+from lexmill.operators import convert, html, ngrams, phrases, segment, stats, suffix, train, vectors
 from lexmill.session import table
+from lexmill.sources import corpora, dictionaries
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "char_ngram_top"
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
 
 
-def char_ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", "")).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "word").limit(100)
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"char_ngram_top": char_ngram_top}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _r(c: Column | str) -> Column:
+    """Six digits, without a negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: _r(c) for c in columns})
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of one small file dealt to all cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _chars_sql(source: str, text: str, ahead: int) -> str:
+    """SQL: a row a character with the next ones as a1, a2, .. (null behind the end) and the one before as b1."""
+    rows = f"SELECT d, unnest(string_split(t, '')) AS ch, unnest(range(1, length(t) + 1)) AS p FROM (SELECT row_number() OVER () AS d, {text} AS t FROM {source} WHERE length({text}) > 0)"
+    leads = "".join(f", lead(ch, {i}) OVER w AS a{i}" for i in range(1, ahead + 1))
+    return f"SELECT d, p, ch, lag(ch) OVER w AS b1{leads} FROM ({rows}) WINDOW w AS (PARTITION BY d ORDER BY p)"
+
+
+def _grams(source: str, text: str, low: int, high: int) -> str:
+    """SQL: every substring of low..high characters as column word."""
+    each = " UNION ALL ".join("SELECT " + " || ".join(["ch", *(f"a{i}" for i in range(1, n))]) + " AS word FROM x" for n in range(low, high + 1))
+    return f"WITH x AS ({_chars_sql(source, text, high - 1)}) SELECT word FROM ({each}) WHERE word IS NOT NULL"
+
+
+def _short_grams(source: str, text: str) -> str:
+    """SQL: every substring of short texts."""
+    one = f"list_transform(range(1, length({text}) + 1), lambda l: list_transform(range(1, length({text}) - l + 2), lambda p: substring({text}, p, l)))"
+    return f"SELECT unnest(flatten({one})) AS word FROM {source}"
+
+
+def _model_sql(source: str, text: str, breaks: str = "[ \\r\\n]", high: int = 4) -> str:
+    chunks = f"SELECT chunk, count(*) AS times FROM (SELECT unnest(string_split_regex({text}, '{breaks}')) AS chunk FROM {source}) WHERE chunk <> '' GROUP BY chunk"
+    one = f"list_transform(range(1, {high + 1}), lambda l: list_transform(range(1, length(chunk) - l + 2), lambda p: substring(chunk, p, l)))"
+    return f"SELECT word, length(word)::INT AS len, sum(times)::BIGINT AS cnt FROM (SELECT times, unnest(flatten({one})) AS word FROM ({chunks})) GROUP BY word"
+
+
+DOC_MODEL = _model_sql("documents", "text")
+PART_MODEL = _model_sql("part", "p_name")
+
+
+def _documents_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.build_model(_spread(table(spark, sf_dir, "documents").select("text")), "text", 4)
+
+
+def _part_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.build_model(table(spark, sf_dir, "part"), "p_name", 4)
+
+
+# N-grams and word models
+@query(f"SELECT word, count(*) AS cnt FROM ({_grams('documents', 'text', 2, 2)}) GROUP BY word ORDER BY cnt DESC, word LIMIT 100")
+def char_ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent character pairs of all documents."""
+    return ngrams.top(ngrams.fixed_counts(_spread(table(spark, sf_dir, "documents").select("text")), "text", 2), 100)
+
+
+@query(DOC_MODEL)
+def trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents_model(spark, sf_dir)
+
+
+@query(f"""
+WITH m AS ({PART_MODEL}), w AS (SELECT unnest(string_split(p_type, ' ')) AS word FROM part)
+SELECT word, length(word)::INT AS len, sum(cnt)::BIGINT AS cnt
+FROM (SELECT word, floor(cnt * 0.5)::BIGINT AS cnt FROM m UNION ALL SELECT word, 1 FROM w) GROUP BY word""")
+def trie_insert_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_type", " ")).alias("word"))
+    return ngrams.add_words(ngrams.decay(_part_model(spark, sf_dir), 0.5), words)
+
+
+@query(f"SELECT count(*) + 1 AS n_nodes FROM (SELECT DISTINCT left(word, k::INT) FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM ({PART_MODEL})))")
+def trie_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.node_count(_part_model(spark, sf_dir))
+
+
+@query(f"SELECT sum(cnt)::BIGINT AS total FROM ({DOC_MODEL})")
+def trie_total_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.total_mass(_documents_model(spark, sf_dir))
+
+
+@query(f"""
+WITH g AS ({_grams("conversations", "text", 5, 5)})
+SELECT word, count(*) AS cnt FROM g GROUP BY word HAVING count(*) > 1 AND NOT regexp_matches(word, '[\\r\\n]')""")
+def repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.repeated(_spread(table(spark, sf_dir, "conversations")), "text", 5)[0]
+
+
+@query(f"SELECT coalesce(sum(cnt), 0)::BIGINT AS total FROM (SELECT count(*) AS cnt FROM ({_grams('conversations', 'text', 5, 5)}) GROUP BY word HAVING count(*) > 1)")
+def repeated_ngrams_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.repeated(_spread(table(spark, sf_dir, "conversations")), "text", 5)[1]
+
+
+@query(f"SELECT word, length(word)::INT AS len, count(*) AS cnt FROM ({_short_grams('part', 'p_name')}) GROUP BY word HAVING count(*) >= 25")
+def frequent_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.frequent_substrings(table(spark, sf_dir, "part"), "p_partkey", "p_name", 25)
+
+
+# Statistics
+@query(f"""
+SELECT len, count(*) AS uniq_cnt, round(avg(cnt), 6) + 0.0 AS mean, round(stddev_pop(cnt), 6) + 0.0 AS stddev,
+  round(sum(sqrt(cnt)), 6) + 0.0 AS sqrt_sum, round(sum(ln(cnt)), 6) + 0.0 AS log_sum FROM ({DOC_MODEL}) WHERE cnt <> 0 GROUP BY len""")
+def length_stats_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.model_length_stats(_documents_model(spark, sf_dir)), "mean", "stddev", "sqrt_sum", "log_sum")
+
+
+@query(f"""
+WITH x AS ({_chars_sql("conversations", "text", 3)}),
+g AS ({" UNION ALL ".join(f"SELECT {n} AS len, " + " || ".join(["ch", *(f"coalesce(a{i}, '')" for i in range(1, n))]) + " AS w FROM x" for n in range(1, 5))}),
+k AS (SELECT len, w, count(*) AS cnt FROM g GROUP BY len, w),
+s AS (SELECT len, cnt, sum(count(*)) OVER (PARTITION BY len ORDER BY cnt) AS upto, sum(count(*)) OVER (PARTITION BY len) AS total FROM k GROUP BY len, cnt),
+p AS (SELECT len, min(cnt) AS p01_count FROM s WHERE upto >= 0.01 * total GROUP BY len)
+SELECT len, count(*) AS uniq_cnt, round(avg(cnt), 6) + 0.0 AS mean, round(stddev_pop(cnt), 6) + 0.0 AS stddev, round(sum(sqrt(cnt)), 6) + 0.0 AS sqrt_sum,
+  round(sum(ln(cnt + 1)), 6) + 0.0 AS log_sum, any_value(p01_count) AS p01_count FROM k JOIN p USING (len) GROUP BY len""")
+def length_stats_sa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.text_length_stats(_spread(table(spark, sf_dir, "conversations")), "text", 4), "mean", "stddev", "sqrt_sum", "log_sum")
+
+
+@query(f"""
+SELECT cnt, sum(words)::BIGINT AS words FROM (SELECT cnt, count(*) AS words FROM ({DOC_MODEL}) WHERE len = 3 GROUP BY cnt
+UNION ALL SELECT unnest(range(1, 11)), 0) GROUP BY cnt""")
+def words_per_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.words_per_count(_documents_model(spark, sf_dir), 3)
+
+
+@query(f"""
+WITH m AS ({DOC_MODEL}), n AS (SELECT left(word, len - 1) AS word, cnt, sum(cnt) OVER (PARTITION BY left(word, len - 1)) AS s FROM m WHERE len > 1)
+SELECT word, round(sum(-(cnt / s) * ln(cnt / s)), 6) + 0.0 AS entropy FROM n GROUP BY word""")
+def next_char_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.next_char_entropy(_documents_model(spark, sf_dir)), "entropy")
+
+
+# Phrases
+_SIGNALS = f"""
+WITH y AS ({_chars_sql("conversations", "text", 3)}),
+o AS (SELECT {{'word': ch, 'len': 1, 'next': a1, 'prev': b1}} AS x FROM y UNION ALL SELECT {{'word': ch || a1, 'len': 2, 'next': a2, 'prev': b1}} FROM y WHERE a1 IS NOT NULL
+  UNION ALL SELECT {{'word': ch || a1 || a2, 'len': 3, 'next': a3, 'prev': b1}} FROM y WHERE a2 IS NOT NULL),
+f AS (SELECT x.word AS word, x.len AS len, count(*) AS freq FROM o GROUP BY 1, 2),
+p AS (SELECT *, freq / (SELECT sum(freq) FROM f) AS prob, ln(freq) - ln((SELECT sum(freq) FROM f)) AS lp FROM f),
+sn AS (SELECT word, c, sum(c) OVER (PARTITION BY word) AS s FROM (SELECT x.word AS word, x.next AS side, count(*) AS c FROM o WHERE x.next IS NOT NULL GROUP BY 1, 2)),
+sp AS (SELECT word, c, sum(c) OVER (PARTITION BY word) AS s FROM (SELECT x.word AS word, x.prev AS side, count(*) AS c FROM o WHERE x.prev IS NOT NULL GROUP BY 1, 2)),
+en AS (SELECT word, sum(-(c / s) * ln(c / s)) AS e FROM sn GROUP BY word), ep AS (SELECT word, sum(-(c / s) * ln(c / s)) AS e FROM sp GROUP BY word),
+cut AS (SELECT word, lp, unnest(range(1, len)) AS k FROM p WHERE len > 1),
+co AS (SELECT cut.word, min(cut.lp - a.lp - b.lp) AS cohesion FROM cut JOIN p a ON a.word = left(cut.word, cut.k::INT) JOIN p b ON b.word = substring(cut.word, cut.k + 1) GROUP BY cut.word),
+r AS (SELECT word, len, freq, prob, lp AS log_prob, cohesion, coalesce(en.e, 0) AS suffix_entropy, coalesce(ep.e, 0) AS prefix_entropy
+  FROM p LEFT JOIN co USING (word) LEFT JOIN en USING (word) LEFT JOIN ep USING (word) WHERE len >= 2)
+"""
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.signals(_spread(table(spark, sf_dir, "conversations")), "text", 2, 3)
+
+
+@query(_SIGNALS + """SELECT word, len, freq, round(prob, 9) AS prob, round(log_prob, 6) + 0.0 AS log_prob, round(cohesion, 6) + 0.0 AS cohesion,
+round(suffix_entropy, 6) + 0.0 AS suffix_entropy, round(prefix_entropy, 6) + 0.0 AS prefix_entropy FROM r""")
+def phrase_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _rounded(_signals(spark, sf_dir), "log_prob", "cohesion", "suffix_entropy", "prefix_entropy")
+    return told.withColumn("prob", F.round("prob", 9))
+
+
+_MARKS = "[" + "".join("\\" + c if c in "-\\.?*" else c for c in X.PUNCTUATION) + "]"
+
+
+@query(_SIGNALS + f"""SELECT word, freq FROM r WHERE NOT regexp_matches(word, '{_MARKS}')
+AND cohesion - 0.5 * log_prob > 4 AND suffix_entropy > 0.5 AND prefix_entropy > 0.5""")
+def phrase_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strict = (F.col("cohesion") - 0.5 * F.col("log_prob") > 4) & (F.col("suffix_entropy") > 0.5) & (F.col("prefix_entropy") > 0.5)
+    return phrases.candidates(_signals(spark, sf_dir)).where(strict).select("word", "freq")
+
+
+@query(_SIGNALS + f"""SELECT word, freq FROM r WHERE NOT regexp_matches(word, '{_MARKS}') AND cohesion - 0.5 * log_prob > 9
+AND sqrt(prefix_entropy * (suffix_entropy + 1)) - 0.85 * log_prob > 11 AND prefix_entropy > 0.5 AND suffix_entropy > 0 AND prefix_entropy + suffix_entropy > 3""")
+def phrase_extract_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.extract(_spread(table(spark, sf_dir, "conversations")), "text", 2, 3).select("word", "freq")
+
+
+# Suffix order and lookups
+_SUFFIXES = """s AS (SELECT p_partkey, p - 1 AS pos, substring(p_name, p) AS suffix FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS p FROM part))"""
+
+
+@query(f"""
+WITH {_SUFFIXES}, r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix) - 1 AS rank, lag(suffix) OVER (PARTITION BY p_partkey ORDER BY suffix) AS b FROM s)
+SELECT p_partkey, rank, pos, coalesce(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: left(suffix, i::INT) = left(b, i::INT))), 0) AS height, false AS tied FROM r""")
+def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_array(table(spark, sf_dir, "part"), "p_partkey", "p_name", 64)
+
+
+@query(f"""
+WITH {_SUFFIXES}, w(word) AS (VALUES ('a'), ('b'), ('re'), ('green'), ('zzz'))
+SELECT word, p_partkey, count(*) FILTER (suffix < word) AS lower, count(*) FILTER (suffix < word) + count(*) FILTER (starts_with(suffix, word)) AS upper FROM s, w GROUP BY ALL""")
+def prefix_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("a",), ("b",), ("re",), ("green",), ("zzz",)], "word string")
+    return suffix.prefix_bounds(words, table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT n_name AS word FROM nation UNION SELECT unnest(['the', 'ion', 'en', 'zzzz', 'èe'])),
+g AS (SELECT word, count(*) AS c FROM ({_grams("conversations", "text", 2, 14)}) GROUP BY word)
+SELECT word, coalesce(c, 0) AS cnt FROM w LEFT JOIN g USING (word)""")
+def count_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).union(spark.createDataFrame([("the",), ("ion",), ("en",), ("zzzz",), ("èe",)], "word string"))
+    return ngrams.occurrence_counts(words, _spread(table(spark, sf_dir, "conversations")), "text")
+
+
+@query(f"""
+WITH m AS ({DOC_MODEL}), w AS (SELECT DISTINCT left(word, 3) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part))
+SELECT word, coalesce(cnt, 0) AS cnt FROM w LEFT JOIN m USING (word)""")
+def model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).select(F.left("w", F.lit(3)).alias("word")).distinct()
+    return ngrams.counts_of(words, _documents_model(spark, sf_dir))
+
+
+@query()
+def substring_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.top_residual(suffix.substring_classes(table(spark, sf_dir, "part"), "p_partkey", "p_name", 8), 20)
+
+
+@query("SELECT ch, (row_number() OVER (ORDER BY ch) - 1)::INT AS idx FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0)")
+def char_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.char_index(_spread(table(spark, sf_dir, "documents").select("text")), "text")
+
+
+# Cleaning
+@query(r"""
+SELECT doc_id, regexp_replace(text, '[^\p{L}]+', ' ', 'g') AS spaced, regexp_replace(text, '[^\p{L}]+', '', 'g') AS removed,
+  regexp_replace(text, '[\p{Cc}\p{Zs}]+', '', 'g') AS plain, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters, regexp_matches(text, '[\x{4e00}-\x{9fff}]') AS has_cjk FROM documents""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", X.preprocess(t, "space", X.LETTERS).alias("spaced"), X.preprocess(t, "remove", X.LETTERS).alias("removed"), X.drop_controls(t).alias("plain"),
+        X.class_length(t, X.LETTERS).alias("n_letters"), X.has_class(t).alias("has_cjk"),
+    )
+
+
+@query(r"""
+WITH l AS (SELECT page_id::VARCHAR || ':' || (page_id * 7) || ':' || url AS line FROM pages UNION ALL SELECT 'plain ' || page_id FROM pages),
+t AS (SELECT CASE WHEN regexp_matches(line, '^[^:]*:[^:]*:') THEN regexp_extract(line, '^[^:]*:[^:]*:(.*)$', 1) ELSE line END AS title FROM l)
+SELECT title FROM t WHERE title NOT IN (SELECT 'plain ' || page_id FROM pages WHERE page_id % 2 = 0)""")
+def title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    lines = pages.select(F.concat_ws(":", "page_id", F.col("page_id") * 7, "url").alias("v")).union(pages.select(F.concat(F.lit("plain "), F.col("page_id").cast("string"))))
+    black = pages.where("page_id % 2 = 0").select(F.concat(F.lit("plain "), F.col("page_id").cast("string")).alias("title"))
+    return corpora.without_titles(lines.select(X.index_title(F.col("v")).alias("title")), black)
+
+
+@query("SELECT p_partkey, 'https://zh.wikipedia.org/zh-tw/' || url_encode(replace(p_name, ' ', '_')) AS url FROM part")
+def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", X.page_url(F.col("p_name")).alias("url"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(text || ' [1] [a 9] [ab] []', '[ \n\r]+', ' ', 'g'), '\[[\p{L}\p{Nd}]\s*\p{Nd}*\]', '', 'g') AS text FROM conversations""")
+def tidy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.concat("text", F.lit(" [1] [a 9] [ab] []"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.drop_citations(X.collapse_blanks(marked)).alias("text"))
+
+
+@query()
+def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"), "html", html.GENERIC).drop("html")
+
+
+# Dictionaries
+_ENTRIES = "e AS (SELECT p_partkey AS line, p_brand || ' ' || p_size AS key, string_split(p_name, ' ') AS vals FROM part)"
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.concat_ws(" ", "p_brand", "p_size").alias("key"), F.split("p_name", " ").alias("values"))
+
+
+@query(f"WITH {_ENTRIES} SELECT key, array_to_string(arg_max(vals, line), ' ') AS vals FROM e GROUP BY key")
+def merge_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionaries.merge(_entries(spark, sf_dir)).select("key", F.array_join("values", " ").alias("vals"))
+
+
+@query(f"""
+WITH {_ENTRIES}, x AS (SELECT line, key, unnest(vals) AS value FROM e), y AS (SELECT value, key, min(line) AS o FROM x GROUP BY value, key)
+SELECT value AS key, string_agg(key, '|' ORDER BY o, key) AS vals FROM y GROUP BY value""")
+def reverse_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionaries.reverse(_entries(spark, sf_dir)).select("key", F.array_join("values", "|").alias("vals"))
+
+
+@query(f"WITH {_ENTRIES}, x AS (SELECT key, unnest(vals) AS value FROM e) SELECT key, value FROM x WHERE contains(value, 're')")
+def find_dictionary_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionaries.find_values(_entries(spark, sf_dir), "re")
+
+
+_LEXICON = """l AS (SELECT DISTINCT 0 AS dict, left(p_name, 4) AS key, 'short ' || left(p_name, 4) AS v FROM part UNION ALL SELECT DISTINCT 1, left(p_name, 4), 'again' FROM part UNION ALL SELECT DISTINCT 1, left(p_name, 9), 'long ' || left(p_name, 9) FROM part)"""
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    head = lambda n, v: part.select(F.left("p_name", F.lit(n)).alias("key")).distinct().select("key", F.array(v).alias("values"))
+    return dictionaries.group_lexicon([head(4, F.concat(F.lit("short "), "key")), head(4, F.lit("again")).unionByName(head(9, F.concat(F.lit("long "), "key")))])
+
+
+@query(f"""
+WITH {_LEXICON}, t AS (SELECT DISTINCT p_name AS text FROM part), h AS (SELECT text, len, left(text, len::INT) AS key FROM (SELECT text, unnest(range(1, length(text) + 1)) AS len FROM t))
+SELECT text, len::INT AS len, key, arg_min(v, dict) AS value, min(dict) AS dict FROM h JOIN l USING (key) GROUP BY ALL""")
+def all_prefix_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "part").select("p_name").distinct()
+    return dictionaries.prefix_matches(texts, "p_name", _lexicon(spark, sf_dir)).select("text", "len", "key", F.col("values")[0].alias("value"), "dict")
+
+
+@query(f"""
+WITH {_LEXICON}, t AS (SELECT DISTINCT p_name AS text FROM part)
+SELECT text, arg_min(key, dict * 1000 - length(key)) AS key, arg_min(v, dict * 1000 - length(key)) AS value FROM t JOIN l ON starts_with(text, key) GROUP BY text""")
+def longest_prefix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "part").select("p_name").distinct()
+    return dictionaries.longest_prefix(texts, "p_name", _lexicon(spark, sf_dir)).select("text", "key", F.col("values")[0].alias("value"))
+
+
+def _converter(spark: SparkSession, sf_dir: str) -> convert.Converter:
+    """A dictionary of the nations' names: phrases first, single letters in a second step."""
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    phrases_ = {n[:4]: [n[:4].lower()] for n in names}
+    return convert.Converter([phrases_], [[phrases_, {"A": ["4"], "I": ["1"]}], [{"a": ["@"]}]])
+
+
+@query()
+def maxmatch_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _converter(spark, sf_dir)
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(convert.segments(spark, F.col("n_name"), own), "/").alias("words"))
+
+
+@query()
+def convert_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _converter(spark, sf_dir)
+    return table(spark, sf_dir, "customer").select("c_custkey", convert.convert(spark, F.upper("c_mktsegment"), own).alias("text"))
+
+
+# Scores, segmentation, training
+_BASE = "(SELECT sum(length(regexp_replace(p_name, '[^\\p{L}]+', '', 'g'))) FROM part)::DOUBLE"
+
+
+def _scored(spark: SparkSession, sf_dir: str, names: list[str], custom: dict[str, str] | None = None) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    model = _part_model(spark, sf_dir)
+    base = part.agg(F.sum(X.class_length(F.col("p_name"), X.LETTERS))).first()[0]
+    asked = model.select("word").union(part.select(F.concat(F.left("p_type", F.lit(3)), F.lit("q")).alias("word")))
+    return S.score_table(asked, model, stats.model_length_stats(model), stats.next_char_entropy(model), float(base), names, custom)
+
+
+_SCORED = f"""
+WITH m AS ({PART_MODEL}),
+st AS (SELECT len, avg(cnt) AS mean, stddev_pop(cnt) AS sd, sum(sqrt(cnt)) AS sq, sum(ln(cnt)) AS lg FROM m GROUP BY len),
+en0 AS (SELECT left(word, len - 1) AS word, cnt, sum(cnt) OVER (PARTITION BY left(word, len - 1)) AS s FROM m WHERE len > 1),
+en AS (SELECT word, sum(-(cnt / s) * ln(cnt / s)) AS e FROM en0 GROUP BY word),
+a AS (SELECT word FROM m UNION SELECT left(p_type, 3) || 'q' FROM part),
+t AS (SELECT a.word, length(a.word)::INT AS len, coalesce(cnt, 0) AS cnt, mean, sd, sq, lg, coalesce(e, 0) AS e, {_BASE} AS n
+  FROM a LEFT JOIN m USING (word) LEFT JOIN st ON st.len = length(a.word) LEFT JOIN en ON en.word = a.word),
+"""
+_FINITE = "CASE WHEN isinf({0}) THEN -1e9 ELSE round({0}, 6) + 0.0 END"
+
+
+@query(_SCORED + """
+u AS (SELECT *, CASE WHEN cnt > 0 THEN ln(cnt / (n - len + 1)) ELSE -1e9 END AS "CdL", CASE WHEN cnt > 0 THEN ln(cnt / mean) ELSE -1e9 END AS "CdM",
+  CASE WHEN sd > 0 THEN (cnt - mean) / sd ELSE 0 END AS dev, CASE WHEN cnt > 0 THEN ln(sqrt(cnt) / (sq / (n / mean))) ELSE -1e9 END AS "sqCdS",
+  CASE WHEN cnt > 1 THEN ln(greatest(4.94e-324, ln(cnt) / (lg / (n / mean)))) ELSE ln(4.94e-324) END AS "lnCdS" FROM t)
+SELECT word, len, cnt, round("CdL", 6) + 0.0 AS "CdL", round("CdM", 6) + 0.0 AS "CdM", CASE WHEN cnt > 0 THEN round("CdM" * len, 6) + 0.0 ELSE -1e9 END AS "CxLdM", round(dev, 6) + 0.0 AS "CmMdSTDE",
+  round("sqCdS", 6) + 0.0 AS "sqCdS", CASE WHEN cnt > 0 THEN round("sqCdS" * len, 6) + 0.0 ELSE -1e9 END AS "sqCxLdS", round("lnCdS", 6) + 0.0 AS "lnCdS", round("lnCdS" * len, 6) + 0.0 AS "lnCxLdS",
+  round(len / (1 + exp(-dev)), 6) + 0.0 AS "Sigmoid", round(e, 6) + 0.0 AS "Entropy", round(e * len, 6) + 0.0 AS "Entropy_L" FROM u""")
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [s for s in S.SCORES if s != "Hank"]
+    told = _scored(spark, sf_dir, names)
+    finite = {s: F.when(F.col(s) == float("-inf"), F.lit(-1e9)).otherwise(_r(s)) for s in names}
+    return told.withColumns(finite)
+
+
+def _hank_sql() -> str:
+    c = lambda a, k: f"coalesce(m[substring(word, {a}, {k})], 0)::DOUBLE"
+    q = lambda x, y: f"(CASE WHEN {c(*y)} > 0 THEN {c(*x)} / {c(*y)} ELSE 0 END)"
+    free = lambda n: " * ".join(f"({c(a, 1)} / n)" for a in range(1, n + 1))
+    chain = lambda n, o: " * ".join([f"({c(1, 1)} / n)", *(q((s := max(1, e - o), e - s + 1), (s, e - s)) for e in range(2, n + 1))])
+    h = f"CASE len WHEN 1 THEN cnt / n WHEN 2 THEN {free(2)} + cnt / n WHEN 3 THEN {free(3)} + {chain(3, 1)} + 0.05 * cnt / n WHEN 4 THEN {free(4)} + {chain(4, 1)} + 0.05 * {chain(4, 2)} + 0.0001 * cnt / n ELSE 0 END"
+    return _SCORED + f"mm AS (SELECT map(list(word), list(cnt)) AS m FROM m) SELECT word, len, cnt, round(ln(greatest({h}, 1e-300)), 6) + 0.0 AS \"Hank\" FROM t, mm"
+
+
+@query(_hank_sql())
+def hank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scored(spark, sf_dir, ["Hank"]), "Hank")
+
+
+@query(_SCORED + "u AS (SELECT *, len * cnt / (mean + 1) + e AS score FROM t) SELECT word, len, cnt, round(score, 6) + 0.0 AS score FROM u")
+def custom_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scored(spark, sf_dir, [], {"score": "L * C / (M + 1) + E"}), "score")
+
+
+def _segmented(spark: SparkSession, sf_dir: str, score: str, expression: str | None = None) -> DataFrame:
+    chunks = table(spark, sf_dir, "documents").select(F.explode(X.chunks(F.regexp_replace("text", "[^\\p{L}]+", " "))).alias("chunk"))
+    counted = chunks.groupBy("chunk").agg(F.count("*").alias("times"))
+    model = _part_model(spark, sf_dir)
+    scores = train.scored_words(model, counted, 1e5, score, expression)
+    return segment.segment(counted, scores)
+
+
+@query()
+def segment_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "Sigmoid").select("chunk", "times", segment.joined(F.col("words")).alias("words"))
+
+
+@query()
+def segment_dp_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmented(spark, sf_dir, "custom", "ln(C + 1) * L - 1").select("chunk", "times", segment.joined(F.col("words")).alias("words"))
+
+
+@query()
+def segmented_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.identified(segment.word_rows(_segmented(spark, sf_dir, "CxLdM")))
+
+
+@query()
+def train_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train.iterate(_part_model(spark, sf_dir), table(spark, sf_dir, "part").select("p_name"), "p_name", 2, 0.5, char_class=X.LETTERS)
+
+
+# Vectors
+_INTS = "v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x * 100)::BIGINT) AS a, list_transform(list_reverse(embedding), lambda x: round(x * 50)::BIGINT) AS b FROM embeddings)"
+
+
+def _ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    whole = lambda c, k: F.transform(c, lambda x: F.round(x * F.lit(k).cast("float")).cast("bigint"))
+    return e.select("vec_id", whole(F.col("embedding"), 100).alias("a"), whole(F.reverse("embedding"), 50).alias("b"))
+
+
+@query(f"WITH {_INTS} SELECT vec_id, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] + b[i]), ',') AS added, array_to_string(list_transform(a, lambda x: x + 1), ',') AS raised, a = b AS same FROM v")
+def vector_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    v = _ints(spark, sf_dir)
+    return v.select("vec_id", text(vectors.add(F.col("a"), F.col("b"))).alias("added"), text(vectors.increment(F.col("a"))).alias("raised"), vectors.equal(F.col("a"), F.col("b")).alias("same"))
+
+
+@query(f"""
+WITH {_INTS}, x AS (SELECT vec_id, unnest(range(1, len(a) + 1)) AS i, a, b FROM v), y AS (SELECT vec_id, i, unnest(range(1, len(b) + 1)) AS j, a, b FROM x)
+SELECT vec_id, (i + j - 2)::INT AS k, sum(a[i] * b[j])::BIGINT AS value FROM y GROUP BY ALL""")
+def convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ints(spark, sf_dir).select("vec_id", F.posexplode(vectors.convolve(F.col("a"), F.col("b"))).alias("k", "value"))
