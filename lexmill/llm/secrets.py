@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns and a randomness test battery, as DataFrame expressions throughout.
 
 Base spans come from three patterns. The method adds spans: maximal runs of token characters of 20 or more are given an
-encoding (hex, base32, base36, base62, base64) by the smallest alphabet that holds them, and tested for randomness over
+encoding (hex, letters of one case, base32, base36, base62, base64) by the smallest alphabet that holds them, and tested for randomness over
 it: chi-squared uniformity of the characters, the number of runs above and below the alphabet's middle, and the lag-1
 serial correlation. Each statistic becomes a two-sided (for chi-squared upper-sided) p-value of the hypothesis "drawn
 uniformly"; three times the smallest is the token's. Within each stratum of encoding and length class the
@@ -24,21 +24,22 @@ HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 MIN_TOKEN = 20
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_TOKEN},}}+={{0,2}}"
-#: Name, pattern, characters in order of value.
+#: Name, pattern, characters in order of value, and how far words and names in it stray from uniform:
+#: sum((p - u)^2 / u) is about this at least, as letters of text repeat at a rate of 0.06.
 ENCODINGS = (
-    ("hex", "[0-9a-f]+", "0123456789abcdef"),
-    ("HEX", "[0-9A-F]+", "0123456789ABCDEF"),
-    ("base32", "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "[0-9a-z]+", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("BASE36", "[0-9A-Z]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "[0-9A-Za-z]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "[A-Za-z0-9+/]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
-    ("mixed", "[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
+    ("hex", "[0-9a-f]+", "0123456789abcdef", 1.0),
+    ("HEX", "[0-9A-F]+", "0123456789ABCDEF", 1.0),
+    ("lower", "[a-z]+", "abcdefghijklmnopqrstuvwxyz", 0.56),
+    ("UPPER", "[A-Z]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.56),
+    ("base32", "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.92),
+    ("base36", "[0-9a-z]+", "0123456789abcdefghijklmnopqrstuvwxyz", 1.16),
+    ("BASE36", "[0-9A-Z]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.16),
+    ("base62", "[0-9A-Za-z]+", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 2.72),
+    ("base64", "[A-Za-z0-9+/]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2.84),
+    ("base64url", "[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 2.84),
+    ("mixed", "[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 2.96),
 )
-Q, POWER, BINS, BINS_PER_E = 0.05, 2.0, 400, 10
-#: How far letters of text stray from uniform: sum((p - u)^2 / u) is at least this in the alphabets above.
-STRAY = 0.5
+Q, POWER, BINS, BINS_PER_E = 0.05, 3.0, 400, 10
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0, value: int = 0) -> Column:
@@ -77,12 +78,13 @@ def _normal_upper(z: Column) -> Column:
 
 def battery(token: Column) -> Column:
     """struct(encoding, size, chi, runs, serial, p) of one whole token."""
-    name, letters = F.lit(None).cast("string"), F.lit("")
-    for n, pattern, alphabet in reversed(ENCODINGS):
+    name, letters, stray = F.lit(None).cast("string"), F.lit(""), F.lit(0.0)
+    for n, pattern, alphabet, far in reversed(ENCODINGS):
         fits = token.rlike(f"^(?:{pattern})$")
         name, letters = F.when(fits, F.lit(n)).otherwise(name), F.when(fits, F.lit(alphabet)).otherwise(letters)
+        stray = F.when(fits, F.lit(far)).otherwise(stray)
     codes = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1)
-    return _tests(F.struct(name.alias("encoding"), letters.alias("letters"), codes.alias("codes")))
+    return _tests(F.struct(name.alias("encoding"), letters.alias("letters"), stray.alias("stray"), codes.alias("codes")))
 
 
 def _tests(given: Column) -> Column:
@@ -112,7 +114,7 @@ def _tests(given: Column) -> Column:
         p_runs = F.when(var > 0, 2 * _normal_upper(F.abs((turns - expected) / F.sqrt(F.when(var > 0, var))))).otherwise(F.lit(0.0))
         p_serial = 2 * _normal_upper(F.abs(lagged / spread))
         p = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
-        power = (n * STRAY) / F.sqrt(2 * free)
+        power = n * g["stray"] / F.sqrt(2 * free)
         return F.struct(g["encoding"].alias("encoding"), n.cast("int").alias("size"), power.alias("power"), p_chi.alias("chi"), p_runs.alias("runs"), p_serial.alias("serial"), p.alias("p"))
 
     return bind(given, told)
