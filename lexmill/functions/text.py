@@ -128,7 +128,7 @@ def transcode_any(data: Column, source: str, target: str) -> Column:
 
 def truncate_bytes(text: Column, n: int) -> Column:
     """The longest head of whole characters that takes at most n bytes of UTF-8."""
-    return F.regexp_replace(F.decode(F.substring(text.cast("binary"), 1, n), "UTF-8"), "\uFFFD+$", "") if n else F.lit("")
+    return F.regexp_replace(F.make_valid_utf8(F.substring(text.cast("binary"), 1, n).cast("string")), "\uFFFD+$", "") if n else F.lit("")
 
 
 def common_prefix_length(a: Column, b: Column, whole_is_zero: bool = False) -> Column:

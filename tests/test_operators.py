@@ -188,7 +188,7 @@ def test_conversion():
     assert convert.replace_longest("鼠标克罗地亚", [(PHRASES, 2), (TAIWAN, 4)]) == "鼠標克羅埃西亞"
     chain = convert.Converter([{"里面": ["裏面"]}], [[{"里面": ["裏面"]}], [{"裏": ["裡"]}]])
     assert chain.convert("里面") == "裡面"
-    text = '{"segmentation": {"type": "mmseg", "dict": {"type": "inline", "entries": {"燕燕": "燕燕", "于归": "于歸"}}}, "conversion_chain": [{"type": "group", "dicts": [{"type": "inline", "entries": {"燕燕于飞": "燕燕于飛", "之子于归": "之子于歸"}}, {"type": "inline", "entries": {"飞": "飛", "归": "歸", "远": "遠"}}]}]}'
+    text = '{"segmentation": {"type": "mmseg", "dict": {"type": "inline", "entries": {"燕燕": "燕燕", "于归": "于歸"}}}, "conversion_chain": [{"dict": {"type": "group", "dicts": [{"type": "inline", "entries": {"燕燕于飞": "燕燕于飛", "之子于归": "之子于歸"}}, {"type": "inline", "entries": {"飞": "飛", "归": "歸", "远": "遠"}}]}}]}'
     assert convert.converter(text).convert("燕燕于飞差池其羽之子于归远送于野") == "燕燕于飛差池其羽之子于歸遠送于野"
     with pytest.raises(D.InvalidFormat, match="missing"):
         D.read_config("{}")
