@@ -5,16 +5,18 @@ p(w | v) = a_b c(v w) / c(v) + (1 - a_b) [ u c(w) / N + (1 - u) q(w) ] in outlin
 context's frequency (powers of two). The weights are learned by expectation-maximisation on the counts of held-out
 training documents, whose estimates come from the remaining training documents; final counts cover all training documents.
 
-Counts are never gathered in one place. Texts are packed into chunks of token indices with the sorted distinct 64-bit
-keys of their unigrams and bigrams; keys travel as delta-coded, compressed blocks by hash range, each range sums its
-blocks and answers each block, and chunks are scored beside their answers. A frequent word costs one key a chunk.
+Counts are never gathered in one place. Texts are packed into chunks: a file of token numbers, and the sorted distinct
+keys of the chunk's words (64 bits) and word pairs. Keys travel as compressed differences by hash range; each range sums
+its blocks and answers each block in the block's order, and a chunk is scored beside its answers. A frequent word costs
+one key a chunk, and only keys and counts are shuffled. Pair keys have 20 bits more than the logarithm of the estimated
+number of tokens (64 at most), so about one pair in a million shares its key with another; word keys are whole.
 The expectation step reads a histogram of quantised probability ratios of fixed size.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,191 +28,213 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.runtime import bound_batches, crc_mod, input_bytes, materialise, release
+from lexmill.llm.runtime import bound_batches, crc_mod, input_bytes, materialise, release, scratch_path
+from lexmill.llm.warc import Output, open_read
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Tokens of a chunk; bounds a Python worker's memory.
-CHUNK_TOKENS = 1_500_000
+CHUNK_TOKENS = 4_500_000
 #: Compressed input bytes for each hash range.
 RANGE_BYTES = 12 << 20
 BUCKETS = 32
 #: Steps a binary digit of the quantised ratios, and the ratios' bounds in digits.
 GRID, SPAN = 8, 40
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", seed=1)), np.uint64(xxhash.xxh64_intdigest(b"", seed=2))
-_BLOCK = "chunk string, range int, kind int, data binary"
+_BLOCK = "chunk string, range int, data binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+    """Bytes of equal significance together, compressed."""
+    width = values.dtype.itemsize
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes(), 3)
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype=kind)
+    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted unsigned longs as differences, bytes transposed so that their leading zeros compress."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unpack_sorted(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_unpack(data, "<u8"), dtype=np.uint64)
 
 
-def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def _join(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _pair_key(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
     x = v * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)
+
 
+def _bounds(ranges: int, bits: int) -> np.ndarray:
+    return np.array([(i << bits) // ranges for i in range(ranges)], dtype=np.uint64)
 
-class _Chunk:
-    """Tokens of some documents: local word numbers, the words' hashes, and for each document its row, fold and length."""
+
+def _fields(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+class _Tokens:
+    """A chunk's tokens as ranks in the order of the words' hashes, and its documents (id, part, tokens).
+
+    part: 0 held out, 1 training, 2 training and deleted.
+    """
+
+    def __init__(self, word: np.ndarray, hashes: np.ndarray, docs: pd.DataFrame, bits: int):
+        self.word, self.hashes, self.docs = word, hashes, docs
+        n = docs["n"].to_numpy()
+        self.stops = np.cumsum(n)
+        self.starts = self.stops - n
+        self.part = np.repeat(docs["part"].to_numpy(), n)
+        self.start = int(np.searchsorted(hashes, _START))
+        before = np.roll(word, 1).astype(np.int64)
+        before[self.starts] = self.start
+        codes, self.pair = np.unique(before * len(hashes) + word, return_inverse=True)
+        keys = _pair_key(hashes[codes // len(hashes)], hashes[codes % len(hashes)], bits)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.context = before
+
+    def blocks(self, ranges: int, bits: int) -> Iterator[tuple[int, bytes]]:
+        """(range, words' and pairs' keys with their counts in training and in deleted documents)."""
+        of_docs = self.docs["part"].to_numpy()
+        counts = []
+        for least in (1, 2):
+            mask = self.part >= least
+            single = np.bincount(self.word[mask], minlength=len(self.hashes))
+            single[self.start] = (of_docs >= least).sum()
+            counts.append((single.astype(np.int32), np.bincount(self.pair[mask], minlength=len(self.keys))[self.order].astype(np.int32)))
+        cuts = [np.r_[np.searchsorted(k, _bounds(ranges, b)), len(k)] for k, b in ((self.hashes, 64), (self.keys, bits))]
+        for r in range(ranges):
+            (a, b), (c, d) = ((x[r], x[r + 1]) for x in cuts)
+            if b > a or d > c:
+                yield r, _join([_pack_sorted(self.hashes[a:b]), *(_pack(x[0][a:b]) for x in counts), _pack_sorted(self.keys[c:d]), *(_pack(x[1][c:d]) for x in counts)])
+
+    def write(self, path: str) -> None:
+        docs = zstandard.compress(pa.serialize_pandas(self.docs, preserve_index=False).to_pybytes(), 3)
+        out = Output(path)
+        out.file.write(_join([docs, _pack(self.word.astype("<i4")), _pack_sorted(self.hashes)]))
+        out.close()
+
+    @classmethod
+    def read(cls, path: str, bits: int) -> _Tokens:
+        with open_read(path) as file:
+            docs, word, hashes = _fields(file.read())
+        return cls(_unpack(word, "<i4"), _unpack_sorted(hashes), pa.deserialize_pandas(zstandard.decompress(docs)), bits)
+
+
+class _Gathering:
+    """Documents on their way into a chunk."""
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = defaultdict(itertools.count().__next__)
         self.tokens: list[np.ndarray] = []
-        self.ids: list = []
+        self.ids: list[int | None] = []
         self.parts: list[int] = []
         self.size = 0
 
-    def add(self, doc_id, part: int, text: str | None) -> None:
+    def add(self, doc_id: int | None, part: int, text: str | None) -> None:
         words = (text or "").encode("utf-8", "replace").lower().split()
-        number = self.number
-        self.tokens.append(np.fromiter((number[w] for w in words), dtype=np.int32, count=len(words)))
+        self.tokens.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int32, count=len(words)))
         self.ids.append(doc_id)
         self.parts.append(part)
         self.size += len(words) + 1
 
-    def blocks(self, ranges: int) -> Iterator[tuple[str, int, int, bytes]]:
-        """kind 0: the documents; kind 1: keys with their training and deleted counts."""
+    def done(self, bits: int) -> _Tokens:
         hashes = np.r_[np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.number), dtype=np.uint64, count=len(self.number)), _END, _START]
-        end, start = len(hashes) - 2, len(hashes) - 1
+        self.number.clear()
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(hashes), dtype=np.int32)
+        rank[order] = np.arange(len(hashes), dtype=np.int32)
         lengths = np.array([len(t) + 1 for t in self.tokens])
         stops = np.cumsum(lengths)
-        word = np.empty(int(stops[-1]), dtype=np.int64)
-        word[stops - 1] = end
+        word = np.empty(int(stops[-1]), dtype=np.int32)
         inner = np.ones(len(word), dtype=bool)
         inner[stops - 1] = False
-        word[inner] = np.concatenate(self.tokens)
-        before = np.roll(word, 1)
-        before[np.r_[0, stops[:-1]]] = start
-        part = np.repeat(np.array(self.parts, dtype=np.int8), lengths)
-        pairs, which = np.unique(before * len(hashes) + word, return_inverse=True)
-        pair_keys = _pair_key(hashes[pairs // len(hashes)], hashes[pairs % len(hashes)])
-        keys = np.r_[hashes, pair_keys]
-        known = np.zeros((2, len(keys)), dtype=np.int64)
-        for row, mask in enumerate((part > 0, part == 2)):
-            known[row, : len(hashes)] = np.bincount(word[mask], minlength=len(hashes))
-            known[row, start] = (np.array(self.parts) > 0).sum() if not row else (np.array(self.parts) == 2).sum()
-            known[row, len(hashes) :] = np.bincount(which[mask], minlength=len(pairs))
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(keys), dtype=np.int32)
-        place[order] = np.arange(len(keys), dtype=np.int32)
-        keys = keys[order]
-        name = xxhash.xxh64_hexdigest(repr((self.ids[:1], self.ids[-1:], self.size, len(keys))).encode() + keys[:: max(1, len(keys) // 64)].tobytes())
-        docs = zstandard.compress(pa.serialize_pandas(pd.DataFrame({"id": self.ids, "part": np.array(self.parts, dtype=np.int8), "n": lengths})).to_pybytes(), 1)
-        local = np.stack([place[: len(hashes)][word], place[len(hashes) :][which]])
-        parts = [docs, _pack(local.astype(np.int32)), _pack(np.array([place[start], len(keys)], dtype=np.int64))]
-        yield name, -1, 0, b"".join(len(x).to_bytes(8, "little") + x for x in parts)
-        # unigram keys count for N and V; a mark tells them from pairs
-        single = np.zeros(len(keys), dtype=np.int8)
-        single[place[:end]] = 1
-        single[place[end]] = 2
-        cuts = np.searchsorted(keys, _bounds(ranges))
-        for r, (lo, hi) in enumerate(itertools.pairwise([*cuts.tolist(), len(keys)])):
-            if hi > lo:
-                data = [_pack_sorted(keys[lo:hi]), _pack(known[0, order[lo:hi]].astype(np.int32)), _pack(known[1, order[lo:hi]].astype(np.int32)), _pack(single[lo:hi])]
-                yield name, r, 1, b"".join(len(x).to_bytes(8, "little") + x for x in data)
-
-
-def _bounds(ranges: int) -> np.ndarray:
-    return np.array([(i << 64) // ranges for i in range(ranges)], dtype=np.uint64)
-
+        word[stops - 1] = rank[-2]
+        word[inner] = rank[np.concatenate(self.tokens)]
+        docs = pd.DataFrame({"id": pd.array(self.ids, dtype="Int64"), "part": np.array(self.parts, dtype=np.int8), "n": lengths})
+        return _Tokens(word, hashes[order], docs, bits)
 
-def _fields(data: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(data[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
 
-
-def _chunked(ranges: int):
+def _chunked(ranges: int, bits: int, folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, salt = _Chunk(), xxhash.xxh64()
+        def flush() -> pd.DataFrame:
+            tokens = chunk.done(bits)
+            path = f"{folder}/{uuid.uuid4().hex}"
+            tokens.write(path)
+            return pd.DataFrame([(path, r, data) for r, data in tokens.blocks(ranges, bits)], columns=["chunk", "range", "data"])
+
+        chunk = _Gathering()
         for batch in batches:
             for doc_id, part, text in zip(batch["id"], batch["part"], batch["text"], strict=True):
-                chunk.add(None if pd.isna(doc_id) else doc_id, int(part), text)
+                chunk.add(None if pd.isna(doc_id) else int(doc_id), int(part), text)
                 if chunk.size >= CHUNK_TOKENS:
-                    yield _named(chunk, ranges, salt)
-                    chunk = _Chunk()
+                    yield flush()
+                    chunk = _Gathering()
         if chunk.ids:
-            yield _named(chunk, ranges, salt)
+            yield flush()
 
     return run
 
 
-def _named(chunk: _Chunk, ranges: int, salt) -> pd.DataFrame:
-    from pyspark import TaskContext
-
-    rows = list(chunk.blocks(ranges))
-    salt.update(rows[0][0].encode())
-    ctx = TaskContext.get()
-    name = f"{ctx.partitionId() if ctx else 0}-{salt.hexdigest()}"
-    return pd.DataFrame([(name, *r[1:]) for r in rows], columns=["chunk", "range", "kind", "data"])
-
-
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """One hash range: sums the counts of all chunks' blocks and answers each block in its order.
 
-    kind 2: all training counts and deleted counts of a block's keys; kind 3: the range's N, V and training documents.
+    The row of the empty chunk has the range's tokens and distinct words, of all training documents and without the
+    deleted ones.
     """
-    blocks = [(c, *_fields(d)) for c, d in zip(rows["chunk"], rows["data"], strict=True)]
-    keys = [_unpack_sorted(b[1]) for b in blocks]
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total, deleted = (np.bincount(inverse, weights=np.concatenate([_unpack(b[i], "<i4") for b in blocks]), minlength=len(every)).astype(np.int64) for i in (2, 3))
-    single = np.zeros(len(every), dtype=np.int8)
-    single[inverse] = np.concatenate([_unpack(b[4], "i1") for b in blocks])
-    r, out, at = int(rows["range"].iloc[0]), [], 0
-    for b, k in zip(blocks, keys, strict=True):
-        mine = inverse[at : at + len(k)]
-        at += len(k)
-        parts = [_pack(total[mine]), _pack(deleted[mine])]
-        out.append((b[0], r, 2, b"".join(len(x).to_bytes(8, "little") + x for x in parts)))
-    unit = single > 0
-    out.append(("", r, 3, np.array([total[unit].sum(), (total[unit] > 0).sum(), deleted[unit].sum(), (total[unit] - deleted[unit] > 0).sum()], dtype=np.int64).tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "range", "kind", "data"])
+    blocks = [_fields(d) for d in rows["data"]]
+    back: list[list[bytes]] = [[] for _ in blocks]
+    sums = np.zeros(4, dtype=np.int64)
+    for at in (0, 3):
+        keys = [_unpack_sorted(b[at]) for b in blocks]
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        stops = np.cumsum([len(k) for k in keys])[:-1]
+        both = []
+        for i in (1, 2):
+            held = np.concatenate([_unpack(b[at + i], "<i4") for b in blocks])
+            both.append(np.bincount(inverse, weights=held, minlength=len(every)).astype(np.int64))
+        if not at:
+            words = every != _START
+            total, core = both[0][words], (both[0] - both[1])[words]
+            sums = np.array([total.sum(), (total > 0).sum(), core.sum(), (core > 0).sum()], dtype=np.int64)
+        for own, mine in zip(back, np.split(inverse, stops), strict=True):
+            own += [_pack(both[0][mine]), _pack(both[1][mine])]
+    r = int(rows["range"].iloc[0])
+    out = [(c, r, _join(parts)) for c, parts in zip(rows["chunk"], back, strict=True)]
+    return pd.DataFrame([*out, ("", r, sums.tobytes())], columns=["chunk", "range", "data"])
 
 
 class _Scored:
     """A chunk beside its answers."""
 
-    def __init__(self, rows: pd.DataFrame):
-        rows = rows.sort_values("range")
-        docs, local, place = _fields(rows["data"].iloc[0])
-        self.docs = pa.deserialize_pandas(zstandard.decompress(docs))
-        self.word, self.pair = _unpack(local, "<i4").reshape(2, -1)
-        self.start, _ = _unpack(place, "<i8").tolist()
-        answers = [_fields(d) for d in rows["data"].iloc[1:]]
-        self.total = np.concatenate([_unpack(a[0], "<i8") for a in answers])
-        self.deleted = np.concatenate([_unpack(a[1], "<i8") for a in answers])
-        n = self.docs["n"].to_numpy()
-        self.stops = np.cumsum(n)
-        self.starts = self.stops - n
-        self.part = np.repeat(self.docs["part"].to_numpy(), n)
+    def __init__(self, rows: pd.DataFrame, bits: int):
+        self.t = t = _Tokens.read(rows["chunk"].iloc[0], bits)
+        answers = [_fields(d) for d in rows.sort_values("range")["data"]]
+        got = [np.concatenate([_unpack(a[i], "<i8") for a in answers]) for i in range(4)]
+        self.single, self.pairs = got[:2], []
+        for sorted_counts in got[2:]:
+            counts = np.empty_like(sorted_counts)
+            counts[t.order] = sorted_counts
+            self.pairs.append(counts)
 
     def counts(self, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """c(v w), c(v), c(w) of each token; core: without the deleted documents."""
-        c = self.total - self.deleted if core else self.total
-        of = c[self.word]
-        context = np.empty_like(of)
-        context[1:] = of[:-1]
-        context[self.starts] = c[self.start]
-        return c[self.pair], context, of
+        single, pairs = (x[0] - x[1] if core else x[0] for x in (self.single, self.pairs))
+        return pairs[self.t.pair], single[self.t.context], single[self.t.word]
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -221,12 +245,12 @@ def _base(of: np.ndarray, n: float, v: float) -> np.ndarray:
     return (of + 0.5) / (n + 0.5 * (v + 1))
 
 
-def _histogram(n: float, v: float):
+def _histogram(n: float, v: float, bits: int):
     """Held-out tokens by bucket and by the quantised log ratios of the two estimates to the base."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _Scored(rows)
-        pick = s.part == 2
+        s = _Scored(rows, bits)
+        pick = s.t.part == 2
         both, context, of = (x[pick] for x in s.counts(core=True))
         q = _base(of, n, v)
         cells = []
@@ -265,15 +289,15 @@ def expectation_maximisation(cells: np.ndarray, count: np.ndarray, rounds: int =
     return weights
 
 
-def _final(weights: np.ndarray, n: float, v: float):
+def _final(weights: np.ndarray, n: float, v: float, bits: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _Scored(rows)
+        s = _Scored(rows, bits)
         both, context, of = s.counts(core=False)
         q = _base(of, n, v)
         w = weights[_bucket(context)]
         p = w[:, 0] * np.divide(both, context, out=np.zeros(len(q)), where=context > 0) + w[:, 1] * (of / max(n, 1)) + w[:, 2] * q
-        add = lambda x: np.add.reduceat(x, s.starts)
-        return pd.DataFrame({"id": s.docs["id"].astype("Int64"), "n_tokens": s.docs["n"].astype(np.int64), "n_known": add((of > 0).astype(np.int64)), "base_score": add(np.log10(q)), "score": add(np.log10(p))})
+        add = lambda x: np.add.reduceat(x, s.t.starts)
+        return pd.DataFrame({"id": s.t.docs["id"].astype("Int64"), "n_tokens": s.t.docs["n"].astype(np.int64), "n_known": add((of > 0).astype(np.int64)), "base_score": add(np.log10(q)), "score": add(np.log10(p))})
 
     return run
 
@@ -288,17 +312,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     bound_batches(spark)
     rest = crc_mod(F.col(id_col), FOLDS)
     part = F.when(rest == HELD_OUT, 0).when(rest == DELETED, 2).otherwise(1)
-    n_ranges = ranges or int(min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // RANGE_BYTES)))
-    packed, packed_path = materialise(docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).alias("text")).mapInPandas(_chunked(n_ranges), _BLOCK), "lm-chunks")
-    answers, answers_path = materialise(packed.where("kind = 1").groupBy("range").applyInPandas(_answers, _BLOCK), "lm-answers")
+    size = input_bytes(docs)
+    n_ranges = ranges or int(min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)))
+    bits = min(64, 20 + max(20, (size // 2).bit_length()))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).alias("text"))
+    packed, packed_path = materialise(texts.mapInPandas(_chunked(n_ranges, bits, scratch_path(spark, "lm-tokens")), _BLOCK), "lm-keys")
+    answers, _ = materialise(packed.groupBy("range").applyInPandas(_answers, _BLOCK), "lm-answers")
+    release(spark, packed_path)
     sums = np.zeros(4, dtype=np.int64)
-    for r in answers.where("kind = 3").select("data").toLocalIterator():
+    for r in answers.where("chunk = ''").select("data").toLocalIterator():
         sums += np.frombuffer(r["data"], dtype=np.int64)
-    n, v, deleted_n, core_v = (int(x) for x in sums)
-    beside = packed.where("kind = 0").union(answers.where("kind = 2")).groupBy("chunk")
-    cells = beside.applyInPandas(_histogram(n - deleted_n, core_v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    n, v, core_n, core_v = (int(x) for x in sums)
+    beside = answers.where("chunk <> ''").groupBy("chunk")
+    cells = beside.applyInPandas(_histogram(core_n, core_v, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = expectation_maximisation(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float)) if len(cells) else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    scored = beside.applyInPandas(_final(weights, n, v), "id long, n_tokens long, n_known long, base_score double, score double")
+    scored = beside.applyInPandas(_final(weights, n, v, bits), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(crc_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",

@@ -46,7 +46,7 @@ def open_read(path: str):
     return system.open_input_file(inner)
 
 
-class _Output:
+class Output:
     """Written under a passing name and renamed when whole, so that a lost task leaves no half package."""
 
     def __init__(self, path: str):
@@ -216,7 +216,7 @@ def parse_record(data: bytes) -> dict:
 
 
 def write_package(path: str, records: list[tuple[int, bytes]], zip64: bool = False) -> int:
-    out = _Output(path)
+    out = Output(path)
     at, lines = 0, []
     for number, data in records:
         lines.append(json.dumps({"id": number, "offset": at, "length": len(data)}, separators=(",", ":")))
