@@ -33,7 +33,7 @@ from lexmill.llm.warc import Output, open_read
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Tokens of a chunk; bounds a Python worker's memory.
-CHUNK_TOKENS = 4_500_000
+CHUNK_TOKENS = 1_200_000
 #: Compressed input bytes for each hash range.
 RANGE_BYTES = 12 << 20
 BUCKETS = 32
