@@ -34,6 +34,7 @@ FOLDS, HELD = 5, 0
 _SPANS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _MEMO = 400_000
 WINDOW = 24
+_NONE: list = []
 
 
 def features_of(word: bytes) -> list[str]:
@@ -165,19 +166,22 @@ def _kept_features(docs: list[tuple[list[bytes], int]]) -> set[str]:
             toxic.update({f for w in set(words) for f in features_of(w)})
             for before, w, after in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
                 places.setdefault(w, set()).add(hash((before, after)))
+    need = math.log(50 * max(1, len(toxic))) / -math.log(n_toxic / len(docs))
+    toxic = Counter({f: t for f, t in toxic.items() if t >= need})
     spread: Counter[str] = Counter()
     for w, own in places.items():
         for f in features_of(w):
-            spread[f] += len(own)
-    need = math.log(50 * max(1, len(toxic))) / -math.log(n_toxic / len(docs))
-    frequent = {f for f, t in toxic.items() if t >= need and spread[f] >= need}
+            if f in toxic:
+                spread[f] += len(own)
+    del places
+    frequent = {f for f in toxic if spread[f] >= need}
     clean: Counter[str] = Counter()
     cache: dict[bytes, list[str]] = {}
     for words, label in docs:
         if not label:
             own = set(words)
             for w in own.difference(cache):
-                cache[w] = [f for f in features_of(w) if f in frequent]
+                cache[w] = [f for f in features_of(w) if f in frequent] or _NONE
             clean.update({f for w in own for f in cache[w]})
     kept = [(t, f) for f in frequent if (t := toxic[f]) >= 0.95 * (t + clean[f])]
     return {f for _, f in sorted(kept, key=lambda x: (-x[0], x[1]))[:MAX_FEATURES]}
@@ -195,7 +199,7 @@ def fit(docs: list[tuple[list[bytes], int]], rounds: int = 60, ridge: float = 1e
 
     def ids(w: bytes) -> list[int]:
         if w not in memo:
-            memo[w] = [index[f] for f in features_of(w) if f in index]
+            memo[w] = [index[f] for f in features_of(w) if f in index] or _NONE
         return memo[w]
 
     cells: list[tuple[int, int, int]] = []  # window, place, feature
@@ -287,7 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_mod(F.col(id_col), FOLDS) != HELD))
     one = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.join(F.broadcast(one), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_label").limit(2 * sample)
-    return fit([(normal_words(r["text"]), int(r["_label"] > 0)) for r in rows.toLocalIterator()])
+    once: dict[bytes, bytes] = {}  # one object a distinct word keeps the sample small on the driver
+    return fit([([once.setdefault(w, w) for w in normal_words(r["text"])], int(r["_label"] > 0)) for r in rows.toLocalIterator()])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_tox") -> DataFrame:
