@@ -53,6 +53,14 @@ def bound_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan, in bytes; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

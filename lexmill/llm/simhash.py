@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.llm.graph import connected_components
-from lexmill.llm.runtime import bound_batches, materialise, release
+from lexmill.llm.runtime import bound_batches, materialise, release, unused
 
 SEGMENTS, WIDTH, MAX_DIFF, SHINGLE, SEED = 16, 4, 3, 3, 42
 #: Members of a bucket that one task compares directly.
@@ -156,33 +156,46 @@ def near_links(fps: DataFrame, fp: str = "fp", bucket: int = BUCKET) -> DataFram
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (id, fp, component_id) per row of ``docs``; component_id is the smallest id reachable over links.
-
-    Null texts count as empty (fingerprint 0, linked like any other); repeated rows stay; a component whose ids are all
-    null has a null component_id; an empty table gives no rows. Other columns of ``docs`` are not read.
-    """
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bound_batches(docs.sparkSession)
-    fps, _ = materialise(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash-fps")
+    return materialise(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash-fps")[0]
+
+
+def _classes(fps: DataFrame) -> DataFrame:
+    """(fp, first, component_id) of each distinct fingerprint, first its own smallest id."""
     firsts, _ = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
     labels = connected_components(near_links(firsts))
     named = firsts.join(labels.withColumnRenamed("vertex", "fp"), "fp")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     told = named.join(least, "component").select("fp", "component_id")
-    classes = firsts.join(told, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    return firsts.join(told, "fp", "left").select("fp", "first", F.coalesce("component_id", "first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, fp, component_id) per row of ``docs``; component_id is the smallest id reachable over links.
+
+    Null texts count as empty (fingerprint 0, linked like any other); repeated rows stay; a component whose ids are all
+    null has a null component_id; an empty table gives no rows. Other columns of ``docs`` are not read.
+    """
+    fps = _fingerprints(docs, id_col, text_col)
+    return fps.join(_classes(fps).drop("first"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one stays for each near-duplicate component.
 
     The row with the component's smallest id stays. Of rows that share that id one stays; rows with a null id stay all.
+    Classes are never joined to rows by fingerprint, so a large group of copies meets in no task.
     """
-    classes, _ = materialise(near_duplicates(docs, id_col, text_col), "simhash-classes")
-    first = classes.where(F.col("component_id") == F.col(id_col))
-    kept = docs.join(first.select(F.col(id_col).alias("_kept")).distinct(), F.col(id_col) == F.col("_kept"), "left_semi")
-    if not first.groupBy(id_col).count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    if not classes.where(F.col(id_col).isNull()).isEmpty():
+    fps = _fingerprints(docs, id_col, text_col)
+    classes, _ = materialise(_classes(fps), "simhash-classes")
+    key, own = unused(docs, "_kept"), unused(docs, "_fp")
+    first = classes.where(F.col("component_id") == F.col("first")).select(F.col("first").alias(key), F.col("fp").alias(f"{own}_kept"))
+    if fps.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        kept = docs.join(first.select(key), F.col(id_col) == F.col(key), "left_semi")
+    else:  # rows of one id may differ in text, so the fingerprint has to fit too
+        same = (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(f"{own}_kept"))
+        kept = docs.withColumn(own, simhash(F.col(text_col))).join(first, same, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    if not fps.where("id is null").isEmpty():
         kept = kept.union(docs.where(F.col(id_col).isNull()))
     return kept
