@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.runtime import materialise
+from lexmill.llm.runtime import materialise, unused
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
@@ -193,10 +193,11 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         return F.struct(F.greatest(s["at"], x["hi"]).alias("at"), F.when(fresh, put).otherwise(s["out"]).alias("out"))
 
     cleaned = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, 2147483647)))
-    changed = docs.withColumn("_clean", F.when(text.isNotNull(), cleaned))
+    new = unused(docs, "_clean")
+    changed = docs.withColumn(new, F.when(text.isNotNull(), cleaned))
     if length_col in docs.columns:
-        changed = changed.withColumn(length_col, F.when(F.col("_clean") != text, F.length("_clean").cast("long")).otherwise(F.col(length_col)))
-    return changed.withColumn(text_col, F.col("_clean")).select(*docs.columns)
+        changed = changed.withColumn(length_col, F.when(F.col(new) != text, F.length(new).cast("long")).otherwise(F.col(length_col)))
+    return changed.withColumn(text_col, F.col(new)).select(*docs.columns)
 
 
 def _tested_runs(text: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.decontam import normal_words
-from lexmill.llm.runtime import bound_batches, crc_mod
+from lexmill.llm.runtime import bound_batches, crc_mod, unused
 
 SAMPLE_DOCS, MAX_FEATURES, AFFIX = 6_000, 20_000, range(3, 7)
 #: Labelled rows whose crc32 of the id modulo FOLDS is this are held out.
@@ -290,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_mod(F.col(id_col), FOLDS) != HELD))
     one = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(one), F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "_label").limit(2 * sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(one), F.col("id") == F.col("_id")).select("text", "_label").limit(2 * sample)
     once: dict[bytes, bytes] = {}  # one object a distinct word keeps the sample small on the driver
     return fit([([once.setdefault(w, w) for w in normal_words(r["text"])], int(r["_label"] > 0)) for r in rows.toLocalIterator()])
 
@@ -330,4 +331,5 @@ def predictions(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score under one half, as they are."""
-    return score(docs, train(docs, labels, id_col, text_col), text_col).where("_tox.score < 0.5").select(*docs.columns)
+    out = unused(docs, "_tox")
+    return score(docs, train(docs, labels, id_col, text_col), text_col, out).where(F.col(out)["score"] < 0.5).select(*docs.columns)

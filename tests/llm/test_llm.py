@@ -444,3 +444,18 @@ def test_registered(spark):
     assert [int(re.match(r"op(\d+)_", k)[1]) for k in queries.queries()] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert pd is not None
+
+
+def test_keep_one_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(3, a), (5, b), (5, a), (5, b), (7, b), (8, c), (None, c), (9, None), (10, "")]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in rows], "doc_id long, text string, _kept string, _fp int, _tox int, _clean int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, a), (5, b), (8, c), (None, c), (9, None)], key=repr)
+    once = simhash.keep_one(docs.where("doc_id in (7, 8, 9, 10)"))
+    assert sorted(r["doc_id"] for r in once.collect()) == [7, 8, 9]
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    for out in (secrets.redact(docs), toxicity.drop_toxic(docs, labels)):
+        assert [tuple(r)[2:] for r in out.collect()] == [("x", 1, 2, 3)] * len(rows)
