@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontam, mixing, secrets, simhash, toxicity
+from lexmill.llm import decontam, mixing, secrets, shingles, toxicity
 from lexmill.llm.runtime import materialise
 
 
@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component stays."""
-    return simhash.keep_one(docs)
+    """The document with the smallest id stays of each component over links of 5-word similarity of at least 0.8."""
+    return shingles.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

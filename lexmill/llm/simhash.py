@@ -10,7 +10,7 @@ up to ``BUCKET`` members by a walk that leaves a spanning forest, and larger buc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -161,14 +161,21 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp")), "simhash-fps")[0]
 
 
-def _classes(fps: DataFrame) -> DataFrame:
-    """(fp, first, component_id) of each distinct fingerprint, first its own smallest id."""
-    firsts, _ = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")
-    labels = connected_components(near_links(firsts))
+def _classes(firsts: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, first, component_id, kept) of each distinct fingerprint, first its own smallest id, kept where its row stays.
+
+    Components may share their smallest id, where that id occurs with several texts; each keeps a fingerprint of its own.
+    """
+    labels = connected_components(links)
     named = firsts.join(labels.withColumnRenamed("vertex", "fp"), "fp")
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    told = named.join(least, "component").select("fp", "component_id")
-    return firsts.join(told, "fp", "left").select("fp", "first", F.coalesce("component_id", "first").alias("component_id"))
+    least = named.where("first is not null").groupBy("component").agg(F.min(F.struct("first", "fp")).alias("least"))
+    told = named.join(least, "component").select("fp", F.col("least.first").alias("component_id"), (F.col("fp") == F.col("least.fp")).alias("kept"))
+    every = firsts.join(told, "fp", "left")
+    return every.select("fp", "first", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("kept", F.col("first").isNotNull()).alias("kept"))
+
+
+def _firsts(fps: DataFrame) -> DataFrame:
+    return materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,24 +185,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null has a null component_id; an empty table gives no rows. Other columns of ``docs`` are not read.
     """
     fps = _fingerprints(docs, id_col, text_col)
-    return fps.join(_classes(fps).drop("first"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    firsts = _firsts(fps)
+    return fps.join(_classes(firsts, near_links(firsts)).drop("first"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one stays for each near-duplicate component.
 
-    The row with the component's smallest id stays. Of rows that share that id one stays; rows with a null id stay all.
+    The row with the component's smallest id stays. Of the component's rows that share that id one stays; rows with a null id stay all.
     Classes are never joined to rows by fingerprint, so a large group of copies meets in no task.
     """
     fps = _fingerprints(docs, id_col, text_col)
-    classes, _ = materialise(_classes(fps), "simhash-classes")
+    return keep_first(docs, fps, near_links(fps), simhash, id_col, text_col)
+
+
+def keep_first(docs: DataFrame, fps: DataFrame, links: DataFrame, of: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """``keep_one`` for fingerprints (id, fp), which ``of`` makes of a text, and the links between them."""
+    classes, _ = materialise(_classes(_firsts(fps), links), "simhash-classes")
     key, own = unused(docs, "_kept"), unused(docs, "_fp")
-    first = classes.where(F.col("component_id") == F.col("first")).select(F.col("first").alias(key), F.col("fp").alias(f"{own}_kept"))
+    first = classes.where("kept").select(F.col("first").alias(key), F.col("fp").alias(f"{own}_kept"))
     if fps.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         kept = docs.join(first.select(key), F.col(id_col) == F.col(key), "left_semi")
     else:  # rows of one id may differ in text, so the fingerprint has to fit too
         same = (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(f"{own}_kept"))
-        kept = docs.withColumn(own, simhash(F.col(text_col))).join(first, same, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+        kept = docs.withColumn(own, of(F.col(text_col))).join(first, same, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     if not fps.where("id is null").isEmpty():
         kept = kept.union(docs.where(F.col(id_col).isNull()))
     return kept
