@@ -117,7 +117,7 @@ def events_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> l
     return out or [blank | {"kind": "message", "json": canonical({"role": role, "content": text})}]
 
 
-def link(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", max_depth: int = 1000) -> DataFrame:
+def link(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Events: (conv, turn, place, kind, call_id, name, status, error, ready, depth, json).
 
     status: of calls linked, unanswered, invalid, repeated (an earlier call has the id) or cycle; of results linked or
@@ -139,7 +139,7 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col:
     first = calls.groupBy("conv", "call_id").agg(F.min_by(F.struct("turn", "place", "json", "valid", "refs"), F.struct("turn", "place", "json")).alias("c"), F.count("*").alias("n"))
     results = flat.where("kind = 'result' and conv is not null").groupBy("conv", "call_id").agg(F.max("turn").alias("answered"))
     nodes = first.join(results, ["conv", "call_id"], "left").select("conv", "call_id", "c.turn", "c.place", "c.json", "c.refs", "answered")
-    ready = _ready(nodes, max_depth)
+    ready = _ready(nodes)
     joined = flat.join(ready, ["conv", "call_id"], "left")
     same = (F.col("turn") == F.col("first_turn")) & (F.col("place") == F.col("first_place")) & (F.col("json") == F.col("first_json"))
     status = (
@@ -157,10 +157,11 @@ def link(messages: DataFrame, schemas: dict[str, dict] | None = None, conv_col:
     return joined.select(F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), "place", "kind", "call_id", "name", status.alias("status"), "error", at.alias("ready"), depth.cast("int").alias("depth"), "json")
 
 
-def _ready(nodes: DataFrame, max_depth: int) -> DataFrame:
+def _ready(nodes: DataFrame) -> DataFrame:
     """Kahn's layers over the calls: a call's turn is at least that of the results that it depends on.
 
-    Only calls with references take part in the rounds; those left when nothing moves are in or behind a cycle.
+    Calls with one reference are first tied to the nearest call before them that has none or several, by path doubling;
+    only calls with several references take part in the rounds. Those left when nothing moves are in or behind a cycle.
     """
     spark = nodes.sparkSession
     names = ["conv", "call_id", "first_turn", "first_place", "first_json", "answered"]
@@ -169,21 +170,53 @@ def _ready(nodes: DataFrame, max_depth: int) -> DataFrame:
     links = base.select("conv", "call_id", F.explode(F.array_distinct("refs")).alias("ref"))
     real = links.join(base.select("conv", F.col("call_id").alias("ref")), ["conv", "ref"], "left_semi")
     links, _ = materialise(real, "chat-links")
-    waiting = links.select("conv", "call_id").distinct()
-    done = base.join(waiting, ["conv", "call_id"], "left_anti").select(*names, F.col("first_turn").alias("ready"), F.lit(0).alias("level"), F.lit(False).alias("cycle"))
+    waiting = links.groupBy("conv", "call_id").agg(F.count("*").alias("n"))
+    roots = base.join(waiting, ["conv", "call_id"], "left_anti")
     if links.isEmpty():
-        return done
-    done, done_path = materialise(done, "chat-done")
-    for level in range(1, max_depth + 1):
-        known = done.select("conv", F.col("call_id").alias("ref"), F.greatest("ready", "answered").alias("at"))
-        counted = links.join(known, ["conv", "ref"], "left").groupBy("conv", "call_id").agg(F.max("at").alias("at"), F.count_if(F.col("at").isNull()).alias("open"))
-        free = counted.where("open = 0").join(done, ["conv", "call_id"], "left_anti")
-        fresh = base.join(free, ["conv", "call_id"]).select(*names, F.greatest("first_turn", "at").alias("ready"), F.lit(level).alias("level"), F.lit(False).alias("cycle"))
+        return roots.select(*names, F.col("first_turn").alias("ready"), F.lit(0).alias("level"), F.lit(False).alias("cycle"))
+    hops = _hops(base, links.join(waiting.where("n = 1"), ["conv", "call_id"], "left_semi"))
+    # a reference to a call of the paths becomes one to the path's start, so many layers on and at least at ``seen``
+    own = base.select("conv", F.col("call_id").alias("ref"), F.greatest("first_turn", "answered").alias("own"))
+    several = links.join(waiting.where("n > 1"), ["conv", "call_id"], "left_semi").join(own, ["conv", "ref"])
+    over = several.join(hops.withColumnRenamed("call_id", "ref"), ["conv", "ref"], "left")
+    told = over.select("conv", "call_id", F.coalesce("to", "ref").alias("to"), F.coalesce("far", F.lit(0)).alias("far"), F.greatest("own", "seen").alias("seen"))
+    far, _ = materialise(told, "chat-far")
+    done, done_path = materialise(roots.select("conv", "call_id", F.col("first_turn").alias("ready"), "answered", F.lit(0).alias("level")), "chat-done")
+    while True:
+        known = done.select("conv", F.col("call_id").alias("to"), F.greatest("ready", "answered").alias("at"), "level")
+        counted = far.join(done, ["conv", "call_id"], "left_anti").join(known, ["conv", "to"], "left").groupBy("conv", "call_id")
+        free = counted.agg(F.max(F.greatest("at", "seen")).alias("at"), F.max(F.col("level") + F.col("far") + 1).alias("level"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0")
+        fresh = base.join(free, ["conv", "call_id"]).select("conv", "call_id", F.greatest("first_turn", "at").alias("ready"), "answered", "level")
         fresh, fresh_path = materialise(fresh, "chat-fresh")
         if fresh.isEmpty():
             break
         merged, merged_path = materialise(done.union(fresh), "chat-done")
         release(spark, fresh_path, done_path)
         done, done_path = merged, merged_path
-    left = base.join(done, ["conv", "call_id"], "left_anti").select(*names, F.col("first_turn").alias("ready"), F.lit(0).alias("level"), F.lit(True).alias("cycle"))
-    return done.union(left)
+    start = done.select("conv", F.col("call_id").alias("to"), F.greatest("ready", "answered").alias("at"), F.col("level").alias("l"))
+    along = hops.join(start, ["conv", "to"]).select("conv", "call_id", F.greatest("at", "seen").alias("ready"), (F.col("l") + F.col("far")).alias("level"))
+    placed = done.select("conv", "call_id", "ready", "level").union(along)
+    every = base.join(placed, ["conv", "call_id"], "left")
+    return every.select(*names, F.greatest("first_turn", "ready").alias("ready"), F.coalesce("level", F.lit(0)).alias("level"), F.col("level").isNull().alias("cycle"))
+
+
+def _hops(base: DataFrame, singles: DataFrame) -> DataFrame:
+    """(conv, call_id, to, far, seen) of calls with one reference, by path doubling.
+
+    ``to`` is the first call on the path that has no or several references, ``far`` steps off, ``seen`` the latest turn of
+    the calls and results between. On a path that ends in a cycle ``to`` stays a call with one reference.
+    """
+    spark = base.sparkSession
+    own = base.select("conv", "call_id", F.greatest("first_turn", "answered").alias("own"))
+    hops = singles.join(own, ["conv", "call_id"]).select("conv", "call_id", F.col("ref").alias("to"), F.lit(1).alias("far"), F.lit(None).cast("long").alias("seen"), "own")
+    hops, path = materialise(hops, "chat-hops")
+    for _ in range(hops.count().bit_length()):
+        ahead = hops.select("conv", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.greatest("own", "seen").alias("seen2"))
+        if hops.join(ahead, ["conv", "to"], "left_semi").isEmpty():
+            break
+        further = F.coalesce(F.col("far2"), F.lit(0))
+        moved = hops.join(ahead, ["conv", "to"], "left").select("conv", "call_id", F.coalesce("to2", "to").alias("to"), (F.col("far") + further).alias("far"), F.greatest("seen", "seen2").alias("seen"), "own")
+        moved, moved_path = materialise(moved, "chat-hops")
+        release(spark, path)
+        hops, path = moved, moved_path
+    return hops.drop("own")

@@ -1,11 +1,12 @@
 """Whole jobs: cases beyond the bounds that operators once had."""
 
+import json
 import random
 
 import numpy as np
 
 import corpus_pipeline
-from lexmill.llm import shingles, simhash
+from lexmill.llm import chat, queries, shingles, simhash
 
 from .conftest import prose
 from .test_llm import components, plain_simhash
@@ -62,3 +63,22 @@ def test_band_recall():
         pool = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
         missed += not np.intersect1d(shingles.band_keys(pool[:90]), shingles.band_keys(pool[10:])).size
     assert missed == 0  # similarity 0.8
+
+
+def test_deep_chains(spark):
+    depth, rows = 1300, []
+    call = lambda i, *refs: json.dumps({"tool_calls": [{"id": i, "name": "calculate", "arguments": {"expression": "1"}, "depends_on": list(refs)}]})
+    for i in range(depth):
+        rows.append((1, depth - i, "assistant", call(f"c{i}", *([f"c{i - 1}"] if i else []))))
+    rows.append((1, 5000, "tool", json.dumps({"tool_call_id": "c700"})))
+    rows += [(1, 1, "assistant", call("two", "c10", "c900")), (1, 2, "assistant", call("tail", "two")), (1, 3, "assistant", call("both", "tail", "c1299"))]
+    rows += [(1, 4, "assistant", call("x", "y")), (1, 4, "assistant", call("y", "x")), (1, 4, "assistant", call("z", "y")), (1, 4, "assistant", call("w", "z", "c0"))]
+    rows += [(2, None, "assistant", call("a")), (2, 4, "assistant", call("b", "a"))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["call_id"]): r for r in chat.link(df, queries.TOOLS).collect() if r["kind"] == "call"}
+    for i in range(depth):
+        r = got[1, f"c{i}"]
+        assert (r["depth"], r["ready"], r["status"]) == (2 * i, depth if i <= 700 else 5000, "linked" if i == 700 else "unanswered"), i
+    assert [(got[1, k]["depth"], got[1, k]["ready"]) for k in ("two", "tail", "both")] == [(1802, 5000), (1804, 5000), (2600, 5000)]
+    assert {got[1, k]["status"] for k in "xyzw"} == {"cycle"}
+    assert (got[2, "b"]["status"], got[2, "b"]["depth"], got[2, "b"]["ready"]) == ("unanswered", 2, 4)
