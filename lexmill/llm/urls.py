@@ -48,16 +48,49 @@ def normal_form(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(path, "/+$", ""), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
-def targets(html: Column) -> Column:
-    """Urls that the page names as its canonical or redirect address; only whole urls, relative ones are left out."""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+_BASE = r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+
+
+def _whole(ref: Column, base: Column) -> Column:
+    """``ref`` as a whole url, resolved against the whole url ``base`` (RFC 3986); null for other schemes such as mailto."""
+    scheme, root = F.regexp_extract(base, f"({_SCHEME})//", 1), F.regexp_extract(base, "(?s)^([^:/?#]*://[^/?#]*)", 1)
+    own, asked = F.regexp_extract(base, "(?s)^[^:/?#]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(ref, "(?s)^[^?#]*(.*)$", 1)
+    given = F.regexp_extract(ref, "(?s)^([^?#]*)", 1)
+    start = F.when(given.startswith("/"), F.lit("")).otherwise(F.concat(F.regexp_replace(own, "[^/]*$", ""), F.when(own == "", F.lit("/")).otherwise(F.lit(""))))
+    steps = F.split(F.substring(F.concat(start, given), 2, 1 << 30), "/")
+    climb = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), climb)
+    last = F.when(given.rlike("(?:^|/)[.]{1,2}$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    path = F.concat(F.lit("/"), F.array_join(kept, "/"), last)
+    return (
+        F.when(ref.rlike(_SCHEME + "//"), ref)
+        .when(ref.rlike(_SCHEME), F.lit(None))
+        .when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(given == "", F.when(asked.startswith("?"), F.concat(root, own, asked)).otherwise(F.regexp_replace(base, "(?s)#.*$", "")))
+        .otherwise(F.concat(root, path, asked))
+    )
+
+
+def targets(html: Column, url: Column) -> Column:
+    """Whole urls that the page at ``url`` names as its canonical or redirect address.
+
+    Relative ones are resolved against the page's base, ``&amp;`` is read as ``&``, and attributes may come in any order.
+    """
     found = F.concat(
         F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)),
         F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b"""), F.lit(1)),
         F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)["']?[^>]*\bhttp-equiv\s*=\s*["']?refresh\b"""), F.lit(1)),
         F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']?og:url["']?[^>]*?\bcontent\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)),
+        F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*?\bcontent\s*=\s*["']?([^"'\s>]+)["']?[^>]*\bproperty\s*=\s*["']?og:url\b"""), F.lit(1)),
     )
+    read = lambda u: F.regexp_replace(u, "&(?:amp|#0*38|#[xX]0*26);", "&")
+    own = F.regexp_extract(html, _BASE, 1)
+    base = F.when(own != "", F.coalesce(_whole(read(own), url), url)).otherwise(url)
     worth = html.rlike("(?i)canonical|refresh|og:url")
-    return F.when(worth, F.filter(F.array_distinct(found), lambda u: F.instr(u, "://") > 0)).otherwise(F.array().cast("array<string>"))
+    whole = F.array_distinct(F.array_compact(F.transform(found, lambda u: _whole(read(u), base))))
+    return F.when(worth, whole).otherwise(F.array().cast("array<string>"))
 
 
 def _node(url: Column) -> Column:
@@ -66,7 +99,7 @@ def _node(url: Column) -> Column:
 
 def alias_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(node, verdict) for urls whose class holds a ruled url beside others: block, or allow where any member is allowed."""
-    linked = pages.where(F.instr(F.col(url_col), "://") > 0).select(F.col(url_col).alias("u"), targets(F.coalesce(F.col(html_col), F.lit(""))).alias("t"))
+    linked = pages.where(F.instr(F.col(url_col), "://") > 0).select(F.col(url_col).alias("u"), targets(F.coalesce(F.col(html_col), F.lit("")), F.col(url_col)).alias("t"))
     ends = linked.select("u", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("t"))).alias("t"))
     # each url is tied to its normal form, each target to its own
     normal = lambda c: F.concat(F.lit("~"), normal_form(c))

@@ -4,9 +4,10 @@ import json
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import chat, queries, shingles, simhash
+from lexmill.llm import chat, queries, shingles, simhash, urls
 
 from .conftest import prose
 from .test_llm import components, plain_simhash
@@ -82,3 +83,24 @@ def test_deep_chains(spark):
     assert [(got[1, k]["depth"], got[1, k]["ready"]) for k in ("two", "tail", "both")] == [(1802, 5000), (1804, 5000), (2600, 5000)]
     assert {got[1, k]["status"] for k in "xyzw"} == {"cycle"}
     assert (got[2, "b"]["status"], got[2, "b"]["depth"], got[2, "b"]["ready"]) == ("unanswered", 2, 4)
+
+
+def test_targets_as_pages_write_them(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    pages = [
+        ("http://a.com/x/y?q", link("/de/x"), "http://a.com/de/x"), ("http://a.com/x/y", link("page2"), "http://a.com/x/page2"), ("https://a.com", link("p"), "https://a.com/p"),
+        ("https://a.com/x", link("//b.net/z"), "https://b.net/z"), ("http://a.com/x/y/z", link("../../up/./p?a=1&amp;b=2"), "http://a.com/up/p?a=1&b=2"),
+        ("http://a.com/x/y/", link(".."), "http://a.com/x/"), ("http://a.com/x?q#f", link("?r=1"), "http://a.com/x?r=1"), ("http://a.com/x?q#f", link("#top"), "http://a.com/x?q"),
+        ("http://a.com/x", link("mailto:me@a.com"), None), ("http://a.com/x", link("/go?to=http://b.net/"), "http://a.com/go?to=http://b.net/"),
+        ("http://a.com/x", '<base href="http://c.org/d/">' + link("e"), "http://c.org/d/e"), ("http://a.com/x", '<meta content="0;url=http://b.net/m" http-equiv="refresh">', "http://b.net/m"),
+        ("http://a.com/x", "<meta content='http://b.net/o' property='og:url'>", "http://b.net/o"), ("http://a.com/x", '<meta name="refreshing" content="http://b.net/o">', None),
+    ]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = df.select("page_id", urls.targets(F.col("html"), F.col("url")).alias("t")).orderBy("page_id").collect()
+    assert [r["t"] for r in got] == [[t] if t else [] for _, _, t in pages]
+
+
+def test_blocks_pass_on_to_relative_aliases(spark):
+    pages = [("http://x.com/1", '<link rel="canonical" href="//a.net/p">'), ("http://y.com/2", '<meta content="0; url=/three?a=1&amp;b=2" http-equiv="refresh">'), ("http://y.com/three?a=1&b=2", '<meta content="http://a.net/p" property="og:url">'), ("http://z.com/", "")]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in urls.filter_urls(df).collect()} == {0: "block", 1: "block", 2: "block", 3: "allow"}
