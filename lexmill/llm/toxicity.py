@@ -4,7 +4,7 @@ Two states, clean and toxic. A token's features are its word and its prefixes an
 where labelled documents tie them to toxicity; tokens with none are neutral and carry the bias alone. Document labels
 become token labels: in a toxic document each token with a kept feature is toxic, everything else is clean. Training
 maximises the penalised conditional likelihood of windows of the labelled documents by gradient ascent on forward-backward
-expectations. Scoring is exact and sparse: runs of neutral tokens are powers of one 2 x 2 matrix, so forward-backward
+expectations; all windows of all sampled texts count. Scoring is exact and sparse: runs of neutral tokens are powers of one 2 x 2 matrix, so forward-backward
 steps only on tokens that carry a feature. Marginals add up to a document score, calibrated on the labelled sample, and
 give the offending code-point spans.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,8 @@ FOLDS, HELD = 5, 0
 _SPANS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _MEMO = 400_000
 WINDOW = 24
+#: Windows whose forward-backward arrays are in memory at once.
+_CHUNK = 4_096
 _NONE: list = []
 
 
@@ -202,66 +205,46 @@ def fit(docs: list[tuple[list[bytes], int]], rounds: int = 60, ridge: float = 1e
             memo[w] = [index[f] for f in features_of(w) if f in index] or _NONE
         return memo[w]
 
-    cells: list[tuple[int, int, int]] = []  # window, place, feature
-    gold: list[np.ndarray] = []
-    length: list[int] = []
-    budget = {0: 2_000, 1: 2_000}
+    cells, gold, length = array("q"), array("b"), array("q")  # window, place and feature in turn; WINDOW states a window
+    plain: Counter[int] = Counter()  # windows without a kept feature are alike but for their length
     for words, label in docs:
-        on = [i for i, w in enumerate(words) if ids(w)]
-        starts = sorted({i // WINDOW * WINDOW for i in on}) or [0]
-        for s in starts if budget[label] > 0 else ():
-            part = words[s : s + WINDOW]
-            if not part:
+        for s in range(0, len(words), WINDOW):
+            part = [ids(w) for w in words[s : s + WINDOW]]
+            if not any(part):
+                plain[len(part)] += 1
                 continue
-            y = np.zeros(WINDOW, dtype=np.int8)
-            for p, w in enumerate(part):
-                for f in ids(w):
-                    cells.append((len(gold), p, f))
-                    y[p] = label
-            gold.append(y)
+            at = len(length)
+            for p, own in enumerate(part):
+                for f in own:
+                    cells.extend((at, p, f))
+            gold.extend([label if own else 0 for own in part] + [0] * (WINDOW - len(part)))
             length.append(len(part))
-            budget[label] -= 1
-    if gold and names:
-        _ascend(model, np.array(cells, dtype=np.int64).reshape(-1, 3), np.stack(gold), np.array(length), names, rounds, ridge)
+    if length:
+        times = np.array([1] * len(length) + list(plain.values()), dtype=float)
+        gold.extend([0] * (WINDOW * len(plain)))
+        length.extend(plain)
+        _ascend(model, np.frombuffer(cells, dtype=np.int64).reshape(-1, 3), np.frombuffer(gold, dtype=np.int8).reshape(-1, WINDOW), np.array(length), times, names, rounds, ridge)
     tagger = Tagger(model)
     xs = np.array([evidence([p for _, p in tagger.score(words)[1]]) for words, _ in docs] or [0.0])
     _calibrate(model, xs, np.array([label for _, label in docs] or [0]))
     return model
 
 
-def _ascend(model: Model, cells: np.ndarray, gold: np.ndarray, length: np.ndarray, names: list[str], rounds: int, ridge: float) -> None:
-    n, w = gold.shape
-    live = np.arange(w)[None, :] < length[:, None]
+def _ascend(model: Model, cells: np.ndarray, gold: np.ndarray, length: np.ndarray, times: np.ndarray, names: list[str], rounds: int, ridge: float) -> None:
+    """Gradient ascent over windows, of which each counts so many times; ``_CHUNK`` of them are in memory at once."""
     weights, params = np.zeros(len(names)), np.array([-3.0, 0.0, -1.0, 0.0, 0.5, 0.0, -1.0])  # bias, trans (4), start (2)
     square, square_p = np.full(len(names), 1e-8), np.full(7, 1e-8)
     counts = np.bincount(cells[:, 2], minlength=len(names))
-    pair = live[:, 1:]
-    gold_pairs = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b) & pair).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
-    gold_start = np.array([(gold[:, 0] == s).sum() for s in (0, 1)], dtype=float)
+    cuts = [*range(0, len(gold), _CHUNK), len(gold)]
+    places = np.searchsorted(cells[:, 0], cuts)  # cells come in the order of windows
     for _ in range(rounds):
-        trans, start = np.exp(params[1:5].reshape(2, 2)), np.exp(params[5:])
-        raw = np.zeros((n, w))
-        np.add.at(raw, (cells[:, 0], cells[:, 1]), weights[cells[:, 2]])
-        emit = np.ones((n, w, 2))
-        emit[:, :, 1] = np.exp(np.clip(raw + params[0], -30, 30))
-        fwd, back = np.zeros((n, w, 2)), np.ones((n, w, 2))
-        fwd[:, 0] = start * emit[:, 0]
-        fwd[:, 0] /= fwd[:, 0].sum(1, keepdims=True)
-        for i in range(1, w):
-            step = (fwd[:, i - 1] @ trans) * emit[:, i]
-            fwd[:, i] = np.where(live[:, i, None], step / step.sum(1, keepdims=True), fwd[:, i - 1])
-        pairs = np.zeros((2, 2))
-        for i in range(w - 2, -1, -1):
-            step = (emit[:, i + 1] * back[:, i + 1]) @ trans.T
-            back[:, i] = np.where(live[:, i + 1, None], step / step.sum(1, keepdims=True), 1.0)
-            joint = fwd[:, i, :, None] * trans[None] * (emit[:, i + 1] * back[:, i + 1])[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True))[live[:, i + 1]].sum(0)
-        marginal = fwd * back
-        marginal /= marginal.sum(2, keepdims=True)
-        toxic = np.where(live, marginal[:, :, 1], 0.0)
-        miss = gold * live - toxic
-        grad = np.bincount(cells[:, 2], weights=miss[cells[:, 0], cells[:, 1]], minlength=len(names)) / np.maximum(counts, 1) - ridge * weights
-        grad_p = np.r_[miss.sum(), (gold_pairs - pairs).ravel(), gold_start - marginal[:, 0].sum(0)] / n - ridge * params
+        grad, grad_p = np.zeros(len(names)), np.zeros(7)
+        for lo, hi, first, last in zip(cuts, cuts[1:], places, places[1:], strict=False):
+            part = cells[first:last] - np.array([lo, 0, 0])
+            more, more_p = _gradient(weights, params, part, gold[lo:hi], length[lo:hi], times[lo:hi])
+            grad, grad_p = grad + more, grad_p + more_p
+        grad = grad / np.maximum(counts, 1) - ridge * weights
+        grad_p = grad_p / times.sum() - ridge * params
         square, square_p = 0.9 * square + 0.1 * grad**2, 0.9 * square_p + 0.1 * grad_p**2
         weights += 0.2 * grad / np.sqrt(square + 1e-6)
         params += 0.1 * grad_p / np.sqrt(square_p + 1e-6)
@@ -269,6 +252,36 @@ def _ascend(model: Model, cells: np.ndarray, gold: np.ndarray, length: np.ndarra
     model.bias, model.trans, model.start = float(params[0]), params[1:5].reshape(2, 2), params[5:]
 
 
+def _gradient(weights: np.ndarray, params: np.ndarray, cells: np.ndarray, gold: np.ndarray, length: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the gradient over windows, for the weights and for bias, trans and start."""
+    n, w = gold.shape
+    live = np.arange(w)[None, :] < length[:, None]
+    pair = live[:, 1:] * times[:, None]
+    gold_pairs = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b)) * pair for b in (0, 1)] for a in (0, 1)]).sum((2, 3))
+    gold_start = np.array([((gold[:, 0] == s) * times).sum() for s in (0, 1)])
+    trans, start = np.exp(params[1:5].reshape(2, 2)), np.exp(params[5:])
+    raw = np.bincount(cells[:, 0] * w + cells[:, 1], weights=weights[cells[:, 2]], minlength=n * w).reshape(n, w)
+    emit = np.ones((n, w, 2))
+    emit[:, :, 1] = np.exp(np.clip(raw + params[0], -30, 30))
+    fwd, back = np.zeros((n, w, 2)), np.ones((n, w, 2))
+    fwd[:, 0] = start * emit[:, 0]
+    fwd[:, 0] /= fwd[:, 0].sum(1, keepdims=True)
+    for i in range(1, w):
+        step = (fwd[:, i - 1] @ trans) * emit[:, i]
+        fwd[:, i] = np.where(live[:, i, None], step / step.sum(1, keepdims=True), fwd[:, i - 1])
+    pairs = np.zeros((2, 2))
+    for i in range(w - 2, -1, -1):
+        step = (emit[:, i + 1] * back[:, i + 1]) @ trans.T
+        back[:, i] = np.where(live[:, i + 1, None], step / step.sum(1, keepdims=True), 1.0)
+        joint = fwd[:, i, :, None] * trans[None] * (emit[:, i + 1] * back[:, i + 1])[:, None, :]
+        pairs += (joint / joint.sum((1, 2), keepdims=True) * pair[:, i, None, None]).sum(0)
+    marginal = fwd * back
+    marginal /= marginal.sum(2, keepdims=True)
+    miss = gold * live - np.where(live, marginal[:, :, 1], 0.0)
+    grad = np.bincount(cells[:, 2], weights=miss[cells[:, 0], cells[:, 1]], minlength=len(weights))
+    return grad, np.r_[(miss * times[:, None]).sum(), (gold_pairs - pairs).ravel(), gold_start - (marginal[:, 0] * times[:, None]).sum(0)]
+
+
 def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
     """Logistic map from evidence to the chance of label 1, by Newton steps with a weak pull to slope 1."""
     a, b = 1.0, math.log(model.prior / (1 - model.prior))

@@ -7,10 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import chat, queries, shingles, simhash, urls
+from lexmill.llm import chat, queries, shingles, simhash, toxicity, urls
 
 from .conftest import prose
-from .test_llm import components, plain_simhash
+from .test_llm import components, plain_simhash, toxic_corpus
 
 
 def plain_shingles(text):
@@ -104,3 +104,22 @@ def test_blocks_pass_on_to_relative_aliases(spark):
     pages = [("http://x.com/1", '<link rel="canonical" href="//a.net/p">'), ("http://y.com/2", '<meta content="0; url=/three?a=1&amp;b=2" http-equiv="refresh">'), ("http://y.com/three?a=1&b=2", '<meta content="http://a.net/p" property="og:url">'), ("http://z.com/", "")]
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     assert {r["page_id"]: r["verdict"] for r in urls.filter_urls(df).collect()} == {0: "block", 1: "block", 2: "block", 3: "allow"}
+
+
+def test_fit_takes_all_windows(monkeypatch):
+    told = {}
+    monkeypatch.setattr(toxicity, "_ascend", lambda model, cells, gold, length, times, names, *_: told.update(words=float((length * times).sum()), toxic=int(gold.sum())))
+    rng = random.Random(8)
+    docs = [(t.encode().split(), y) for _, t, y in toxic_corpus(rng, 400)]
+    docs += [(prose(rng, 1000).encode().split(), 0) for _ in range(60)] + [(b" ".join([b"zorgle the of"] * 20_000).split(), 1)]
+    toxicity.fit(docs)
+    assert told["words"] == sum(len(words) for words, _ in docs)
+    assert told["toxic"] >= sum(w.startswith((b"zorgle", b"blatch", b"grunkel")) for words, label in docs if label for w in words)
+
+
+def test_gradient_by_chunks(monkeypatch):
+    docs = [(t.encode().split(), y) for _, t, y in toxic_corpus(random.Random(9), 200)]
+    whole = toxicity.fit(docs, rounds=5)
+    monkeypatch.setattr(toxicity, "_CHUNK", 7)
+    parts = toxicity.fit(docs, rounds=5)
+    assert np.allclose(list(whole.weights.values()), list(parts.weights.values())) and np.allclose(whole.trans, parts.trans) and whole.weights
