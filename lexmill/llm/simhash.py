@@ -208,7 +208,7 @@ def keep_first(docs: DataFrame, fps: DataFrame, links: DataFrame, of: Callable[[
         kept = docs.join(first.select(key), F.col(id_col) == F.col(key), "left_semi")
     else:  # rows of one id may differ in text, so the fingerprint has to fit too
         same = (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(f"{own}_kept"))
-        kept = docs.withColumn(own, of(F.col(text_col))).join(first, same, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+        kept = docs.withColumn(own, of(F.col(text_col))).join(first, same, "left_semi").dropDuplicates([id_col, own]).select(*docs.columns)
     if not fps.where("id is null").isEmpty():
         kept = kept.union(docs.where(F.col(id_col).isNull()))
     return kept

@@ -123,3 +123,11 @@ def test_gradient_by_chunks(monkeypatch):
     monkeypatch.setattr(toxicity, "_CHUNK", 7)
     parts = toxicity.fit(docs, rounds=5)
     assert np.allclose(list(whole.weights.values()), list(parts.weights.values())) and np.allclose(whole.trans, parts.trans) and whole.weights
+
+
+def test_keep_one_of_components_that_share_an_id(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 60), prose(rng, 60)
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b), (5, b)], "doc_id long, text string")
+    for keep in (simhash.keep_one, shingles.keep_one):
+        assert sorted(map(tuple, keep(docs).collect())) == sorted([(5, a), (5, b)])
