@@ -8,13 +8,14 @@ expectations; all windows of all sampled texts count. Scoring is exact and spars
 steps only on tokens that carry a feature. Marginals add up to a document score, calibrated on the labelled sample, and
 give the offending code-point spans.
 
-The model is fitted on the driver from at most ``SAMPLE_DOCS`` labelled rows (the smallest hashes of their ids), whole
+The model is fitted in one task from at most ``SAMPLE_DOCS`` labelled rows (the smallest hashes of their ids), whole
 texts; it has at most ``MAX_FEATURES`` features, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from array import array
 from collections import Counter
@@ -298,15 +299,26 @@ def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE_DOCS) -> Model:
     """Fits the model on labelled rows outside the held-out fold, at most ``sample`` of them.
 
-    Labels without an id or a value are ignored; of repeated labels of an id the largest counts. No labelled rows give a
+    The sample is the labelled ids with the smallest hashes. Labels without an id or a value are ignored; of repeated
+    labels of an id the largest counts, of repeated texts the one with the smallest hash. The fit takes its rows in the
+    order of the ids' hashes, so the model does not depend on how the tables are partitioned. No labelled rows give a
     model that finds nothing.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_mod(F.col(id_col), FOLDS) != HELD))
     one = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(one), F.col("id") == F.col("_id")).select("text", "_label").limit(2 * sample)
-    once: dict[bytes, bytes] = {}  # one object a distinct word keeps the sample small on the driver
-    return fit([([once.setdefault(w, w) for w in normal_words(r["text"])], int(r["_label"] > 0)) for r in rows.toLocalIterator()])
+    rows = texts.join(F.broadcast(one), F.col("id") == F.col("_id")).groupBy(F.xxhash64("_id").alias("rank"), F.col("id").cast("string").alias("id"), (F.col("_label") > 0).cast("int").alias("label"))
+    chosen = rows.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    bound_batches(docs.sparkSession)
+    told = chosen.repartition(1).sortWithinPartitions("rank", "id").mapInPandas(_fit_task, "model binary").collect()  # one row, bounded by MAX_FEATURES
+    return pickle.loads(told[0]["model"]) if told else fit([])
+
+
+def _fit_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fits on the sample in one task, so that its words never reach the driver."""
+    once: dict[bytes, bytes] = {}  # one object a distinct word keeps the sample small
+    docs = [([once.setdefault(w, w) for w in normal_words(t)], int(y)) for b in batches for t, y in zip(b["text"], b["label"], strict=True)]
+    yield pd.DataFrame({"model": [pickle.dumps(fit(docs))]})
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "_tox") -> DataFrame:
