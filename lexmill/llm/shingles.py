@@ -1,10 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of word-shingle sets.
-
-Texts are linked where their sets of ``WORDS``-word shingles have a similarity of at least ``SIMILARITY``. Candidates agree
-in all ``ROWS`` minima of one of ``BANDS`` bands of min-wise hashes and are then compared by their whole sets, so no link
-is false; a pair at 0.8 exactly shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7, a closer one with less.
-A band's bucket is never turned into all its pairs at once: its first members are compared with the rest, and only
-buckets whose rest is not connected yet go on, with four times as many.
+"""Near-duplicates by SimHash with pigeonring filtering, completed to a Jaccard similarity of shingle sets.
+
+Texts are linked where their sets of ``WORDS``-word shingles have a similarity of at least ``SIMILARITY``. Candidates come
+from two sides. The first is the SimHash operator: fingerprints over the same shingles, joined by the pigeonring keys,
+give the pairs at most 3 bits apart. At a similarity of 0.8 fingerprints lie about 10 bits apart, out of reach of any
+radius that keys can serve, so the second side are min-wise hashes: pairs that agree in all ``ROWS`` minima of one of
+``BANDS`` bands. All candidates are compared by their whole sets, so no link is false; a pair at 0.8 exactly shares no
+band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7, a closer one with less. A band's bucket is never turned into
+all its pairs at once: its first members are compared with the rest, and only buckets whose rest is not connected yet go
+on, with four times as many.
 """
 
 from __future__ import annotations
@@ -64,12 +67,13 @@ def shingle_fingerprint(text: Column | str) -> Column:
 
 
 def sketch(text: Column | str) -> Column:
-    """struct(fp, keys, hashes): the set's hash, its band keys and the set."""
+    """struct(fp, sim, keys, hashes): the set's hash, its SimHash, its band keys and the set."""
 
-    @F.pandas_udf("fp long, keys array<long>, hashes array<long>")
+    @F.pandas_udf("fp long, sim long, keys array<long>, hashes array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_hashes(x) for x in texts]
-        return pd.DataFrame({"fp": np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64), "keys": [band_keys(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
+        sims = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"sim": sims, "fp": np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64), "keys": [band_keys(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})[["fp", "sim", "keys", "hashes"]]
 
     return of(text)
 
@@ -86,6 +90,21 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return links
 
 
+def simhash_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst) between similar sets (fp, sim, hashes) whose SimHash fingerprints are equal or linked by the pigeonring.
+
+    Sets of one fingerprint hang on the smallest of them, and linked fingerprints on each other's smallest.
+    """
+    first, path = materialise(sets.groupBy("sim").agg(F.min("fp").alias("first")), "shingle-sims")
+    ends = [first.select(F.col("sim").alias(e), F.col("first").alias(f"{e}_first")) for e in ("src", "dst")]
+    across = simhash.near_links(first, "sim").join(ends[0], "src").join(ends[1], "dst").select(F.col("src_first").alias("src"), F.col("dst_first").alias("dst"))
+    within = sets.select("sim", "fp").distinct().join(first, "sim").where("fp <> first").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
+    pairs, pairs_path = materialise(across.union(within).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "shingle-pairs")
+    links = _checked(pairs, sets, similarity)
+    release(sets.sparkSession, path, pairs_path)
+    return links
+
+
 def similar_links(sets: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
     """(src, dst) between similar sets (fp, keys, hashes), enough to connect all pairs that share a band and are similar."""
     spark = sets.sparkSession
@@ -125,4 +144,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     bound_batches(docs.sparkSession)
     sets, _ = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).withColumn("s", sketch("_text")).select("id", "s.*"), "shingle-sets")
-    return simhash.keep_first(docs, sets.select("id", "fp"), similar_links(sets, similarity), shingle_fingerprint, id_col, text_col)
+    links = simhash_links(sets, similarity).union(similar_links(sets, similarity)).distinct()
+    return simhash.keep_first(docs, sets.select("id", "fp"), links, shingle_fingerprint, id_col, text_col)

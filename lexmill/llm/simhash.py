@@ -37,12 +37,17 @@ def simhash_value(text: str | None, shingle: int = SHINGLE, seed: int = SEED) ->
     xx, join = xxhash.xxh64_intdigest, b" ".join
     if len(words) < shingle:
         return xx(join(words), seed)
-    n, total = len(words) - shingle + 1, np.zeros(64, dtype=np.int64)
-    for at in range(0, n, _SLICE):
-        part = words[at : min(at + _SLICE, n) + shingle - 1]
-        hashes = np.array([xx(s, seed) for s in map(join, zip(*(part[i:] for i in range(shingle)), strict=False))], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    grams = map(join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return majority(np.fromiter((xx(s, seed) for s in grams), dtype="<u8", count=len(words) - shingle + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that more than half of the hashes have set."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _SLICE):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + _SLICE]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def simhash(text: Column | str) -> Column:

@@ -51,11 +51,13 @@ def test_similar_links_of_large_buckets(spark):
             words[at] = f"new{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    sets = docs.withColumn("s", shingles.sketch("text")).select("id", "s.*").localCheckpoint()
+    sets = docs.withColumn("s", shingles.sketch("text")).select("id", "s.*").cache()
     place = {r["fp"]: r["id"] for r in sets.collect()}
     got = [(place[r["src"]], place[r["dst"]]) for r in shingles.similar_links(sets, centres=2).collect()]
     assert {(max(p), min(p)) for p in got} <= set(similar(texts))
     assert components(60, got) == components(60, similar(texts))
+    close = [(place[r["src"]], place[r["dst"]]) for r in shingles.simhash_links(sets).collect()]
+    assert {(max(p), min(p)) for p in close} <= set(similar(texts)) and close
 
 
 def test_band_recall():
