@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from typing import Any
 
 import pandas as pd
@@ -25,8 +26,19 @@ from lexmill.llm.runtime import bound_batches, materialise, release
 _EVENT = "array<struct<place:int,kind:string,call_id:string,name:string,refs:array<string>,valid:boolean,error:string,json:string>>"
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _written(text: str | None) -> str | None:
+    """``text`` with lone surrogates, which UTF-8 cannot hold, written as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text) if text else text
+
+
 def canonical(value: Any) -> str:
-    """JSON with sorted keys and without blanks; whole floats are written as integers."""
+    """JSON with sorted keys and without blanks; whole floats are written as integers, lone surrogates as escapes.
+
+    ValueError for infinite numbers and those that are none.
+    """
 
     def plain(x: Any) -> Any:
         if isinstance(x, float):
@@ -37,7 +49,17 @@ def canonical(value: Any) -> str:
             return {k: plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _written(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def _finite(digits: str) -> float:
+    if math.isinf(x := float(digits)):
+        raise ValueError("number beyond a double's range")
+    return x
+
+
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
 
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
@@ -85,15 +107,25 @@ def _object(text: str | None) -> dict | None:
     if text is None or not text.lstrip()[:1] == "{":
         return None
     try:
-        got = json.loads(text)
+        got = json.loads(text, parse_float=_finite, parse_constant=_no_number)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
 
 
 def events_of(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[dict]:
-    """The events of one message. Broken JSON is ordinary text; a call without an id or a name is invalid."""
-    got = _object(text)
+    """The events of one message; a call without an id or a name is invalid.
+
+    Broken JSON is ordinary text, as are NaN, infinities, numbers beyond a double's range or of over 4,300 digits, and
+    nesting deeper than Python's stack; in arguments that come as a string they make the call invalid.
+    """
+    try:
+        return [e | {k: _written(e[k]) for k in ("call_id", "name", "error")} | {"refs": [_written(r) for r in e["refs"]]} for e in _events(role, text, schemas, _object(text))]
+    except RecursionError:
+        return _events(role, text, schemas, None)
+
+
+def _events(role: str | None, text: str | None, schemas: dict[str, dict], got: dict | None) -> list[dict]:
     blank = {"place": 0, "call_id": None, "name": None, "refs": [], "valid": None, "error": None}
     if got is not None and role == "tool" and isinstance(got.get("tool_call_id"), str):
         return [blank | {"kind": "result", "call_id": got["tool_call_id"], "json": canonical({"role": "tool", **got})}]
