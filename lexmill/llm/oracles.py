@@ -11,8 +11,8 @@ g AS (SELECT page_id, html, h, list_transform(range(8), lambda j: list_sum(list_
   (instr('0123456789abcdef', h[j * 5 + k + 1]) - 1) * (16 ** (4 - k))::BIGINT))::BIGINT) AS v FROM p)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1]), '') AS payload_digest,
-  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN first IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM g JOIN f USING (html)
 """
 

@@ -15,6 +15,7 @@ import base64
 import hashlib
 import io
 import json
+import math
 import os
 import struct
 import uuid
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.runtime import bound_batches, materialise, scratch_path
 
-PACKAGE_BYTES = 32 << 20
+PACKAGE_BYTES, PACKAGES_PER_TASK = 32 << 20, 8
+#: Payloads of more rows than this count as shared by very many, as far as their digests fit the broadcast (160 kB).
+HOT_ROWS, HOT_PAYLOADS = 500, 4_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 _MANIFEST = "package string, size long, records long"
 _RECORD = "record_id long, target_uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean, payload binary"
@@ -175,15 +178,21 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uri(record_id: int) -> str:
+def _uri(record_id: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'record-{record_id}')}>"
 
 
-def record(record_id: int, url: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One gzip member; a revisit keeps the HTTP head, whose Content-Length is the full payload's."""
+def record(record_id: int | None, url: str, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One gzip member; a revisit keeps the HTTP head, whose Content-Length is the full payload's.
+
+    A record without a number has no header for it and is named by its url and digest.
+    """
+    name = f"{url} {digest}" if record_id is None else record_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     body = http + (b"" if refers_to is not None else payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_uri(record_id)}", f"X-Record-Number: {record_id}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {_uri(name)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if record_id is not None:
+        lines.append(f"X-Record-Number: {record_id}")
     if url:
         lines.append(f"WARC-Target-URI: {' '.join(url.split())}")
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -207,15 +216,15 @@ def parse_record(data: bytes) -> dict:
     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     digest = fields["warc-payload-digest"].removeprefix("sha1:")
     response = fields["warc-type"] == "response"
-    refers = fields.get("x-refers-to-number")
+    number, refers = fields.get("x-record-number"), fields.get("x-refers-to-number")
     return {
-        "record_id": int(fields["x-record-number"]), "target_uri": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
+        "record_id": int(number) if number is not None else None, "target_uri": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
         "record_type": fields["warc-type"], "refers_to": int(refers) if refers is not None else None,
         "verified": len(payload) == size and payload_digest(payload) == digest if response else None, "payload": payload if response else None,
     }
 
 
-def write_package(path: str, records: list[tuple[int, bytes]], zip64: bool = False) -> int:
+def write_package(path: str, records: list[tuple[int | None, bytes]], zip64: bool = False) -> int:
     out = Output(path)
     at, lines = 0, []
     for number, data in records:
@@ -245,14 +254,23 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes one record a row into packages below ``folder``; returns the manifest (package, size, records).
 
     Null html is an empty payload, a null url names no target. Rows of one id with equal payloads are one response and no
-    revisits to itself. Rows without an id are left out, since a record needs its number.
+    revisits to itself. A row without an id is a record without a number: a revisit where a row with an id has its
+    payload, else a response. Payloads that very many rows share are told by a broadcast of at most ``HOT_PAYLOADS``
+    digests, so their rows meet in no task; those of the others are joined by digest.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     html = F.coalesce(F.col(html_col), F.lit(""))
-    keyed = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"))
-    firsts = keyed.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    told = keyed.join(firsts, "sha", "left").select("id", "url", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers"), "sha", F.octet_length("html").cast("long").alias("size"), F.when(F.col("first").isNull() | (F.col("first") == F.col("id")), F.col("html")).alias("html"))
+    keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha"))
+    shared = keyed.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    firsts, _ = materialise(shared, "warc-firsts")
+    hot = firsts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "sha").limit(HOT_PAYLOADS).select("sha", F.col("first").alias("hot"))
+    near = keyed.join(F.broadcast(hot), "sha", "left")
+    key = F.when(F.col("hot").isNull(), F.col("sha")).otherwise(F.concat_ws("-", F.lit("hot"), F.xxhash64("id", "url")))
+    parted = near.withColumns({"key": key, "html": F.when(F.col("hot") != F.col("id"), F.lit(None)).otherwise(F.col("html")), "size": F.octet_length("html").cast("long")})
+    joined = parted.join(firsts.select(F.col("sha").alias("key"), "first"), "key", "left").withColumn("first", F.coalesce("hot", "first"))
+    refers = F.when(~F.col("first").eqNullSafe(F.col("id")), F.col("first"))
+    told = joined.select("id", "url", refers.alias("refers"), "sha", "size", F.when(refers.isNull(), F.col("html")).alias("html"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total, out = [], 0, []
@@ -266,7 +284,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             for number, url, refers, sha, size, text in zip(b["id"], b["url"], b["refers"], b["sha"], b["size"], b["html"], strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 refer = None if pd.isna(refers) else int(refers)
-                held.append((int(number), record(int(number), url or "", (text or "").encode(), int(size), digest, refer)))
+                own = None if pd.isna(number) else int(number)
+                held.append((own, record(own, url or "", (text or "").encode(), int(size), digest, refer)))
                 total += len(held[-1][1])
                 if total >= PACKAGE_BYTES:
                     flush()
@@ -295,13 +314,16 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield _frame(rows, columns)
 
-    files = manifest.select("package", "size")
-    return files.repartition(F.xxhash64("package")).mapInPandas(read, _RECORD)
+    many = manifest.count()
+    tasks = max(1, min(many, max(4 * manifest.sparkSession.sparkContext.defaultParallelism, math.ceil(many / PACKAGES_PER_TASK))))
+    # a number of partitions that is asked for is not coalesced by the few bytes of the manifest
+    return manifest.select("package", "size").repartition(tasks).mapInPandas(read, _RECORD)
 
 
 def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=columns)
-    out["refers_to"] = out["refers_to"].astype("Int64")
+    for c in ("record_id", "refers_to"):
+        out[c] = out[c].astype("Int64")
     return out
 
 
@@ -313,7 +335,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", **kwargs) -> DataFrame
     return got.select(F.col("record_id").alias(id_col), "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
 
 
-def package_bytes(records: list[tuple[int, bytes]], zip64: bool = False) -> bytes:
+def package_bytes(records: list[tuple[int | None, bytes]], zip64: bool = False) -> bytes:
     """A package in memory, for small sets of records."""
     out = io.BytesIO()
     package = PackageWriter(out, zip64)

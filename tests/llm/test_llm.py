@@ -121,22 +121,32 @@ def test_package(tmp_path, zip64):
         list(warc.read_package(str(path), size - 5, True))
 
 
-def test_round_trip(spark, tmp_path):
-    pages = [(i, f"http://h/{i}", h) for i, h in enumerate(["a", "b", "a", None, "", "ü" * 3000, "a"])] + [(None, "u", "x"), (7, None, "b")]
+@pytest.mark.parametrize("hot", [500, 1])
+def test_round_trip(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_ROWS", hot)
+    pages = [(i, f"http://h/{i}", h) for i, h in enumerate(["a", "b", "a", None, "", "ü" * 3000, "a"])] + [(None, "u", "x"), (None, None, "b"), (None, "v", "x"), (7, None, "b"), (4, "w", "")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in warc.round_trip(df).collect()}
     first = {}
     for i, _, h in pages:
-        if i is None:
-            continue
-        body = (h or "").encode()
-        first.setdefault(body, i)
-        r = got[i]
-        assert r["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode() and r["payload_bytes"] == len(body)
-        assert (r["record_type"], r["refers_to"]) == (("response", None) if first[body] == i else ("revisit", first[body]))
-    assert len(got) == 8 and warc.round_trip(df.limit(0)).count() == 0
+        if i is not None:
+            first[h or ""] = min(i, first.get(h or "", i))
+    want = Counter()
+    for i, _, h in pages:
+        body, one = (h or "").encode(), first.get(h or "")
+        want[i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), *(("response", None) if one == i else ("revisit", one))] += 1
+    assert Counter(map(tuple, warc.round_trip(df).collect())) == want
+    assert warc.round_trip(df.limit(0)).count() == 0
     small = warc.write_archives(df, f"file://{tmp_path}/x", min_bytes=2)
     assert warc.read_archives(small).where("record_type = 'revisit'").count() == 0
+    assert {bytes(r["payload"]).decode() for r in warc.read_archives(small).collect()} == {h or "" for _, _, h in pages}
+
+
+def test_packages_are_read_by_many_tasks(spark, monkeypatch):
+    df = spark.range(0, 400, 1, 40).selectExpr("id AS page_id", "'u' AS url", "concat('x', id) AS html")
+    manifest = warc.write_archives(df, f"{warc.scratch_path(spark, 'many')}")
+    packages = manifest.count()
+    got = warc.read_archives(manifest, False).select(F.spark_partition_id().alias("p"), "record_id").collect()
+    assert packages > 1 and len(got) == 400 and len({r["p"] for r in got}) == min(packages, 16)
 
 
 # 3 Secrets
