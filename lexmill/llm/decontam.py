@@ -3,27 +3,28 @@
 Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. Every window of ``n`` words
 of every item (a shorter item is one window) is a key of a hash set that is sent to all executors; document windows are
 looked up whole, so each hit is verified by equality of its words and no hash collision can remove a document. The set's
-size is checked: an item table beyond ``max_bytes`` is dealt into groups within that bound and the corpus is scanned
-once a group, with the hits of all groups merged by document.
+size is checked by what it holds, pairs of window and item: beyond ``max_pairs`` the pairs are dealt by hash into groups
+within that bound, whatever item they are of, and the corpus is scanned once a group, with the hits of all groups merged
+by document. So memory on driver and executors does not grow with the benchmark; the number of scans does.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.runtime import bound_batches, materialise
+from lexmill.llm.runtime import bound_batches, materialise, release, unused
 
 WINDOW = 10
-#: Benchmark text that one broadcast set holds.
-MAX_BYTES = 32 << 20
+#: Pairs of window and item that one broadcast set holds, about 60 MB in a worker.
+MAX_PAIRS = 250_000
 TABLE = bytes(b | 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _RESULT = "n_words long, hits array<struct<lo:int,hi:int>>, items array<string>, chars array<struct<lo:int,hi:int>>"
 
@@ -32,14 +33,18 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(TABLE).split()
 
 
-def windows_of(items: list[tuple[str, str | None]], n: int = WINDOW) -> dict[int, dict[bytes, tuple[str, ...]]]:
-    """Length of window -> window -> the items that hold it. Items without words and null items hold none."""
+def windows_of(text: str | None, n: int = WINDOW) -> set[bytes]:
+    """The distinct windows of one item, words joined by blanks. A null item and one without words hold none."""
+    words = normal_words(text)
+    k = min(n, len(words))
+    return {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
+
+
+def window_set(pairs: Iterable[tuple[str, bytes]]) -> dict[int, dict[bytes, tuple[str, ...]]]:
+    """Length of window -> window -> the items that hold it, from pairs (item, window)."""
     found: dict[int, dict[bytes, set[str]]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        k = min(n, len(words))
-        for i in range(len(words) - k + 1 if k else 0):
-            found.setdefault(k, {}).setdefault(b" ".join(words[i : i + k]), set()).add(item)
+    for item, window in pairs:
+        found.setdefault(window.count(b" ") + 1, {}).setdefault(window, set()).add(item)
     return {k: {w: tuple(sorted(s)) for w, s in v.items()} for k, v in found.items()}
 
 
@@ -74,9 +79,7 @@ def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(bounds[lo][0], bounds[hi - 1][1]) for lo, hi in runs]
 
 
-def _scan_column(windows: dict, text: Column, spark) -> Column:
-    shared = spark.sparkContext.broadcast(windows)
-
+def _scan_column(shared: Broadcast, text: Column) -> Column:
     @F.pandas_udf(_RESULT)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(shared.value)
@@ -90,47 +93,64 @@ def _scan_column(windows: dict, text: Column, spark) -> Column:
     return scan(text)
 
 
-def _groups(benchmark: DataFrame, item_col: str, text_col: str, n: int, max_bytes: int) -> Iterator[dict]:
-    """Window sets of groups of items, each of about max_bytes of text at most."""
+def _pairs(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> tuple[DataFrame, str]:
+    """The distinct pairs (item, window), written."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for item, text in zip(b["item"], b["text"], strict=True):
+                own = sorted(windows_of(text, n))
+                for at in range(0, len(own), 10_000):
+                    yield pd.DataFrame({"item": item, "window": own[at : at + 10_000]})
+
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, math.ceil(1.5 * total / max_bytes)) if total > max_bytes else 1
+    return materialise(items.mapInPandas(cut, "item string, window binary").distinct(), "decontam-pairs")
+
+
+def _groups(pairs: DataFrame, max_pairs: int) -> Iterator[dict]:
+    """Window sets of groups of pairs, each of about max_pairs at most."""
+    total = pairs.count()
+    count = math.ceil(1.2 * total / max_pairs) if total > max_pairs else 1
     for g in range(count):
-        part = items if count == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(count)) == g)
-        yield windows_of([(r["item"], r["text"]) for r in part.toLocalIterator()], n)
+        part = pairs if count == 1 else pairs.where(F.pmod(F.xxhash64("item", "window"), F.lit(count)) == g)
+        yield window_set((r["item"], bytes(r["window"])) for r in part.toLocalIterator())
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WINDOW, max_bytes: int = MAX_BYTES, out: str = "_scan") -> DataFrame:
-    """``docs`` and a column ``out``: struct(n_words, hits, items, chars).
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = WINDOW, max_pairs: int = MAX_PAIRS, out: str = "_scan") -> DataFrame:
+    """``docs`` and a column ``out``: struct(n_words, hits, items, chars); ``out`` must be no column of ``docs``.
 
     hits are merged runs of hit words, chars their code-point spans, items the sorted items whose windows occur. A null
     or empty text has no words and no hits; rows repeat as they come; an empty benchmark hits nothing; items with a null
-    id or without words hold no window. One scan of ``docs`` while the item texts fit ``max_bytes``; beyond it one scan
-    a group of items, and the parts of a row (told apart by id and text) are merged.
+    id or without words hold no window. One scan of ``docs`` while the pairs of window and item fit ``max_pairs``; beyond
+    it one scan a group of pairs, and the parts of a row (told apart by id and text) are merged.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    groups = _groups(benchmark, item_col, item_text, n, max_bytes)
-    first = next(groups)
-    base = docs.withColumn(out, _scan_column(first, F.col(text_col), spark))
+    pairs, pairs_path = _pairs(benchmark, item_col, item_text, n)
+    groups = _groups(pairs, max_pairs)
+    base = docs.withColumn(out, _scan_column(spark.sparkContext.broadcast(next(groups)), F.col(text_col)))
+    key = [F.col(id_col).cast("string").alias("i"), F.sha2(F.col(text_col).cast("binary"), 256).alias("t")]
     hits = None
-    row = [F.col(id_col).cast("string").alias("_i"), F.sha2(F.col(text_col).cast("binary"), 256).alias("_t")]
     for windows in groups:
-        found = docs.select(*row, _scan_column(windows, F.col(text_col), spark).alias("s")).where(F.size("s.hits") > 0)
+        shared = spark.sparkContext.broadcast(windows)
+        found, _ = materialise(docs.select(*key, _scan_column(shared, F.col(text_col)).alias("s")).where(F.size("s.hits") > 0).distinct(), "decontam-hits")
+        shared.destroy()
         hits = found if hits is None else hits.union(found)
+    release(spark, pairs_path)
     if hits is None:
         return base
-    parts, _ = materialise(hits.union(base.select(*row, F.col(out).alias("s")).where(F.size("s.hits") > 0)).distinct(), "decontam-hits")
-    merged = parts.groupBy("_i", "_t").agg(
+    first = base.select(*key, F.col(out).alias("s")).where(F.size("s.hits") > 0).distinct()
+    parts, _ = materialise(hits.union(first), "decontam-hits")
+    i, t, ri, rt, own, rest = (unused(docs, c) for c in ("_i", "_t", "_ri", "_rt", "_own", "_rest"))
+    merged = parts.groupBy(F.col("i").alias(i), F.col("t").alias(t)).agg(F.struct(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("s.items")))).alias("items"),
         _merged(F.flatten(F.collect_list("s.hits"))).alias("hits"),
         _merged(F.flatten(F.collect_list("s.chars"))).alias("chars"),
-    )
-    keyed = base.withColumns({"_ri": row[0], "_rt": row[1]})
-    told = keyed.join(merged, F.col("_ri").eqNullSafe(F.col("_i")) & F.col("_rt").eqNullSafe(F.col("_t")), "left")
-    pick = lambda c: F.coalesce(F.col(c), F.col(f"{out}.{c}"))
-    whole = F.struct(F.col(f"{out}.n_words").alias("n_words"), pick("hits").alias("hits"), pick("items").alias("items"), pick("chars").alias("chars"))
-    return told.withColumn(out, whole).select(*docs.columns, out)
+    ).alias(rest))
+    keyed = base.withColumns({ri: key[0], rt: key[1]}).withColumnRenamed(out, own)
+    told = keyed.join(merged, F.col(ri).eqNullSafe(F.col(i)) & F.col(rt).eqNullSafe(F.col(t)), "left")
+    pick = lambda c: F.coalesce(F.col(rest)[c], F.col(own)[c]).alias(c)
+    return told.withColumn(out, F.struct(F.col(own)["n_words"].alias("n_words"), pick("hits"), pick("items"), pick("chars"))).select(*docs.columns, out)
 
 
 def _merged(spans: Column) -> Column:
@@ -161,11 +181,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     Clean rows stay as they are, null texts too. In mode "spans" a length column, where there is one, follows the text.
     """
-    scanned = scan(docs, benchmark, id_col, text_col, **kwargs)
-    if mode == "documents":
-        return scanned.where(F.size("_scan.hits") == 0).select(*docs.columns)
-    if mode != "spans":
+    if mode not in ("documents", "spans"):
         raise ValueError(f"mode {mode!r}")
+    out = unused(docs, "_scan")
+    scanned = scan(docs, benchmark, id_col, text_col, out=out, **kwargs)
+    hit = F.size(F.col(out)["hits"]) > 0
+    if mode == "documents":
+        return scanned.where(~hit).select(*docs.columns)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -177,11 +199,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
             out.append(x)
         return pd.Series(out, dtype=object)
 
-    changed = scanned.withColumn(text_col, F.when(F.size("_scan.hits") > 0, cut(F.col(text_col), F.col("_scan.chars"))).otherwise(F.col(text_col)))
+    changed = scanned.withColumn(text_col, F.when(hit, cut(F.col(text_col), F.col(out)["chars"])).otherwise(F.col(text_col)))
     if length_col in docs.columns:
-        changed = changed.withColumn(length_col, F.when(F.size("_scan.hits") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
+        changed = changed.withColumn(length_col, F.when(hit, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
     return changed.select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
