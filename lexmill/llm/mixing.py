@@ -7,7 +7,8 @@ the next one a token prefix, in the order of a seeded hash of epoch and document
 
 Sharing is water-filling in closed form over the leaf table: with children in order of capacity over weight, the level is
 the largest of (budget - capacities before) / (weights from here on). A leaf's prefix is found from token sums of hash
-buckets; only the one bucket where the budget ends is ordered by itself, so no leaf is ever sorted in one task.
+buckets, 256 of a leaf, then 256 of the bucket where the budget ends, ``DEPTH`` times; only the documents of the last
+bucket, a 16-millionth of the leaf, are ordered by themselves, so no leaf is ever sorted in one task.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.runtime import materialise
+from lexmill.llm.runtime import materialise, unused
 
 LEVELS = ("domain", "lang", "source")
+#: Rounds of buckets, of two hexadecimal digits each.
+DEPTH = 3
 
 
 @dataclass(frozen=True)
@@ -84,9 +87,10 @@ def _order(seed: int, epoch: Column, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def _with_tree(docs: DataFrame, source_col: str, lang_col: str, plan: Plan) -> DataFrame:
-    source, lang = F.coalesce(F.col(source_col), F.lit("?")), F.coalesce(F.col(lang_col), F.lit("?"))
-    return docs.withColumns({"_domain": plan.domain_of(source), "_lang": lang, "_source": source})
+def _tree(source_col: str, lang_col: str, plan: Plan) -> tuple[Column, Column, Column]:
+    """Domain, language and source of a row."""
+    source = F.coalesce(F.col(source_col), F.lit("?"))
+    return plan.domain_of(source), F.coalesce(F.col(lang_col), F.lit("?")), source
 
 
 def leaf_cuts(sizes: DataFrame, plan: Plan) -> DataFrame:
@@ -94,47 +98,56 @@ def leaf_cuts(sizes: DataFrame, plan: Plan) -> DataFrame:
 
     The prefix is the longest whose tokens stay within the rest; equal hashes (repeated ids) go in or out together.
     """
+    by, leaf = list(LEVELS), Window.partitionBy(*LEVELS)
     leaves = sizes.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     budgets, _ = materialise(leaf_budgets(leaves, plan), "mix-leaves")
-    ordered = sizes.join(budgets.where("rest > 0").select(*LEVELS, "whole", "rest"), list(LEVELS)).withColumn("h", _order(plan.seed, F.col("whole"), F.col("key")))
-    bucketed = ordered.withColumn("b", F.substring("h", 1, 3))
-    sums = bucketed.groupBy(*LEVELS, "b").agg(F.sum("n").alias("n"), F.max("rest").alias("rest"), F.max("h").alias("last"))
-    upto = sums.withColumn("sum", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("b")))
-    full = upto.where("sum <= rest").groupBy(*LEVELS).agg(F.max("last").alias("cut"))
-    edge = upto.where("sum > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("b", (F.col("sum") - F.col("n")).alias("done")), "b").alias("e"))
-    inside = bucketed.join(edge.select(*LEVELS, F.col("e.b").alias("b"), F.col("e.done").alias("done")), [*LEVELS, "b"])
-    run = inside.withColumn("sum", F.col("done") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h")))
+    told = budgets
+    # done: tokens before the bucket ``b`` in which the budget ends
+    edge = budgets.where("rest > 0").select(*LEVELS, "whole", "rest", F.lit("").alias("b"), F.lit(0).cast("long").alias("done"))
+    cuts = []
+    for level in range(1, DEPTH + 1):
+        inside = sizes.join(edge, by).withColumn("h", _order(plan.seed, F.col("whole"), F.col("key"))).where(F.col("h").startswith(F.col("b")))
+        sums = inside.groupBy(*LEVELS, F.left("h", F.lit(2 * level)).alias("next")).agg(F.sum("n").alias("n"), F.max("h").alias("last"), F.first("whole").alias("whole"), F.first("rest").alias("rest"), F.first("done").alias("done"))
+        upto = sums.withColumn("sum", F.col("done") + F.sum("n").over(leaf.orderBy("next")))
+        found = upto.groupBy(*LEVELS).agg(
+            F.max(F.when(F.col("sum") <= F.col("rest"), F.col("last"))).alias(f"cut{level}"), F.min(F.when(F.col("sum") > F.col("rest"), F.struct(F.col("next").alias("b"), (F.col("sum") - F.col("n")).alias("done"), "whole", "rest"))).alias("e"),
+        )
+        found, _ = materialise(found, "mix-edges")
+        cuts.append(f"cut{level}")
+        told = told.join(found.drop("e"), by, "left")
+        edge = found.where("e is not null").select(*LEVELS, "e.whole", "e.rest", "e.b", "e.done")
+    inside = sizes.join(edge, by).withColumn("h", _order(plan.seed, F.col("whole"), F.col("key"))).where(F.col("h").startswith(F.col("b")))
+    run = inside.withColumn("sum", F.col("done") + F.sum("n").over(leaf.orderBy("h")))
     more = run.where("sum <= rest").groupBy(*LEVELS).agg(F.max("h").alias("more"))
-    told = budgets.join(full, list(LEVELS), "left").join(more, list(LEVELS), "left")
-    return told.select(*LEVELS, "whole", F.greatest("cut", "more").alias("cut"))
+    return told.join(more, by, "left").select(*LEVELS, "whole", F.greatest(*cuts, "more").alias("cut"))
 
 
 def mix(docs: DataFrame, plan: Plan | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", with_docs: bool = False) -> DataFrame:
     """Selected documents, a row for each epoch that holds them: (id, domain, lang, source, epoch, n_tokens).
 
-    ``with_docs``: all columns of ``docs`` and ``_epoch``. Null languages and sources are the name "?"; texts without
-    words and leaves of weight 0 are never selected; a null id is ordered as the word null; an empty table gives no rows.
+    ``with_docs``: all columns of ``docs`` as they are and ``_epoch`` (with more underscores where ``docs`` has one). Null
+    languages and sources are the name "?"; texts without words and leaves of weight 0 are never selected; a null id is
+    ordered as the word null; an empty table gives no rows.
     """
     plan = plan or Plan()
-    tree = _with_tree(docs, source_col, lang_col, plan)
-    sized = tree.select(F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col(id_col).alias("key"), token_count(F.col(text_col)).alias("n")).where("n > 0")
+    tree = _tree(source_col, lang_col, plan)
+    sized = docs.select(*(c.alias(name) for c, name in zip(tree, LEVELS, strict=True)), F.col(id_col).alias("key"), token_count(F.col(text_col)).alias("n")).where("n > 0")
     sizes, _ = materialise(sized, "mix-sizes")
     cuts, _ = materialise(leaf_cuts(sizes, plan), "mix-cuts")
 
-    def epochs(key: Column) -> Column:
-        partial = F.when(_order(plan.seed, F.col("whole"), key) <= F.col("cut"), F.array("whole")).otherwise(F.array().cast("array<int>"))
-        return F.concat(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>")), partial)
+    def epochs(key: Column, whole: Column, cut: Column) -> Column:
+        none = F.array().cast("array<int>")
+        partial = F.when(_order(plan.seed, whole, key) <= cut, F.array(whole)).otherwise(none)
+        return F.concat(F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(none), partial)
 
     if not with_docs:
-        told = sizes.join(cuts, list(LEVELS)).withColumn("epoch", F.explode(epochs(F.col("key"))))
+        told = sizes.join(cuts, list(LEVELS)).withColumn("epoch", F.explode(epochs(F.col("key"), F.col("whole"), F.col("cut"))))
         return told.select(F.col("key").alias(id_col), *LEVELS, "epoch", F.col("n").alias("n_tokens"))
-    own = cuts.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "whole", "cut").withColumnsRenamed({"whole": "_whole", "cut": "_cut"})
-    worded = tree.where(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"))
-    told = worded.join(own, [f"_{c}" for c in LEVELS])
-    key = F.col(id_col)
-    partial = F.when(_order(plan.seed, F.col("_whole"), key) <= F.col("_cut"), F.array("_whole")).otherwise(F.array().cast("array<int>"))
-    each = F.concat(F.when(F.col("_whole") > 0, F.sequence(F.lit(0), F.col("_whole") - 1)).otherwise(F.array().cast("array<int>")), partial)
-    return told.withColumn("_epoch", F.explode(each)).select(*docs.columns, "_epoch")
+    names = {c: unused(docs, f"_{c}") for c in (*LEVELS, "whole", "cut", "epoch")}
+    own = cuts.select(*(F.col(c).alias(names[c]) for c in (*LEVELS, "whole", "cut")))
+    worded = docs.where(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).withColumns({names[c]: x for c, x in zip(LEVELS, tree, strict=True)})
+    told = worded.join(own, [names[c] for c in LEVELS])
+    return told.withColumn(names["epoch"], F.explode(epochs(F.col(id_col), F.col(names["whole"]), F.col(names["cut"])))).select(*docs.columns, names["epoch"])
 
 
 def oracle(plan: Plan | None = None) -> str:
