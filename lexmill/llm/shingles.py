@@ -3,11 +3,15 @@
 Texts are linked where their sets of ``WORDS``-word shingles have a similarity of at least ``SIMILARITY``. Candidates come
 from two sides. The first is the SimHash operator: fingerprints over the same shingles, joined by the pigeonring keys,
 give the pairs at most 3 bits apart. At a similarity of 0.8 fingerprints lie about 10 bits apart, out of reach of any
-radius that keys can serve, so the second side are min-wise hashes: pairs that agree in all ``ROWS`` minima of one of
-``BANDS`` bands. All candidates are compared by their whole sets, so no link is false; a pair at 0.8 exactly shares no
-band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7, a closer one with less. A band's bucket is never turned into
-all its pairs at once: its first members are compared with the rest, and only buckets whose rest is not connected yet go
-on, with four times as many.
+radius that keys can serve, so the second side is an exact set join of the texts that may have a partner at all. Those
+are the texts that agree with another in all ``ROWS`` minima of one of ``BANDS`` bands of min-wise hashes; a pair at 0.8
+exactly agrees in no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1.6e-5, a closer one with less. No pairs are made of
+bands. The join is by prefix filtering: with the shingles of a set in the order of their frequency, rarest first, two sets
+that are similar share one of the first n - 0.8 n + 1. So passages that very many texts share, which come last, join
+nothing, and only sets that share rare shingles are compared, by their whole sets: no link is false.
+
+The members of a shingle are never turned into all their pairs at once: a few of them are compared with the rest, and only
+where the rest is not connected yet more of them follow, eight times as many each round.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ from lexmill.llm import simhash
 from lexmill.llm.graph import connected_components
 from lexmill.llm.runtime import bound_batches, materialise, release
 
-WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 40, 5, 42
-#: Members of a bucket that are compared with its rest in the first round.
-CENTRES = 4
-_SLICE = 1024
+WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 60, 8, 42
+#: Members of a shingle that are compared with its rest in the first round, about, and how many times as many in the next.
+CENTRES, GROWTH = 1, 8
+#: Shingles in more sets than this are told their frequency by a broadcast, as far as they fit it (1 MB).
+HOT_SETS, HOT_SHINGLES = 1_000, 50_000
+_SLICE = 512
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -105,38 +111,78 @@ def simhash_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return links
 
 
+def _promising(sets: DataFrame) -> DataFrame:
+    """(fp, n, hashes): the distinct sets that share a band with another."""
+    keyed = sets.select(F.explode("keys").alias("key"), "fp")
+    shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
+    marked = keyed.join(shared, "key", "left_semi").select("fp").distinct()
+    return sets.join(marked, "fp", "left_semi").select("fp", F.size("hashes").alias("n"), "hashes").dropDuplicates(["fp"])
+
+
+def prefixes(whole: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, fp, n) from sets (fp, n, hashes): the shingles of each set's prefix that another set holds too.
+
+    A prefix is the first n - ceil(similarity n) + 1 shingles in the order of frequency, then value; those of a single
+    set take up places and join nothing.
+    """
+    each = whole.select(F.explode("hashes").alias("h"), "fp", "n")
+    counts, counts_path = materialise(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shingle-counts")
+    # frequencies of the most frequent shingles go by broadcast, so their rows meet in no task
+    hot = counts.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(HOT_SHINGLES).select("h", F.col("c").alias("hot"))
+    near = each.join(F.broadcast(hot), "h", "left")
+    cold = near.where("hot is null").drop("hot").join(counts, "h")
+    told = near.where("hot is not null").withColumnRenamed("hot", "c").unionByName(cold)
+    own = told.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("shared"))  # within one set
+    room = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+    head = F.slice("shared", 1, F.greatest(F.lit(0), room).cast("int"))
+    keys, _ = materialise(own.select(F.explode(head).alias("x"), "fp", "n").select(F.col("x.h").alias("key"), "fp", "n"), "shingle-prefixes")
+    release(whole.sparkSession, counts_path)
+    return keys
+
+
 def similar_links(sets: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
-    """(src, dst) between similar sets (fp, keys, hashes), enough to connect all pairs that share a band and are similar."""
+    """(src, dst) between similar sets (fp, keys, hashes), enough to connect all similar pairs that share a band."""
     spark = sets.sparkSession
-    keyed = sets.select(F.explode("keys").alias("key"), "fp", F.size("hashes").alias("n"))
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    bucket = Window.partitionBy("key")
-    members = keyed.join(shared, "key", "left_semi").distinct()
-    ranked = members.withColumns({"rank": F.row_number().over(bucket.orderBy(F.xxhash64("fp"), "fp")), "many": F.count("*").over(bucket)})
-    live, live_path = materialise(ranked.withColumn("part", F.lit(0).cast("long")), "shingle-buckets")
-    links, done, upto = None, 0, centres
+    whole, whole_path = materialise(_promising(sets), "shingle-promising")
+    keyed = prefixes(whole, similarity)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(_lot(), "fp")).alias("least")).where("many > 1")
+    members = keyed.join(sizes, "key").select("key", "fp", "n", "many", (F.col("fp") == F.col("least.fp")).alias("least"), _lot())
+    live, live_path = materialise(members.withColumn("part", F.lit(0).cast("long")), "shingle-members")
+    links, upto = None, centres
     while not live.isEmpty():
-        first = live.where((F.col("rank") > done) & (F.col("rank") <= upto)).select("key", F.col("fp").alias("src"), F.col("n").alias("m"), F.col("rank").alias("r"), F.col("part").alias("p"))
-        near = (F.col("rank") > F.col("r")) & ((F.col("part") != F.col("p")) | (F.col("part") == 0)) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+        first = live.where(_centre(upto)).where(~_centre(upto / GROWTH) if links is not None else F.lit(True))
+        first = first.select("key", F.col("fp").alias("src"), F.col("n").alias("m"), F.col("lot").alias("l"), F.col("part").alias("p"))
+        later = (F.col("lot") > F.col("l")) | ((F.col("lot") == F.col("l")) & (F.col("fp") > F.col("src")))
+        near = later & ((F.col("part") != F.col("p")) | (F.col("part") == 0)) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
         met = first.join(live, "key").where(near).select(F.least("src", "fp").alias("src"), F.greatest("src", "fp").alias("dst")).distinct()
         pairs, pairs_path = materialise(met, "shingle-pairs")
-        found = _checked(pairs, sets, similarity)
+        found = _checked(pairs, whole, similarity)
         links = found if links is None else links.union(found)
         release(spark, pairs_path)
-        rest = live.where(F.col("rank") > upto)
+        rest = live.where(~_centre(upto))
         if rest.isEmpty():
             break
-        # a bucket goes on where its rest is in several parts; part 0 is a set without links
+        # a shingle goes on where its rest is in several parts; part 0 is a set without links
         parts = connected_components(links).withColumnRenamed("vertex", "fp")
         rest = rest.drop("part").join(parts, "fp", "left").withColumn("part", F.coalesce("component", F.lit(0))).drop("component")
         open_keys = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y")).where("c > 1 and (x <> y or x = 0)").select("key")
-        rest, rest_path = materialise(rest.join(open_keys, "key", "left_semi"), "shingle-buckets")
+        rest, rest_path = materialise(rest.join(open_keys, "key", "left_semi"), "shingle-members")
         release(spark, live_path)
-        live, live_path, done, upto = rest, rest_path, upto, upto * 4
-    release(spark, live_path)
+        live, live_path, upto = rest, rest_path, upto * GROWTH
+    release(spark, live_path, whole_path)
     return links if links is not None else spark.createDataFrame([], "src long, dst long")
 
 
+def _lot() -> Column:
+    return F.xxhash64("fp").alias("lot")
+
+
+def _centre(upto: float) -> Column:
+    """Whether a member is among about the ``upto`` smallest lots of its shingle; the smallest always is."""
+    share = F.col("lot") / F.lit(2.0**64) + 0.5
+    return F.col("least") | (share < F.lit(float(upto)) / F.col("many"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one stays for each component of similar texts.
 
