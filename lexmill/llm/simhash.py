@@ -207,12 +207,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_first(docs: DataFrame, fps: DataFrame, links: DataFrame, of: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """``keep_one`` for fingerprints (id, fp), which ``of`` makes of a text, and the links between them."""
     classes, _ = materialise(_classes(_firsts(fps), links), "simhash-classes")
-    key, own = unused(docs, "_kept"), unused(docs, "_fp")
-    first = classes.where("kept").select(F.col("first").alias(key), F.col("fp").alias(f"{own}_kept"))
+    key, own, wanted = unused(docs, "_kept"), unused(docs, "_fp"), unused(docs, "_fp_kept")
+    first = classes.where("kept").select(F.col("first").alias(key), F.col("fp").alias(wanted))
     if fps.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
         kept = docs.join(first.select(key), F.col(id_col) == F.col(key), "left_semi")
     else:  # rows of one id may differ in text, so the fingerprint has to fit too
-        same = (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(f"{own}_kept"))
+        same = (F.col(id_col) == F.col(key)) & (F.col(own) == F.col(wanted))
         kept = docs.withColumn(own, of(F.col(text_col))).join(first, same, "left_semi").dropDuplicates([id_col, own]).select(*docs.columns)
     if not fps.where("id is null").isEmpty():
         kept = kept.union(docs.where(F.col(id_col).isNull()))

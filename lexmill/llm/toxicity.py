@@ -168,7 +168,7 @@ def _kept_features(docs: list[tuple[list[bytes], int]]) -> set[str]:
     for words, label in docs:
         if label:
             toxic.update({f for w in set(words) for f in features_of(w)})
-            for before, w, after in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
+            for before, w, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
                 places.setdefault(w, set()).add(hash((before, after)))
     need = math.log(50 * max(1, len(toxic))) / -math.log(n_toxic / len(docs))
     toxic = Counter({f: t for f, t in toxic.items() if t >= need})

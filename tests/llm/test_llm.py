@@ -324,19 +324,19 @@ def plain_contamination(docs, items):
     return out
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 20, 60])
-def test_contamination(spark, odd, none, max_bytes):
+@pytest.mark.parametrize("max_pairs", [1 << 20, 12])
+def test_contamination(spark, odd, none, max_pairs):
     src = {r["doc_id"]: r["text"] for r in odd.where("doc_id is not null").collect()}
     longest = max((t for t in src.values() if t and len(t) < 2000), key=len)
     items = [(1, longest.split(" ", 3)[3].upper()[:150]), (12, "Two, words!"), (2, ""), (3, None), (4, "never " * 12), (5, longest[-90:]), (6, longest[-90:])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = odd.where("length(text) < 5000 or text is null")
     want = plain_contamination([(r["doc_id"], r["text"]) for r in docs.collect()], items)
-    got = decontam.contamination(docs, bench, max_bytes=max_bytes)
+    got = decontam.contamination(docs, bench, max_pairs=max_pairs)
     assert Counter(map(tuple, got.collect())) == want and sum(k[5] for k in want) >= 2
-    kept = decontam.decontaminate(docs, bench, max_bytes=max_bytes)
+    kept = decontam.decontaminate(docs, bench, max_pairs=max_pairs)
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for k, n in want.items() if not k[5] for i in [k[0]] * n)
-    cut = decontam.decontaminate(docs, bench, "spans", max_bytes=max_bytes)
+    cut = decontam.decontaminate(docs, bench, "spans", max_pairs=max_pairs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert decontam.contamination(cut, bench).where("n_hit > 0 and n_words > 30").count() == 0
     assert decontam.contamination(none, bench).count() == 0
