@@ -6,6 +6,7 @@ entropy. ``n`` is the base length. Logarithms of 0 are -infinity; a spread of 0
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -121,3 +122,39 @@ def score_table(words: DataFrame, model: DataFrame, stats: DataFrame | None, ent
         named = scored.withColumns({"L": F.col("len"), "C": F.col("cnt"), "E": F.coalesce("entropy", F.lit(0.0)), "M": F.col("mean"), "S": F.col("stddev"), "N": base})
         scored = named.select("word", "len", "cnt", *wanted, *(F.expr(e).cast("double").alias(k) for k, e in custom.items()))
     return scored
+
+
+def count_calls(expression: str) -> list[tuple[int, int]]:
+    """(start, end) of the calls C(..) of an expression, outer ones only."""
+    out, at = [], 0
+    while found := re.compile(r"(?<![\w.`])C\(").search(expression, at):
+        depth, end = 1, found.end()
+        while depth and end < len(expression):
+            depth += {"(": 1, ")": -1}.get(expression[end], 0)
+            end += 1
+        if depth:
+            raise ValueError(f"unclosed call in {expression!r}")
+        out.append((found.start(), end))
+        at = end
+    return out
+
+
+def count_scores(words: DataFrame, model: DataFrame, n: float, expression: str) -> DataFrame:
+    """(word, score) by a SQL expression over S (the word), N (the base length) and the function C(text).
+
+    C is the count of any text in the model, 0 where it has none, such as C(S) / C(left(S, 1)). Each different call is
+    one join with the model; calls do not nest.
+    """
+    calls = {expression[a + 2 : b - 1] for a, b in count_calls(expression)}
+    if any(count_calls(c) for c in calls):
+        raise ValueError("calls of C do not nest")
+    table = words.select("word").distinct().withColumns({"S": F.col("word"), "N": F.lit(float(n))})
+    names = {call: f"_c{i}" for i, call in enumerate(sorted(calls))}
+    for call, name in names.items():
+        own = model.select(F.col("word").alias(f"{name}w"), F.col("cnt").alias(name))
+        table = table.join(own, F.expr(call) == F.col(f"{name}w"), "left").withColumn(name, F.coalesce(name, F.lit(0))).drop(f"{name}w")
+    parts, at = [], 0
+    for a, b in count_calls(expression):
+        parts += [expression[at:a], names[expression[a + 2 : b - 1]]]
+        at = b
+    return table.select("word", F.expr("".join([*parts, expression[at:]])).cast("double").alias("score"))

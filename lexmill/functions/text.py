@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Java and RE2 character classes (without brackets).
 CJK = r"\x{4e00}-\x{9fff}"
 LETTERS = r"\p{L}"
+#: Marks that no candidate phrase holds.
 PUNCTUATION = " \n\r\t-,.?!*　，。、；：？！…“”「」—－（）《》．／＼"
 CHUNK_BREAKS = {"default": "[ \\r\\n]", "space": " ", "wide": "[ \\r\\n\\t]"}
 
@@ -146,3 +147,46 @@ def char_index(texts, text_col: str):
 
     distinct = texts.select(F.explode(chars(F.col(text_col))).alias("ch")).distinct()
     return distinct.select("ch", (F.row_number().over(Window.orderBy("ch")) - 1).cast("int").alias("idx"))
+
+
+def not_shorter_than(text: Column, n: int) -> Column:
+    """Whether a text takes n bytes of UTF-8 or more."""
+    return F.octet_length(text) >= n
+
+
+def move_right(text: Column) -> Column:
+    """Without the first character."""
+    return F.substring(text, 2, 2147483647)
+
+
+def move_left(text: Column) -> Column:
+    """Without the last character."""
+    return F.left(text, F.greatest(F.length(text) - 1, F.lit(0)))
+
+
+def byte_position(text: Column, part: Column) -> Column:
+    """The byte, from 0, at which ``part`` first occurs; null where it does not."""
+    at = F.call_function("instr", text, part)
+    return F.when(at > 0, F.octet_length(F.left(text, at - 1)))
+
+
+def reverse_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: the order of two texts read from their ends."""
+    x, y = F.reverse(a), F.reverse(b)
+    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+
+def stamp(moment: Column) -> Column:
+    """A moment as in file names: date, time with dashes, seven digits of the second."""
+    return F.date_format(moment, "yyyy-MM-dd HH-mm-ss.SSSSSSS")
+
+
+# Multisets: maps from an element to how often it is there
+def multiset_add(bag: Column, item: Column, times: int = 1) -> Column:
+    grown = F.transform_values(bag, lambda k, v: v + F.when(k == item, times).otherwise(0))
+    return F.when(F.map_contains_key(bag, item), grown).otherwise(F.map_concat(bag, F.create_map(item, F.lit(times).cast("long"))))
+
+
+def multiset_remove(bag: Column, item: Column, times: int = 1) -> Column:
+    """Elements that reach 0 go; one that is not there changes nothing."""
+    return F.map_filter(F.transform_values(bag, lambda k, v: v - F.when(k == item, times).otherwise(0)), lambda k, v: v > 0)

@@ -81,17 +81,56 @@ def segments(spark: SparkSession, text: Column, own: Converter) -> Column:
     return run(text)
 
 
-def register(spark: SparkSession, folders: tuple[str, ...] = ()) -> None:
-    """SQL function convert_zh(text, config)."""
+def register(spark: SparkSession, folders: tuple[str, ...] = (), configs: tuple[str, ...] = tuple(D.PRESETS)) -> list[str]:
+    """SQL function convert_zh(text, config) for the configurations whose dictionaries are there, which are returned.
+
+    Dictionaries are read here, once, and broadcast; workers read no files. Another configuration's name is an error.
+    """
+    made: dict[str, Converter] = {}
+    for c in configs:
+        try:
+            made[c] = converter(c, folders)
+        except D.FileNotFound:
+            continue
+    shared = spark.sparkContext.broadcast(made)
 
     @F.pandas_udf("string")
-    def convert_zh(texts: pd.Series, configs: pd.Series) -> pd.Series:
-        made: dict[str, Converter] = {}
-        out = []
-        for x, c in zip(texts, configs, strict=True):
-            if x is not None and c not in made:
-                made[c] = converter(c, folders)
-            out.append(None if x is None else made[c].convert(x))
-        return pd.Series(out, dtype=object)
+    def convert_zh(texts: pd.Series, names: pd.Series) -> pd.Series:
+        own = shared.value
+        if missing := set(names.dropna()) - set(own):
+            raise ValueError(f"no dictionaries for {sorted(missing)}")
+        return pd.Series([None if x is None or c is None else own[c].convert(x) for x, c in zip(texts, names, strict=True)], dtype=object)
 
     spark.udf.register("convert_zh", convert_zh)
+    return list(made)
+
+
+def main(args: list[str] | None = None) -> None:
+    """Command line: converts text line by line, without Spark."""
+    import argparse
+    import sys
+
+    cli = argparse.ArgumentParser(description="Convert text by a configuration.")
+    cli.add_argument("-c", "--config", required=True, help="a preset, a configuration file or JSON text")
+    cli.add_argument("-i", "--input", help="input file; standard input by default")
+    cli.add_argument("-o", "--output", help="output file; standard output by default")
+    cli.add_argument("-p", "--path", action="append", default=[], help="folder of dictionaries and configurations, repeatable")
+    cli.add_argument("--noflush", action="store_true", help="do not flush after each line")
+    given = cli.parse_args(args)
+    own = converter(given.config, tuple(given.path))
+    source = open(given.input, encoding="utf-8") if given.input else sys.stdin
+    sink = open(given.output, "w", encoding="utf-8") if given.output else sys.stdout
+    try:
+        for line in source:
+            sink.write(own.convert(line))
+            if not given.noflush:
+                sink.flush()
+    finally:
+        if given.input:
+            source.close()
+        if given.output:
+            sink.close()
+
+
+if __name__ == "__main__":
+    main()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill import scratch
 from lexmill.functions import text as X
 
 
@@ -73,6 +74,16 @@ def node_count(model: DataFrame) -> DataFrame:
     return prefixes.distinct().agg((F.count("*") + 1).alias("n_nodes"))
 
 
+def trie_nodes(model: DataFrame) -> DataFrame:
+    """(node, depth, cnt) of all prefixes of the words and the root, in the order in which a walk reaches them.
+
+    A walk goes down to a row deeper than the one before and up before a row that is not.
+    """
+    own = model.select("word", "cnt").withColumn("k", F.explode(F.sequence(F.lit(0), F.length("word"))))
+    nodes = own.groupBy(F.expr("left(word, k)").alias("node")).agg(F.sum(F.when(F.col("k") == F.length("word"), F.col("cnt")).otherwise(0)).alias("cnt"))
+    return nodes.select("node", F.length("node").alias("depth"), "cnt").orderBy("node")
+
+
 def total_mass(model: DataFrame) -> DataFrame:
     return model.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
 
@@ -88,24 +99,30 @@ def repeated(texts: DataFrame, text_col: str, n: int) -> tuple[DataFrame, DataFr
     return found.where(~X.has_line_break(F.col("word"))), found.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("total"))
 
 
+def repeated_listing(texts: DataFrame, text_col: str, n: int) -> DataFrame:
+    """The lines of a listing in order: ``count<TAB>text`` by count descending and text, then the total.
+
+    Texts that hold a line end are counted in the total and not listed.
+    """
+    found = scratch.written(fixed_counts(texts, text_col, n).where("cnt > 1"), "ngram-repeated")
+    own = found.where(~X.has_line_break(F.col("word"))).select(F.lit(0).alias("part"), "cnt", "word", F.concat_ws("\t", "cnt", "word").alias("line"))
+    total = found.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("t")).select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("cnt"), F.lit("").alias("word"), F.concat(F.lit("Total Count: "), F.col("t").cast("string")).alias("line"))
+    return own.union(total).orderBy("part", F.desc("cnt"), "word").select("line")
+
+
 def frequent_substrings(texts: DataFrame, id_col: str, text_col: str, threshold: int, max_len: int | None = None, checkpoint_every: int = 4) -> DataFrame:
     """(word, len, cnt) of every substring that occurs ``threshold`` times or more, whatever its length.
 
     Level k + 1 looks at places whose first k and last k characters are both frequent. A level is one aggregation; the
-    places that live on are written to the checkpoint folder every few levels.
+    places that live on are written every few levels.
     """
-    spark = texts.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
-    rows = texts.select(F.monotonically_increasing_id().alias("_d"), F.col(text_col).alias("_t")).checkpoint()
+    rows = scratch.written(texts.select(F.monotonically_increasing_id().alias("_d"), F.col(text_col).alias("_t")), "frequent-rows")
     alive = occurrences(rows, F.col("_t"), 1, 1, ("_d",)).select("_d", "pos", "word")
     chars = alive.select("_d", "pos", F.col("word").alias("ch"))
     found, k = None, 1
     while True:
         kept = alive.groupBy("word").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= threshold)
-        level = kept.select("word", F.lit(k).alias("len"), "cnt").checkpoint()
+        level = scratch.written(kept.select("word", F.lit(k).alias("len"), "cnt"), "frequent-level")
         if level.isEmpty():
             break
         found = level if found is None else found.unionByName(level)
@@ -118,7 +135,7 @@ def frequent_substrings(texts: DataFrame, id_col: str, text_col: str, threshold:
         alive = longer.join(tail, ["_d", "pos"]).select("_d", "pos", F.concat("word", "ch").alias("word"))
         k += 1
         if k % checkpoint_every == 0:
-            alive = alive.checkpoint()
+            alive = scratch.written(alive, "frequent-places")
     return found if found is not None else level
 
 
@@ -131,17 +148,26 @@ def counts_of(queries: DataFrame, model: DataFrame, word_col: str = "word") -> D
 def occurrence_counts(queries: DataFrame, texts: DataFrame, text_col: str, word_col: str = "word", missing: int = 0) -> DataFrame:
     """(word, cnt): occurrences, overlapping ones too, of each distinct query word in whole texts; ``missing`` where none.
 
-    Only the lengths that are asked for are cut from the texts, and only words that are asked for leave the scan.
+    One pass over the texts, whatever the number of lengths: only the lengths that are asked for are cut, and only words
+    that are asked for leave the scan.
     """
     words = queries.select(F.col(word_col).alias("word")).where(F.length(word_col) > 0).distinct()
     lengths = [r[0] for r in words.select(F.length("word").alias("n")).distinct().orderBy("n").collect()]
-    hits = None
-    for n in lengths:
-        own = occurrences(texts, F.col(text_col), n, n).join(words.where(F.length("word") == n), "word", "left_semi").select("word")
-        hits = own if hits is None else hits.union(own)
-    if hits is None:
+    if not lengths:
         return words.withColumn("cnt", F.lit(missing).cast("long"))
-    return words.join(hits.groupBy("word").agg(F.count("*").alias("cnt")), "word", "left").withColumn("cnt", F.coalesce("cnt", F.lit(missing).cast("long")))
+    base = texts.select(X.chars(F.col(text_col)).alias("__c")).where(F.size("__c") >= lengths[0])
+    asked = F.array(*(F.lit(n) for n in lengths))
+    cut = lambda p: F.transform(F.filter(asked, lambda n: n <= F.size("__c") - p + 1), lambda n: F.array_join(F.slice("__c", p, n), ""))
+    each = base.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("__c") - lengths[0] + 1), cut))).alias("word"))
+    hits = each.join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("cnt"))
+    return words.join(hits, "word", "left").withColumn("cnt", F.coalesce("cnt", F.lit(missing).cast("long")))
+
+
+def occurring(queries: DataFrame, texts: DataFrame, text_col: str, word_col: str = "word") -> DataFrame:
+    """The rows of ``queries`` whose word occurs in some text; an empty word occurs wherever there is a text."""
+    found = occurrence_counts(queries, texts, text_col, word_col).where("cnt > 0").select(F.col("word").alias(word_col))
+    empty = texts.where(F.col(text_col).isNotNull()).limit(1).select(F.lit("").alias(word_col))
+    return queries.join(found.union(empty), word_col, "left_semi")
 
 
 def shares(counts: DataFrame, group: str, count_col: str = "cnt") -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 from lexmill.operators.ngrams import occurrences
+from lexmill.scratch import written
 
 
-def _entropy(pairs: DataFrame, name: str) -> DataFrame:
-    counts = pairs.groupBy("word", "side").agg(F.count("*").alias("c"))
+def _entropy(sides: DataFrame, side: str, name: str) -> DataFrame:
+    counts = sides.where(F.col(side).isNotNull()).groupBy("word", side).agg(F.sum("c").alias("c"))
     folded = counts.groupBy("word").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.ln("c")).alias("l"))
     return folded.select("word", F.greatest(F.lit(0.0), F.ln("s") - F.col("l") / F.col("s")).alias(name))
 
@@ -20,32 +21,39 @@ def signals(texts: DataFrame, text_col: str, min_len: int = 2, max_len: int = 2,
 
     Probabilities are shares of all occurrences of all lengths. Cohesion is the least pointwise mutual information over
     the ways to cut a word in two, infinite for one character. Entropies look at ``neighbours`` characters, 0 where no
-    text goes on; texts do not run into each other.
+    text goes on; texts do not run into each other. Texts are cut once, into counts by word and neighbours, which are
+    written; everything else comes from that table.
     """
     found = occurrences(texts, F.col(text_col), 1, max_len, (), neighbours)
-    counts = found.groupBy("word", "len").agg(F.count("*").alias("freq"))
+    sides = written(found.groupBy("word", "len", "next", "prev").agg(F.count("*").alias("c")), "phrase-sides")
+    counts = written(sides.groupBy("word", "len").agg(F.sum("c").alias("freq")), "phrase-counts")
     total = counts.agg(F.sum("freq").alias("_all"))
     probs = counts.join(F.broadcast(total)).select("word", "len", "freq", (F.col("freq") / F.col("_all")).alias("prob"), (F.ln("freq") - F.ln("_all")).alias("log_prob"))
-    cut = probs.where("len > 1").select("word", "log_prob", F.explode(F.sequence(F.lit(1), F.col("len") - 1)).alias("k"))
+    cut = probs.where(F.col("len") >= max(2, min_len)).select("word", "log_prob", F.explode(F.sequence(F.lit(1), F.col("len") - 1)).alias("k"))
     halves = cut.select("word", "log_prob", F.expr("left(word, k)").alias("a"), F.expr("substring(word, k + 1)").alias("b"))
     left = probs.select(F.col("word").alias("a"), F.col("log_prob").alias("pa"))
     right = probs.select(F.col("word").alias("b"), F.col("log_prob").alias("pb"))
     cohesion = halves.join(left, "a").join(right, "b").groupBy("word").agg(F.min(F.col("log_prob") - F.col("pa") - F.col("pb")).alias("cohesion"))
-    after = _entropy(found.where("next is not null").select("word", F.col("next").alias("side")), "suffix_entropy")
-    before = _entropy(found.where("prev is not null").select("word", F.col("prev").alias("side")), "prefix_entropy")
-    told = probs.join(cohesion, "word", "left").join(after, "word", "left").join(before, "word", "left")
-    return told.where(F.col("len") >= min_len).select(
+    wanted = sides.where(F.col("len") >= min_len)
+    after, before = _entropy(wanted, "next", "suffix_entropy"), _entropy(wanted, "prev", "prefix_entropy")
+    told = probs.where(F.col("len") >= min_len).join(cohesion, "word", "left").join(after, "word", "left").join(before, "word", "left")
+    return told.select(
         "word", "len", "freq", "prob", "log_prob", F.when(F.col("len") == 1, F.lit(float("inf"))).otherwise(F.col("cohesion")).alias("cohesion"),
         F.coalesce("suffix_entropy", F.lit(0.0)).alias("suffix_entropy"), F.coalesce("prefix_entropy", F.lit(0.0)).alias("prefix_entropy"),
     )
 
 
 def candidates(words: DataFrame, pre_filter: Column | None = None) -> DataFrame:
-    """Words without punctuation that no pre-filter drops; order by freq descending, then word."""
+    """Words without punctuation that no pre-filter drops."""
     kept = words.where(~X.has_punctuation(F.col("word")))
     return kept.where(pre_filter) if pre_filter is not None else kept
 
 
+def listed(words: DataFrame) -> DataFrame:
+    """Candidates or phrases in their listing order: by freq descending, then word."""
+    return words.orderBy(F.desc("freq"), "word")
+
+
 def default_post_filter() -> Column:
     c, lp, pre, suf = (F.col(x) for x in ("cohesion", "log_prob", "prefix_entropy", "suffix_entropy"))
     spread = F.sqrt(pre * (suf + 1)) - 0.85 * lp
@@ -59,7 +67,7 @@ def extract(texts: DataFrame, text_col: str, min_len: int = 2, max_len: int = 2,
 
 
 def windows(texts: DataFrame, text_col: str, size: int, backwards: bool = False) -> DataFrame:
-    """(pos, window): the up to ``size`` characters from each place on, or up to each place; sort by window or its reverse."""
+    """(pos, window): the up to ``size`` characters from each place on, or up to each place."""
     base = texts.select(X.chars(F.col(text_col)).alias("c")).where(F.size("c") > 0)
 
     def one(p: Column) -> Column:
@@ -68,3 +76,9 @@ def windows(texts: DataFrame, text_col: str, size: int, backwards: bool = False)
         return F.struct((p - 1).alias("pos"), F.array_join(F.slice("c", start, n), "").alias("window"))
 
     return base.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c")), one)).alias("w")).select("w.*")
+
+
+def sorted_windows(texts: DataFrame, text_col: str, size: int, backwards: bool = False) -> DataFrame:
+    """The windows in order, those up to each place in the order of their reversed text; of equal ones the later place first."""
+    key = F.reverse("window") if backwards else F.col("window")
+    return windows(texts, text_col, size, backwards).orderBy(key, F.desc("pos"))

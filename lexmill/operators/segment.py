@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.scratch import written
+
 #: What a character that no score reaches is worth, so that every text has a segmentation.
 FLOOR = -1e6
 #: Score rows that are broadcast; beyond it each distinct chunk gets its own scores by a join.
-BROADCAST_WORDS = 1_000_000
+BROADCAST_WORDS = 200_000
 
 
 def best_split(text: str, score: dict[str, float], max_len: int, floor: float = FLOOR) -> list[str]:
@@ -20,17 +22,18 @@ def best_split(text: str, score: dict[str, float], max_len: int, floor: float =
 
     Words without a finite score are not taken; a single character without one is worth ``floor``.
     """
-    n = len(text)
+    n, get = len(text), score.get
     best, back = [-math.inf] * (n + 1), [0] * (n + 1)
     best[0] = 0.0
     for i in range(n):
+        top = best[i]
         for k in range(1, min(max_len, n - i) + 1):
-            s = score.get(text[i : i + k])
-            if s is None or not math.isfinite(s):
+            s = get(text[i : i + k])
+            if s is None or s - s != 0.0:  # nothing finite
                 if k > 1:
                     continue
                 s = floor
-            if (v := best[i] + s) > best[i + k]:
+            if (v := top + s) > best[i + k]:
                 best[i + k], back[i + k] = v, k
     out = []
     while n:
@@ -54,9 +57,11 @@ def segment(chunks: DataFrame, scores: DataFrame, chunk_col: str = "chunk", scor
     distributed: each distinct chunk is joined with the scores of its own substrings.
     """
     spark = chunks.sparkSession
-    table = scores.select("word", F.col(score_col).cast("double").alias("score")).where(F.length("word") <= max_len)
-    if table.limit(broadcast_words + 1).count() <= broadcast_words:
-        shared = spark.sparkContext.broadcast({r["word"]: r["score"] for r in table.toLocalIterator() if r["score"] is not None})
+    table = scores.select("word", F.col(score_col).cast("double").alias("score")).where((F.length("word") <= max_len) & F.col(score_col).isNotNull())
+    table = written(table, "segment-scores")  # scored once: counted and read from here
+    if table.count() <= broadcast_words:
+        own_rows = table.toPandas()
+        shared = spark.sparkContext.broadcast(dict(zip(own_rows["word"], own_rows["score"], strict=True)))
 
         @F.pandas_udf("array<string>")
         def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,7 +1,8 @@
 """Suffix order, common prefixes and what follows from them.
 
-Suffixes are ordered within a text by keys of at most ``key_len`` characters; ``tied`` marks neighbours whose keys agree
-in full and whose order is then by place. With a key as long as the longest text the order is exact.
+Suffixes are ordered within a text, first by keys of ``key_len`` characters. Where keys agree in full the order is refined
+by prefix doubling: pairs of ranks (of a place, and of the place 64, 128, .. characters on) give ranks over twice the
+length, until all ranks differ. So order and heights are exact for texts of any length and repetition.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill import scratch
 from lexmill.functions import text as X
 
 
@@ -19,35 +21,80 @@ def suffixes(texts: DataFrame, id_col: str, text_col: str, key_len: int = 64) ->
     return base.select(id_col, F.explode(each).alias("s")).select(id_col, "s.pos", "s.suffix")
 
 
+def _ranked(rows: DataFrame, id_col: str, *order) -> DataFrame:
+    """Rank r by the given order, equal for equal keys, and whether another place has it."""
+    w = Window.partitionBy(id_col).orderBy(*order)
+    same = Window.partitionBy(id_col, "r")
+    return rows.withColumn("r", F.rank().over(w)).withColumn("tied", F.count("*").over(same) > 1)
+
+
 def suffix_array(texts: DataFrame, id_col: str, text_col: str, key_len: int = 64) -> DataFrame:
-    """(id, rank, pos, height, tied) per text: rank from 0, height the characters shared with the suffix before."""
-    w = Window.partitionBy(id_col).orderBy("suffix", F.desc("pos"))
-    ranked = suffixes(texts, id_col, text_col, key_len).withColumns({"rank": F.row_number().over(w) - 1, "_before": F.lag("suffix").over(w)})
-    height = F.when(F.col("_before").isNull(), 0).otherwise(X.common_prefix_length(F.col("_before"), F.col("suffix"))).cast("int")
-    return ranked.select(id_col, "rank", "pos", height.alias("height"), F.coalesce((F.col("suffix") == F.col("_before")) & (F.length("suffix") == key_len), F.lit(False)).alias("tied"))
+    """(id, rank, pos, height) per text: rank from 0, height the characters shared with the suffix before."""
+    keyed = suffixes(texts, id_col, text_col, key_len)
+    first = _ranked(keyed, id_col, "suffix")
+    levels = [scratch.written(first.select(id_col, "pos", "suffix", "r", "tied"), "suffix-ranks")]
+    span = key_len
+    while not levels[-1].where("tied").isEmpty():
+        last = levels[-1]
+        on = last.select(id_col, (F.col("pos") - span).alias("pos"), F.col("r").alias("on"))
+        paired = last.select(id_col, "pos", "r").join(on, [id_col, "pos"], "left").withColumnRenamed("r", "own")
+        levels.append(scratch.written(_ranked(paired, id_col, "own", F.coalesce("on", F.lit(0))).select(id_col, "pos", "r", "tied"), "suffix-ranks"))
+        span *= 2
+    pair = levels[-1].select(id_col, "pos", (F.col("r") - 1).cast("int").alias("rank"), F.lag("pos").over(Window.partitionBy(id_col).orderBy("r")).alias("before"))
+    # a height: whole spans on which ranks agree, the longest first, then the rest by the keys
+    at = pair.withColumn("height", F.lit(0))
+    for k in range(len(levels) - 1, -1, -1):
+        step = key_len << k
+        ranks = levels[k].select(id_col, "pos", "r")
+        mine = ranks.select(F.col(id_col), F.col("pos").alias("p"), F.col("r").alias("mine"))
+        theirs = ranks.select(F.col(id_col), F.col("pos").alias("q"), F.col("r").alias("theirs"))
+        moved = at.withColumns({"p": F.col("pos") + F.col("height"), "q": F.col("before") + F.col("height")})
+        told = moved.join(mine, [id_col, "p"], "left").join(theirs, [id_col, "q"], "left")
+        # texts end between: ranks then agree on less than a whole span, which the keys settle
+        whole = F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))
+        at = told.withColumn("height", F.when(whole, F.col("height") + step).otherwise(F.col("height"))).select(id_col, "pos", "rank", "before", "height")
+    keys = levels[0].select(id_col, "pos", "suffix")
+    moved = at.withColumns({"p": F.col("pos") + F.col("height"), "q": F.col("before") + F.col("height")})
+    told = moved.join(keys.select(F.col(id_col), F.col("pos").alias("p"), F.col("suffix").alias("a")), [id_col, "p"], "left").join(keys.select(F.col(id_col), F.col("pos").alias("q"), F.col("suffix").alias("b")), [id_col, "q"], "left")
+    rest = F.coalesce(X.common_prefix_length(F.col("a"), F.col("b")), F.lit(0))
+    return told.select(id_col, "rank", "pos", (F.col("height") + rest).cast("int").alias("height"))
 
 
 def prefix_bounds(queries: DataFrame, texts: DataFrame, id_col: str, text_col: str, word_col: str = "word", key_len: int = 64) -> DataFrame:
     """(word, id, lower, upper): the suffixes of each text that start with a word are those of rank lower..upper - 1.
 
-    An empty word covers all suffixes. Words are few: the table is broadcast where Spark finds it small enough.
+    An empty word covers all suffixes. The result is a row for each word and text, so words go into each text's rows; the
+    ranks come from one sort of a text's suffixes and words together, not from comparing each with each. Keys are as long
+    as the longest word.
     """
     words = queries.select(F.col(word_col).alias("word")).where(F.col("word").isNotNull()).distinct()
-    s = suffixes(texts, id_col, text_col, key_len)
-    counted = s.join(words, F.lit(True)).groupBy("word", id_col).agg(F.count_if(F.col("suffix") < F.col("word")).alias("lower"), F.count_if(F.col("suffix").startswith(F.col("word"))).alias("n"))
-    return counted.select("word", id_col, "lower", (F.col("lower") + F.col("n")).alias("upper"))
-
-
-def substring_classes(texts: DataFrame, id_col: str, text_col: str, max_len: int) -> DataFrame:
-    """(word, len, cnt, freq) of all substrings of 1..max_len over all texts.
+    longest = words.agg(F.max(F.length("word"))).first()[0]
+    if longest is None:
+        return texts.limit(0).select(F.lit("").alias("word"), id_col, F.lit(0).cast("long").alias("lower"), F.lit(0).cast("long").alias("upper"))
+    keys = suffixes(texts, id_col, text_col, max(key_len, longest)).select(id_col, F.col("suffix").alias("key"), F.lit(None).cast("string").alias("word"), F.lit(1).alias("n"), F.lit(0).alias("end"))
+    ids = texts.where(F.length(text_col) > 0).select(id_col).distinct()
+    # each word once before and once behind all that starts with it
+    ends = ids.crossJoin(words).select(id_col, "word", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"))
+    marks = ends.select(id_col, F.when(F.col("end") == 1, F.concat("word", F.lit("\U0010ffff"))).otherwise(F.col("word")).alias("key"), "word", F.lit(0).alias("n"), "end")
+    w = Window.partitionBy(id_col).orderBy("key", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = keys.union(marks).withColumn("upto", F.sum("n").over(w)).where("word is not null")
+    return upto.groupBy("word", id_col).agg(F.min("upto").alias("lower"), F.max("upto").alias("upper"))
+
+
+def substring_classes(texts: DataFrame, text_col: str, max_len: int | None = None) -> DataFrame:
+    """(word, len, cnt, freq) of all substrings of 1..max_len characters over all texts, of every length where it is None.
 
     cnt counts occurrences. A substring is closed if no longer one by a character before it has the same count; freq of a
     closed one is cnt less the counts of the closed ones whose longest shorter closed suffix it is, else null: occurrences
-    that no longer repeated context accounts for. Words of max_len have no longer ones here.
+    that no longer repeated context accounts for. Words of max_len have no longer ones here. All lengths are quadratic in
+    the length of a text, as are the classes themselves; for long texts give a max_len.
     """
     from lexmill.operators.ngrams import occurrences
 
+    if max_len is None:
+        max_len = texts.agg(F.max(F.length(text_col))).first()[0] or 1
     counts = occurrences(texts, F.col(text_col), 1, max_len).groupBy("word", "len").agg(F.count("*").alias("cnt"))
+    counts = scratch.written(counts, "suffix-counts")
     longer = counts.where("len > 1").select(F.expr("substring(word, 2)").alias("word"), F.col("cnt").alias("c"))
     best = longer.groupBy("word").agg(F.max("c").alias("c"))
     marked = counts.join(best, "word", "left").select("word", "len", "cnt", (F.coalesce("c", F.lit(0)) < F.col("cnt")).alias("closed"))
@@ -68,3 +115,10 @@ def export_lines(arrays: DataFrame, id_col: str) -> DataFrame:
     told = arrays.groupBy(id_col).agg(by_rank.alias("r"), F.array_sort(F.collect_list(F.struct("pos", "rank"))).alias("p"))
     join = lambda a, f: F.array_join(F.transform(a, lambda x: x[f].cast("string")), " ")
     return told.select(id_col, join("r", "pos").alias("sa"), join("r", "height").alias("height"), join("p", "rank").alias("rank"))
+
+
+def export_listing(arrays: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, lines): four labelled lines a text, its characters, suffix array, ranks and heights, blank-joined."""
+    told = export_lines(arrays, id_col).join(texts.select(id_col, F.array_join(X.chars(F.col(text_col)), " ").alias("s")), id_col)
+    label = lambda name, c: F.concat(F.lit(f"SA.{name}\n"), F.col(c))
+    return told.select(id_col, F.concat_ws("\n", label("S", "s"), label("SA", "sa"), label("RANK", "rank"), label("HEIGHT", "height")).alias("lines"))

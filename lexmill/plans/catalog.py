@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill import scratch
 from lexmill.functions import scores as S
 from lexmill.functions import text as X
 from lexmill.operators import convert, html, ngrams, phrases, segment, stats, suffix, train, vectors
+from lexmill.plans import recursive as R
 from lexmill.session import table
 from lexmill.sources import corpora, dictionaries
+from lexmill.streaming import lookups
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "char_ngram_top"
@@ -223,9 +226,18 @@ _SUFFIXES = """s AS (SELECT p_partkey, p - 1 AS pos, substring(p_name, p) AS suf
 
 @query(f"""
 WITH {_SUFFIXES}, r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix) - 1 AS rank, lag(suffix) OVER (PARTITION BY p_partkey ORDER BY suffix) AS b FROM s)
-SELECT p_partkey, rank, pos, coalesce(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: left(suffix, i::INT) = left(b, i::INT))), 0) AS height, false AS tied FROM r""")
+SELECT p_partkey, rank, pos, coalesce(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: left(suffix, i::INT) = left(b, i::INT))), 0) AS height FROM r""")
 def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_array(table(spark, sf_dir, "part"), "p_partkey", "p_name", 64)
+    return suffix.suffix_array(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+@query("""
+WITH t AS (SELECT p_partkey, repeat(p_name, 6) AS t FROM part), s AS (SELECT p_partkey, p - 1 AS pos, substring(t, p) AS suffix FROM (SELECT p_partkey, t, unnest(range(1, length(t) + 1)) AS p FROM t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix) - 1 AS rank, lag(suffix) OVER (PARTITION BY p_partkey ORDER BY suffix) AS b FROM s)
+SELECT p_partkey, rank, pos, coalesce(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: left(suffix, i::INT) = left(b, i::INT))), 0) AS height FROM r""")
+def suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose suffixes agree far beyond a key."""
+    return suffix.suffix_array(table(spark, sf_dir, "part").select("p_partkey", F.repeat("p_name", 6).alias("t")), "p_partkey", "t")
 
 
 @query(f"""
@@ -245,6 +257,52 @@ def count_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.occurrence_counts(words, _spread(table(spark, sf_dir, "conversations")), "text")
 
 
+@query(f"WITH g AS ({_grams('conversations', 'text', 2, 14)}) SELECT n_name AS word FROM nation WHERE n_name IN (SELECT word FROM g) UNION ALL SELECT * FROM (VALUES ('the'), ('ion')) v(word) WHERE word IN (SELECT word FROM g)")
+def occurring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")).union(spark.createDataFrame([("the",), ("ion",), ("zzzz",)], "word string"))
+    return ngrams.occurring(words, _spread(table(spark, sf_dir, "conversations")), "text")
+
+
+@query(f"""
+WITH c AS (SELECT word, count(*) AS cnt FROM ({_grams("conversations", "text", 5, 5)}) GROUP BY word HAVING count(*) > 1)
+SELECT cnt || chr(9) || word AS line FROM c WHERE NOT regexp_matches(word, '[\\r\\n]') UNION ALL SELECT 'Total Count: ' || coalesce(sum(cnt), 0)::BIGINT FROM c""")
+def repeated_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.repeated_listing(_spread(table(spark, sf_dir, "conversations")), "text", 5)
+
+
+@query(f"""
+WITH m AS ({PART_MODEL}), n AS (SELECT left(word, k::INT) AS node, CASE WHEN k = len THEN cnt ELSE 0 END AS cnt FROM (SELECT *, unnest(range(0, len + 1)) AS k FROM m))
+SELECT node, length(node)::INT AS depth, sum(cnt)::BIGINT AS cnt FROM n GROUP BY node""")
+def trie_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.trie_nodes(_part_model(spark, sf_dir))
+
+
+@query("""
+WITH t AS (SELECT p_name AS t FROM part), w AS (SELECT p - 1 AS pos, substring(t, greatest(1, p - 3), least(p, 4)) AS win FROM (SELECT t, unnest(range(1, length(t) + 1)) AS p FROM t))
+SELECT pos::INT AS pos, win AS "window" FROM w""")
+def reversed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.sorted_windows(table(spark, sf_dir, "part"), "p_name", 4, True)
+
+
+@query(f"""
+WITH {_SUFFIXES}, w(word) AS (VALUES ('a'), ('green'), ('e')), b AS (SELECT word, p_partkey, count(*) FILTER (suffix < word) AS lower, count(*) FILTER (starts_with(suffix, word)) AS cnt FROM s, w GROUP BY ALL)
+SELECT p_partkey, word || ' ' || chr(9) || (lower + cnt) || ':' || lower || chr(9) || cnt AS reply FROM b""")
+def bounds_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([("a",), ("green",), ("e",)], "word string")
+    return lookups.bounds_reply(suffix.prefix_bounds(words, table(spark, sf_dir, "part"), "p_partkey", "p_name")).select("p_partkey", "reply")
+
+
+@query(f"""
+WITH m AS ({PART_MODEL}), n AS (SELECT left(word, len - 1) AS word, cnt, sum(cnt) OVER (PARTITION BY left(word, len - 1)) AS s FROM m WHERE len > 1),
+e AS (SELECT word, sum(-(cnt / s) * ln(cnt / s)) AS entropy FROM n GROUP BY word), w AS (SELECT DISTINCT left(p_type, 2) AS word FROM part UNION SELECT DISTINCT left(p_name, 2) FROM part)
+SELECT word, coalesce(cnt, 0) AS cnt, round(coalesce(entropy, 0), 6) + 0.0 AS entropy FROM w LEFT JOIN m USING (word) LEFT JOIN e USING (word)""")
+def describe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    words = part.select(F.left("p_type", F.lit(2)).alias("word")).union(part.select(F.left("p_name", F.lit(2)))).distinct()
+    model = scratch.written(_part_model(spark, sf_dir), "catalog-model")
+    return _rounded(lookups.describe(words, model, stats.next_char_entropy(model)), "entropy").drop("reply")
+
+
 @query(f"""
 WITH m AS ({DOC_MODEL}), w AS (SELECT DISTINCT left(word, 3) AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part))
 SELECT word, coalesce(cnt, 0) AS cnt FROM w LEFT JOIN m USING (word)""")
@@ -253,9 +311,16 @@ def model_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.counts_of(words, _documents_model(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH c AS MATERIALIZED (SELECT word, length(word) AS len, count(*) AS cnt FROM ({_short_grams("part", "p_name")}) GROUP BY word),
+l AS (SELECT substring(word, 2) AS word, max(cnt) AS c FROM c WHERE len > 1 GROUP BY 1),
+k AS MATERIALIZED (SELECT c.word, len, cnt FROM c LEFT JOIN l USING (word) WHERE coalesce(l.c, 0) < cnt),
+t AS (SELECT word AS whole, cnt, right(word, n::INT) AS word FROM (SELECT word, cnt, unnest(range(1, len)) AS n FROM k WHERE len > 1)),
+p AS (SELECT whole, arg_max(word, k.len) AS word, any_value(t.cnt) AS cnt FROM t JOIN k USING (word) GROUP BY whole),
+x AS (SELECT word, sum(cnt) AS taken FROM p GROUP BY word)
+SELECT word, len::INT AS len, cnt, (cnt - coalesce(taken, 0))::BIGINT AS freq FROM k LEFT JOIN x USING (word) ORDER BY freq DESC, word LIMIT 20""")
 def substring_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.top_residual(suffix.substring_classes(table(spark, sf_dir, "part"), "p_partkey", "p_name", 8), 20)
+    return suffix.top_residual(suffix.substring_classes(table(spark, sf_dir, "part"), "p_name"), 20)
 
 
 @query("SELECT ch, (row_number() OVER (ORDER BY ch) - 1)::INT AS idx FROM (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0)")
@@ -297,6 +362,35 @@ def tidy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.drop_citations(X.collapse_blanks(marked)).alias("text"))
 
 
+@query("""
+SELECT p_partkey, substring(p_name, 2) AS after, left(p_name, length(p_name) - 1) AS before, strlen(p_name) >= 20 AS long,
+  CASE WHEN instr(p_name, 're') > 0 THEN strlen(left(p_name, instr(p_name, 're') - 1)) END AS at,
+  CASE WHEN reverse(p_name) < reverse(p_type) THEN -1 WHEN reverse(p_name) > reverse(p_type) THEN 1 ELSE 0 END AS reversed FROM part""")
+def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.move_right(n).alias("after"), X.move_left(n).alias("before"), X.not_shorter_than(n, 20).alias("long"),
+        X.byte_position(n, F.lit("re")).cast("long").alias("at"), X.reverse_compare(n, F.col("p_type")).alias("reversed"),
+    )
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H-%M-%S.') || lpad((extract(microseconds FROM ts) % 1000000)::VARCHAR, 6, '0') || '0' AS stamp FROM events")
+def time_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", X.stamp(F.col("ts")).alias("stamp"))
+
+
+@query("""
+WITH w AS (SELECT p_partkey, unnest(string_split(p_name || ' new', ' ')) AS word FROM part), c AS (SELECT p_partkey, word, count(*) AS n FROM w GROUP BY ALL),
+l AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS gone FROM part), d AS (SELECT c.p_partkey, word, n - CASE WHEN word = gone THEN 1 ELSE 0 END AS n FROM c JOIN l USING (p_partkey))
+SELECT p_partkey, string_agg(word || '=' || n, ',' ORDER BY word) AS bag FROM d WHERE n > 0 GROUP BY p_partkey""")
+def multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split("p_name", " ")
+    bag = F.aggregate(words, F.create_map().cast("map<string,bigint>"), lambda m, w: X.multiset_add(m, w))
+    told = X.multiset_remove(X.multiset_add(bag, F.lit("new")), words[0])
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries(told)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return table(spark, sf_dir, "part").select("p_partkey", listed.alias("bag"))
+
+
 @query()
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"), "html", html.GENERIC).drop("html")
@@ -359,18 +453,33 @@ def _converter(spark: SparkSession, sf_dir: str) -> convert.Converter:
     return convert.Converter([phrases_], [[phrases_, {"A": ["4"], "I": ["1"]}], [{"a": ["@"]}]])
 
 
-@query()
+_WALK = """
+WITH RECURSIVE keys AS (SELECT DISTINCT left(n_name, 4) AS key FROM nation), t AS (SELECT DISTINCT {text} AS t FROM {source}),
+walk AS (SELECT t, t AS rest, '' AS loose, '' AS out FROM t UNION ALL SELECT t,
+  CASE WHEN key IS NULL THEN substring(rest, 2) ELSE substring(rest, 5) END, CASE WHEN key IS NULL THEN loose || left(rest, 1) ELSE '' END,
+  CASE WHEN key IS NULL THEN out ELSE out || {flush} || {hit} END FROM walk LEFT JOIN keys ON key = left(rest, 4) WHERE rest <> ''),
+done AS (SELECT t, out || {flush} AS out FROM walk WHERE rest = '')
+"""
+
+
+@query(_WALK.format(text="n_name", source="nation", flush="CASE WHEN loose = '' THEN '' ELSE loose || '/' END", hit="key || '/'") + "SELECT n_nationkey, rtrim(out, '/') AS words FROM nation JOIN done ON n_name = t")
 def maxmatch_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _converter(spark, sf_dir)
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(convert.segments(spark, F.col("n_name"), own), "/").alias("words"))
 
 
-@query()
+@query(_WALK.format(text="upper(c_mktsegment)", source="customer", flush="translate(loose, 'AI', '41')", hit="lower(key)") + "SELECT c_custkey, replace(out, 'a', '@') AS text FROM customer JOIN done ON upper(c_mktsegment) = t")
 def convert_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _converter(spark, sf_dir)
     return table(spark, sf_dir, "customer").select("c_custkey", convert.convert(spark, F.upper("c_mktsegment"), own).alias("text"))
 
 
+@query(f"WITH {_LEXICON}, f AS (SELECT key, arg_min(v, dict) AS v FROM l GROUP BY key) SELECT p_partkey, left(p_name, 9) AS word, v AS value FROM part LEFT JOIN f ON key = left(p_name, 9)")
+def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.left("p_name", F.lit(9)).alias("word"))
+    return dictionaries.lookup(asked, _lexicon(spark, sf_dir)).select("p_partkey", "word", F.col("values")[0].alias("value"))
+
+
 # Scores, segmentation, training
 _BASE = "(SELECT sum(length(regexp_replace(p_name, '[^\\p{L}]+', '', 'g'))) FROM part)::DOUBLE"
 
@@ -428,30 +537,51 @@ def custom_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_scored(spark, sf_dir, [], {"score": "L * C / (M + 1) + E"}), "score")
 
 
+_DOC_CHUNKS = "SELECT chunk, count(*) AS times FROM (SELECT unnest(string_split_regex(regexp_replace(text, '[^\\p{L}]+', ' ', 'g'), '[ \\r\\n]')) AS chunk FROM documents) WHERE chunk <> '' GROUP BY chunk"
+_PART_CHUNKS = "SELECT chunk, count(*) AS times FROM (SELECT unnest(string_split(p_name, ' ')) AS chunk FROM part) WHERE chunk <> '' GROUP BY chunk"
+
+
 def _segmented(spark: SparkSession, sf_dir: str, score: str, expression: str | None = None) -> DataFrame:
-    chunks = table(spark, sf_dir, "documents").select(F.explode(X.chunks(F.regexp_replace("text", "[^\\p{L}]+", " "))).alias("chunk"))
-    counted = chunks.groupBy("chunk").agg(F.count("*").alias("times"))
-    model = _part_model(spark, sf_dir)
-    scores = train.scored_words(model, counted, 1e5, score, expression)
-    return segment.segment(counted, scores)
+    texts = _spread(table(spark, sf_dir, "documents").select("text"))
+    letters = F.regexp_replace("text", "[^\\p{L}]+", " ")
+    counted = scratch.written(texts.select(F.explode(X.chunks(letters)).alias("chunk")).groupBy("chunk").agg(F.count("*").alias("times")), "catalog-chunks")
+    base = counted.agg(F.coalesce(F.sum(F.length("chunk") * F.col("times")), F.lit(0))).first()[0]
+    model = scratch.written(_part_model(spark, sf_dir), "catalog-model")
+    return segment.segment(counted, train.scored_words(model, counted, float(base), score, expression))
 
 
-@query()
+def _cut(chunks: str, value: str, tail: str) -> str:
+    return R.segmented(chunks, PART_MODEL, value) + tail
+
+
+_WORDS = " SELECT chunk, times, words FROM ck JOIN seg USING (chunk)"
+
+
+@query(_cut(_DOC_CHUNKS, R.SIGMOID, _WORDS))
 def segment_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, "Sigmoid").select("chunk", "times", segment.joined(F.col("words")).alias("words"))
 
 
-@query()
+@query(_cut(_DOC_CHUNKS, "ln(cnt + 1) * len - 1", _WORDS))
 def segment_dp_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segmented(spark, sf_dir, "custom", "ln(C + 1) * L - 1").select("chunk", "times", segment.joined(F.col("words")).alias("words"))
 
 
-@query()
+@query(_cut(_DOC_CHUNKS, R.CXLDM, " SELECT count(*) AS n_words, sum(length(word))::BIGINT AS n_chars FROM (SELECT unnest(string_split(words, ' ')) AS word FROM seg)"))
 def segmented_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.identified(segment.word_rows(_segmented(spark, sf_dir, "CxLdM")))
 
 
-@query()
+@query(f"""
+WITH m AS ({PART_MODEL}), t AS (SELECT a.word, a.cnt, coalesce(b.cnt, 0) AS head FROM m a LEFT JOIN m b ON b.word = left(a.word, 1))
+SELECT word, round(ln(1 + cnt / (1 + head)) * length(word), 6) + 0.0 AS score FROM t""")
+def count_function_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score that calls the count of another text."""
+    model = scratch.written(_part_model(spark, sf_dir), "catalog-model")
+    return _rounded(S.count_scores(model, model, 1.0, "ln(1 + C(S) / (1 + C(left(S, 1)))) * length(S)"), "score")
+
+
+@query(R.trained(_PART_CHUNKS, PART_MODEL, 2, 0.5))
 def train_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.iterate(_part_model(spark, sf_dir), table(spark, sf_dir, "part").select("p_name"), "p_name", 2, 0.5, char_class=X.LETTERS)
 

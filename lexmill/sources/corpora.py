@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
 
-DUMP_SCHEMA = "title string, ns long, revision struct<id: long, text: struct<_VALUE: string, _bytes: long>>"
+DUMP_SCHEMA = "title array<string>, ns long, revision array<struct<id: long, text: array<struct<_VALUE: string, _bytes: long>>>>"
 RULE = "=" * 20
 
 
@@ -25,6 +25,20 @@ def text_files(spark: SparkSession, path: str | list[str], encoding: str = "UTF-
     return base.withColumn("text", F.left("text", F.lit(limit))) if limit is not None else base
 
 
+def concatenated(files: DataFrame, sep: str = "") -> DataFrame:
+    """(text): all files in the order of their paths as one text, so that n-grams run across them. For texts that fit a row."""
+    parts = files.agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("f"))
+    return parts.select(F.array_join(F.transform("f", lambda x: x["text"]), sep).alias("text"))
+
+
+def first_given(*tables: DataFrame | None) -> DataFrame:
+    """The first input that is given and has rows, such as typed text before a loaded file before the model's text."""
+    for t in tables:
+        if t is not None and not t.isEmpty():
+            return t
+    raise ValueError("no input has rows")
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "text")
 
@@ -42,10 +56,21 @@ def without_titles(titles: DataFrame, blacklist: DataFrame | None) -> DataFrame:
     return titles if blacklist is None else titles.join(blacklist.select("title"), "title", "left_anti")
 
 
-def xml_dump(spark: SparkSession, path: str, strict_text: bool = False) -> DataFrame:
-    """(title, text) of the namespace-0 pages of a dump; ``strict_text`` leaves pages with an empty text out."""
-    pages = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", "true").schema(DUMP_SCHEMA).load(path)
-    kept = pages.where("ns = 0 and title is not null").select("title", F.coalesce("revision.text._VALUE", F.lit("")).alias("text"))
+def xml_dump(spark: SparkSession, path: str, strict_text: bool = False, broken: str = "raise") -> DataFrame:
+    """(title, text) of the namespace-0 pages of a dump; ``strict_text`` leaves pages with an empty text out.
+
+    A page of namespace 0 must have exactly one title and one text. ``broken``: others "raise" an error or are "drop"ped.
+    """
+    if broken not in ("raise", "drop"):
+        raise ValueError(f"broken {broken!r}")
+    pages = spark.read.format("xml").option("rowTag", "page").option("ignoreNamespace", "true").schema(DUMP_SCHEMA).load(path).where("ns = 0")
+    texts = F.flatten(F.transform(F.coalesce("revision", F.array()), lambda r: F.coalesce(r["text"], F.array())))
+    counted = pages.select("title", texts.alias("texts"))
+    sound = (F.size(F.coalesce("title", F.array())) == 1) & (F.size("texts") == 1)
+    if broken == "drop":
+        counted = counted.where(sound)
+    text = F.when(sound, F.coalesce(F.col("texts")[0]["_VALUE"], F.lit(""))).otherwise(F.raise_error(F.concat(F.lit("not exactly one title and text: "), F.array_join(F.coalesce("title", F.array()), ", "))))
+    kept = counted.select(F.get("title", F.lit(0)).alias("title"), text.alias("text"))
     return kept.where("text <> ''") if strict_text else kept
 
 
@@ -58,7 +83,7 @@ def emission_table(rows: DataFrame, text_col: str = "value") -> DataFrame:
 
 # Binary forms
 def trie_bytes(words: list[tuple[str, int]]) -> bytes:
-    """Preorder: count, then (1, character, subtree) for each child, then 0; characters as UTF-16 code units."""
+    """Preorder: count, then (1, character, subtree) for each child, then 0; characters in UTF-8."""
     root: dict = {}
     counts: dict[tuple, int] = {}
     for w, c in words:
@@ -129,14 +154,13 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_suffix_array(array: DataFrame, path: str) -> None:
-    array.drop("rank").write.parquet(path)
-
+    """The array's places and heights by rank; the inverse of rank and place is not stored twice."""
+    array.write.parquet(path)
 
-def load_suffix_array(spark: SparkSession, path: str, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The saved places with the rank built anew from the texts."""
-    from lexmill.operators.suffix import suffix_array
 
-    return spark.read.parquet(path).join(suffix_array(texts, id_col, text_col).select(id_col, "pos", "rank"), [id_col, "pos"])
+def load_suffix_array(spark: SparkSession, path: str) -> DataFrame:
+    """The saved array as it was; nothing is sorted again."""
+    return spark.read.parquet(path)
 
 
 # Sinks
@@ -154,9 +178,9 @@ def write_words(segmented: DataFrame, path: str, words_col: str = "words") -> No
     segmented.select(F.explode(words_col).alias("value")).write.text(path)
 
 
-def write_counts(counts: DataFrame, path: str, header: bool = False) -> None:
-    """``word,count`` lines, or with a header for words-per-count tables."""
-    counts.write.csv(path, header=header)
+def write_counts(counts: DataFrame, path: str, header: bool = False, ordered: bool = False) -> None:
+    """``word,count`` lines, or with a header for words-per-count tables; ``ordered``: by their first column."""
+    (counts.orderBy(counts.columns[0]) if ordered else counts).write.csv(path, header=header)
 
 
 def write_phrases(phrases: DataFrame, path: str) -> None:

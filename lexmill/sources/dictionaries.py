@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from collections.abc import Iterable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,79 @@ def write(entries: DataFrame, path: str) -> None:
     entries.orderBy("key").select(line.alias("value")).write.text(path)
 
 
+# Binary form: number of entries, the keys' and the values' bytes (each string closed by a zero byte) behind their lengths,
+# then for each entry the number of its values, the key's offset and the values' offsets; all numbers 8 bytes, little endian.
+def to_binary(entries: dict[str, list[str]]) -> bytes:
+    keys, values, table = bytearray(), bytearray(), []
+    for key, own in sorted(entries.items(), key=lambda kv: kv[0].encode()):
+        table += [len(own), len(keys)]
+        keys += key.encode() + b"\0"
+        for v in own:
+            table.append(len(values))
+            values += v.encode() + b"\0"
+    number = struct.Struct("<Q").pack
+    return b"".join([number(len(entries)), number(len(keys)), bytes(keys), number(len(values)), bytes(values), *map(number, table)])
+
+
+def from_binary(data: bytes) -> dict[str, list[str]]:
+    """Entries of the binary form; a header of 12 capitals or digits and the trie behind it are passed over."""
+    at = 0
+    if len(data) >= 20 and data[:12].isalnum() and data[:12].isupper():
+        at = 20 + int.from_bytes(data[12:20], "little")
+
+    def number() -> int:
+        nonlocal at
+        if at + 8 > len(data):
+            raise InvalidFormat(f"binary dictionary ends at byte {len(data)}")
+        at += 8
+        return int.from_bytes(data[at - 8 : at], "little")
+
+    def block() -> bytes:
+        nonlocal at
+        size = number()
+        if at + size > len(data):
+            raise InvalidFormat(f"binary dictionary ends at byte {len(data)}")
+        at += size
+        return data[at - size : at]
+
+    def text(held: bytes, offset: int) -> str:
+        end = held.find(b"\0", offset)
+        if offset > len(held) or end < 0:
+            raise InvalidFormat(f"binary dictionary: no string at offset {offset}")
+        return held[offset:end].decode()
+
+    n = number()
+    keys, values = block(), block()
+    out = {}
+    for _ in range(n):
+        many, key = number(), number()
+        out[text(keys, key)] = [text(values, number()) for _ in range(many)]
+    return out
+
+
+def convert_file(source: str, target: str) -> None:
+    """A dictionary file from text to binary or back, by the ending: .txt is text, everything else binary."""
+    entries = load(source) if source.endswith(".txt") else from_binary(open(source, "rb").read())
+    if target.endswith(".txt"):
+        with open(target, "w", encoding="utf-8") as out:
+            out.writelines(f"{k}\t{' '.join(v)}\n" for k, v in sorted(entries.items(), key=lambda kv: kv[0].encode()))
+    else:
+        with open(target, "wb") as out:
+            out.write(to_binary(entries))
+
+
+def scan_binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(key, values) of binary dictionaries; a file is one task's."""
+
+    def read(batches):
+        for b in batches:
+            for content in b["content"]:
+                entries = from_binary(bytes(content))
+                yield pd.DataFrame({"key": list(entries), "values": list(entries.values())})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, "key string, values array<string>")
+
+
 # Relational tooling
 def merge(entries: DataFrame, order_col: str = "line") -> DataFrame:
     """One row a key: of repeated keys the one latest in ``order_col``."""
@@ -76,6 +151,12 @@ def find_values(entries: DataFrame, keyword: str) -> DataFrame:
     return entries.select("key", F.explode("values").alias("value")).where(F.col("value").contains(keyword))
 
 
+def lookup(queries: DataFrame, lexicon: DataFrame, word_col: str = "word") -> DataFrame:
+    """``queries`` with ``values`` of the entry that is the word itself, null where none is; the group's first dictionary counts."""
+    first = lexicon.groupBy(F.col("key").alias(word_col)).agg(F.min_by("values", "dict").alias("values"))
+    return queries.join(first, word_col, "left")
+
+
 def group_lexicon(entries: list[DataFrame]) -> DataFrame:
     """All entries of all dictionaries with their place in the group, repeated keys kept."""
     out = None
@@ -114,9 +195,40 @@ PRESETS = {
     "t2tw": ("TWVariants", (("TWVariants",),)),
     "t2hk": ("HKVariants", (("HKVariants",),)),
 }
+#: Dictionaries that are made of others.
+DERIVED = {
+    "TWPhrases": ("merge", ("TWPhrasesIT", "TWPhrasesName", "TWPhrasesOther")),
+    "TWVariantsRev": ("reverse", ("TWVariants",)),
+    "TWPhrasesRev": ("reverse", ("TWPhrases",)),
+    "HKVariantsRev": ("reverse", ("HKVariants",)),
+}
+
+
+def named(name: str, folders: tuple[str, ...]) -> dict[str, list[str]]:
+    """A dictionary by name: a file of the search path, or made of those it derives from.
+
+    Merged ones hold all entries, of repeated keys the last; reversed ones the keys of each value in order. FileNotFound
+    names the file that is missing.
+    """
+    try:
+        return cached(find_file(name + ".txt", folders))
+    except FileNotFound:
+        if name not in DERIVED:
+            raise
+    way, sources = DERIVED[name]
+    out: dict[str, list[str]] = {}
+    for part in (named(s, folders) for s in sources):
+        if way == "merge":
+            out |= part
+        else:
+            for key, values in part.items():
+                for v in values:
+                    out.setdefault(v, []).append(key)
+    return out
 
 
 def find_file(name: str, folders: Iterable[str]) -> str:
+    """The first match of the working directory and the folders in turn, as named or with an ending."""
     for folder in ("", *folders):
         for tail in ("", ".txt", ".json"):
             path = os.path.join(folder, name + tail)
@@ -127,7 +239,8 @@ def find_file(name: str, folders: Iterable[str]) -> str:
 
 @lru_cache(maxsize=64)
 def cached(path: str) -> dict[str, list[str]]:
-    return load(path)
+    """By path and so by form: .txt and files without an ending are text, .ocd is binary."""
+    return from_binary(open(path, "rb").read()) if path.endswith(".ocd") else load(path)
 
 
 def _need(node: dict, key: str, kind: type, where: str):
@@ -147,7 +260,7 @@ def read_dict(node: dict, folders: tuple[str, ...]) -> list[dict[str, list[str]]
     if kind == "inline":
         return [{k: [v] if isinstance(v, str) else list(v) for k, v in _need(node, "entries", dict, "dict").items()}]
     name = _need(node, "file", str, "dict")
-    return [cached(find_file(os.path.splitext(name)[0] + ".txt" if kind == "ocd" else name, folders))]
+    return [cached(find_file(name, folders))]
 
 
 def read_config(text: str, folders: tuple[str, ...] = ()):
@@ -167,8 +280,10 @@ def read_config(text: str, folders: tuple[str, ...] = ()):
 
 
 def preset(name: str, folders: tuple[str, ...]):
+    """A preset, or the configuration file of that name, whose own folder is searched before the others."""
     if name not in PRESETS:
-        return read_config(open(find_file(name, folders), encoding="utf-8").read(), folders)
+        path = find_file(name, folders)
+        with open(path, encoding="utf-8") as file:
+            return read_config(file.read(), (os.path.dirname(path), *folders))
     seg, chain = PRESETS[name]
-    get = lambda d: cached(find_file(d + ".txt", folders))
-    return name, [get(seg)], [[get(d) for d in step] for step in chain]
+    return name, [named(seg, folders)], [[named(d, folders) for d in step] for step in chain]

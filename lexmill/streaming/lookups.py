@@ -22,6 +22,18 @@ def answer(queries: DataFrame, model: DataFrame, ready: bool = True) -> DataFram
     return found.select("word", "cnt", F.col("cnt").cast("string").alias("reply"))
 
 
+def describe(queries: DataFrame, model: DataFrame, entropy: DataFrame) -> DataFrame:
+    """(word, cnt, entropy, reply) against a model and its entropies; a word that nothing follows has entropy 0."""
+    found = counts_of(queries.select("word"), model).join(entropy.select("word", "entropy"), "word", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+    return found.select("word", "cnt", "entropy", F.concat_ws("\t", "word", "cnt", "entropy").alias("reply"))
+
+
+def bounds_reply(bounds: DataFrame) -> DataFrame:
+    """``prefix_bounds`` with cnt and the reply: the word, upper and lower rank and the count."""
+    cnt = F.col("upper") - F.col("lower")
+    return bounds.withColumns({"cnt": cnt, "reply": F.concat(F.col("word"), F.lit(" \t"), F.col("upper"), F.lit(":"), F.col("lower"), F.lit("\t"), cnt)})
+
+
 def answer_lengths(queries: DataFrame, stats: DataFrame) -> DataFrame:
     """(len, uniq_cnt) for lengths as text; what is no known length gives null."""
     asked = queries.select(F.try_to_number("word", F.lit("999999999")).cast("int").alias("len"))

@@ -113,7 +113,7 @@ def test_suffix_order(spark, corpus):
 
 def test_residuals(spark, corpus):
     every = substrings(corpus, 1, 25)
-    got = {r["word"]: r["freq"] for r in suffix.substring_classes(texts(spark, *corpus), "doc_id", "text", 25).collect()}
+    got = {r["word"]: r["freq"] for r in suffix.substring_classes(texts(spark, *corpus), "text").collect()}
     closed = {w for w in every if max((every[c + w] for c in "abc"), default=0) < every[w]}
     assert {w for w, f in got.items() if f is not None} == closed
     taken = Counter()
