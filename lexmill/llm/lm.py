@@ -1,22 +1,22 @@
-"""Bigram scoring by deleted interpolation.
+"""Trigram scoring by deleted interpolation.
 
-p(w | v) = a_b c(v w) / c(v) + (1 - a_b) [ u c(w) / N + (1 - u) q(w) ] in outline: the maximum-likelihood estimates of orders 2 and
-1 and the add-half base q(w) = (c(w) + 1/2) / (N + (V + 1) / 2), mixed with three weights for each bucket b of the
-context's frequency (powers of two). The weights are learned by expectation-maximisation on the counts of held-out
-training documents, whose estimates come from the remaining training documents; final counts cover all training documents.
+p(w | u v) = a3 c(u v w) / c(u v) + a2 c(v w) / c(v) + a1 c(w) / N + a0 q(w): the maximum-likelihood estimates of orders 3, 2
+and 1 and the add-half base q(w) = (c(w) + 1/2) / (N + (V + 1) / 2), mixed with four weights for each bucket of the
+context's frequency (powers of two of c(u v), or of c(v) where u v was never seen). The weights are learned by
+expectation-maximisation on the counts of held-out training documents, whose estimates come from the remaining training
+documents; final counts cover all training documents.
 
 Counts are never gathered in one place. Texts are packed into chunks: a file of token numbers, and the sorted distinct
-keys of the chunk's words (64 bits) and word pairs. Keys travel as compressed differences by hash range; each range sums
-its blocks and answers each block in the block's order, and a chunk is scored beside its answers. A frequent word costs
-one key a chunk, and only keys and counts are shuffled. Pair keys have 20 bits more than the logarithm of the estimated
-number of tokens (64 at most), so about one pair in a million shares its key with another; word keys are whole.
-The expectation step reads a histogram of quantised probability ratios of fixed size.
+64-bit keys of the chunk's words, word pairs and triples. Keys travel as compressed differences by hash range; each range
+sums its blocks and answers each block in the block's order, and a chunk is scored beside its answers. A frequent word
+costs one key a chunk, and only keys and counts are shuffled. Two of n different keys agree by chance once in 2^64 / n.
+A chunk is named by its partition and place, so a task that runs again writes the same chunk. The expectation step reads a
+histogram of quantised probability ratios whose size is bounded whatever the corpus.
 """
 
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,20 +25,25 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.runtime import bound_batches, crc_mod, input_bytes, materialise, release, scratch_path
+from lexmill.llm.runtime import bound_batches, crc_mod, input_bytes, materialise, scratch_path
 from lexmill.llm.warc import Output, open_read
 
 FOLDS, HELD_OUT, DELETED = 5, 1, 0
 #: Tokens of a chunk; bounds a Python worker's memory.
-CHUNK_TOKENS = 1_200_000
-#: Compressed input bytes for each hash range.
-RANGE_BYTES = 12 << 20
+CHUNK_TOKENS = 800_000
+#: Input bytes for each hash range.
+RANGE_BYTES = 8 << 20
+#: Buckets of c(v), then as many of c(u v).
 BUCKETS = 32
 #: Steps a binary digit of the quantised ratios, and the ratios' bounds in digits.
-GRID, SPAN = 8, 40
+GRID, SPAN = 4, 40
+SIDE = 2 * SPAN * GRID + 1
+#: Orders above 1 whose keys are made of a context and a word.
+ORDERS = (2, 3)
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", seed=1)), np.uint64(xxhash.xxh64_intdigest(b"", seed=2))
 _BLOCK = "chunk string, range int, data binary"
 
@@ -66,15 +71,15 @@ def _join(parts: list[bytes]) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
 
-def _pair_key(v: np.ndarray, w: np.ndarray, bits: int) -> np.ndarray:
-    x = v * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _key(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = context * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)
+    return x ^ (x >> np.uint64(29))
 
 
-def _bounds(ranges: int, bits: int) -> np.ndarray:
-    return np.array([(i << bits) // ranges for i in range(ranges)], dtype=np.uint64)
+def _bounds(ranges: int) -> np.ndarray:
+    return np.array([(i << 64) // ranges for i in range(ranges)], dtype=np.uint64)
 
 
 def _fields(data: bytes) -> list[bytes]:
@@ -92,35 +97,39 @@ class _Tokens:
     part: 0 held out, 1 training, 2 training and deleted.
     """
 
-    def __init__(self, word: np.ndarray, hashes: np.ndarray, docs: pd.DataFrame, bits: int):
+    def __init__(self, word: np.ndarray, hashes: np.ndarray, docs: pd.DataFrame):
         self.word, self.hashes, self.docs = word, hashes, docs
         n = docs["n"].to_numpy()
         self.stops = np.cumsum(n)
         self.starts = self.stops - n
         self.part = np.repeat(docs["part"].to_numpy(), n)
         self.start = int(np.searchsorted(hashes, _START))
-        before = np.roll(word, 1).astype(np.int64)
-        before[self.starts] = self.start
-        codes, self.pair = np.unique(before * len(hashes) + word, return_inverse=True)
-        keys = _pair_key(hashes[codes // len(hashes)], hashes[codes % len(hashes)], bits)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.context = before
-
-    def blocks(self, ranges: int, bits: int) -> Iterator[tuple[int, bytes]]:
-        """(range, words' and pairs' keys with their counts in training and in deleted documents)."""
+        self.before = np.roll(word, 1)
+        self.before[self.starts] = self.start
+        # the sorted distinct keys of each order and the place of each token's among them
+        self.keys, self.place = [], []
+        context, own = hashes[self.before], hashes[word]
+        for _ in ORDERS:
+            told = _key(context, own)
+            keys, place = np.unique(told, return_inverse=True)
+            self.keys.append(keys)
+            self.place.append(place.astype(np.int32))
+            context = np.roll(told, 1)
+            context[self.starts] = _START
+
+    def blocks(self, ranges: int) -> Iterator[tuple[int, bytes]]:
+        """(range, keys of all orders with their counts in training and in deleted documents)."""
         of_docs = self.docs["part"].to_numpy()
-        counts = []
+        held = [(self.hashes, []), *((k, []) for k in self.keys)]
         for least in (1, 2):
             mask = self.part >= least
-            single = np.bincount(self.word[mask], minlength=len(self.hashes))
-            single[self.start] = (of_docs >= least).sum()
-            counts.append((single.astype(np.int32), np.bincount(self.pair[mask], minlength=len(self.keys))[self.order].astype(np.int32)))
-        cuts = [np.r_[np.searchsorted(k, _bounds(ranges, b)), len(k)] for k, b in ((self.hashes, 64), (self.keys, bits))]
+            for (keys, counts), place in zip(held, (self.word, *self.place), strict=True):
+                counts.append(np.bincount(place[mask], minlength=len(keys)).astype(np.int32))
+            held[0][1][-1][self.start] = (of_docs >= least).sum()
+        cuts = [np.r_[np.searchsorted(keys, _bounds(ranges)), len(keys)] for keys, _ in held]
         for r in range(ranges):
-            (a, b), (c, d) = ((x[r], x[r + 1]) for x in cuts)
-            if b > a or d > c:
-                yield r, _join([_pack_sorted(self.hashes[a:b]), *(_pack(x[0][a:b]) for x in counts), _pack_sorted(self.keys[c:d]), *(_pack(x[1][c:d]) for x in counts)])
+            if any(c[r + 1] > c[r] for c in cuts):
+                yield r, _join([x for (keys, counts), c in zip(held, cuts, strict=True) for x in (_pack_sorted(keys[c[r] : c[r + 1]]), *(_pack(n[c[r] : c[r + 1]]) for n in counts))])
 
     def write(self, path: str) -> None:
         docs = zstandard.compress(pa.serialize_pandas(self.docs, preserve_index=False).to_pybytes(), 3)
@@ -129,10 +138,10 @@ class _Tokens:
         out.close()
 
     @classmethod
-    def read(cls, path: str, bits: int) -> _Tokens:
+    def read(cls, path: str) -> _Tokens:
         with open_read(path) as file:
             docs, word, hashes = _fields(file.read())
-        return cls(_unpack(word, "<i4"), _unpack_sorted(hashes), pa.deserialize_pandas(zstandard.decompress(docs)), bits)
+        return cls(_unpack(word, "<i4"), _unpack_sorted(hashes), pa.deserialize_pandas(zstandard.decompress(docs)))
 
 
 class _Gathering:
@@ -152,7 +161,7 @@ class _Gathering:
         self.parts.append(part)
         self.size += len(words) + 1
 
-    def done(self, bits: int) -> _Tokens:
+    def done(self) -> _Tokens:
         hashes = np.r_[np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.number), dtype=np.uint64, count=len(self.number)), _END, _START]
         self.number.clear()
         order = np.argsort(hashes, kind="stable")
@@ -166,16 +175,19 @@ class _Gathering:
         word[stops - 1] = rank[-2]
         word[inner] = rank[np.concatenate(self.tokens)]
         docs = pd.DataFrame({"id": pd.array(self.ids, dtype="Int64"), "part": np.array(self.parts, dtype=np.int8), "n": lengths})
-        return _Tokens(word, hashes[order], docs, bits)
+        return _Tokens(word, hashes[order], docs)
 
 
-def _chunked(ranges: int, bits: int, folder: str):
+def _chunked(ranges: int, folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = itertools.count()
+        partition = TaskContext.get().partitionId()
+
         def flush() -> pd.DataFrame:
-            tokens = chunk.done(bits)
-            path = f"{folder}/{uuid.uuid4().hex}"
+            tokens = chunk.done()
+            path = f"{folder}/{partition}-{next(numbers)}"
             tokens.write(path)
-            return pd.DataFrame([(path, r, data) for r, data in tokens.blocks(ranges, bits)], columns=["chunk", "range", "data"])
+            return pd.DataFrame([(path, r, data) for r, data in tokens.blocks(ranges)], columns=["chunk", "range", "data"])
 
         chunk = _Gathering()
         for batch in batches:
@@ -199,7 +211,7 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     blocks = [_fields(d) for d in rows["data"]]
     back: list[list[bytes]] = [[] for _ in blocks]
     sums = np.zeros(4, dtype=np.int64)
-    for at in (0, 3):
+    for at in range(0, 3 * (1 + len(ORDERS)), 3):
         keys = [_unpack_sorted(b[at]) for b in blocks]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         stops = np.cumsum([len(k) for k in keys])[:-1]
@@ -221,83 +233,92 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
 class _Scored:
     """A chunk beside its answers."""
 
-    def __init__(self, rows: pd.DataFrame, bits: int):
-        self.t = t = _Tokens.read(rows["chunk"].iloc[0], bits)
+    def __init__(self, rows: pd.DataFrame):
+        self.t = t = _Tokens.read(rows["chunk"].iloc[0])
         answers = [_fields(d) for d in rows.sort_values("range")["data"]]
-        got = [np.concatenate([_unpack(a[i], "<i8") for a in answers]) for i in range(4)]
-        self.single, self.pairs = got[:2], []
-        for sorted_counts in got[2:]:
-            counts = np.empty_like(sorted_counts)
-            counts[t.order] = sorted_counts
-            self.pairs.append(counts)
-
-    def counts(self, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """c(v w), c(v), c(w) of each token; core: without the deleted documents."""
-        single, pairs = (x[0] - x[1] if core else x[0] for x in (self.single, self.pairs))
-        return pairs[self.t.pair], single[self.t.context], single[self.t.word]
+        got = [np.concatenate([_unpack(a[i], "<i8") for a in answers]) for i in range(2 * (1 + len(ORDERS)))]
+        self.counts = list(zip(got[::2], got[1::2], strict=True))
+        if any(len(c[0]) != len(k) for c, k in zip(self.counts, (t.hashes, *t.keys), strict=True)):
+            raise ValueError(f"chunk {rows['chunk'].iloc[0]} was written anew in another order")
+
+    def estimates(self, n: float, v: float, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token its bucket, the estimates of orders 3, 2, 1 and the base, and c(w); core: without deleted documents."""
+        t = self.t
+        single, pairs, triples = (x[0] - x[1] if core else x[0] for x in self.counts)
+        of, before = single[t.word], single[t.before]
+        pair = pairs[t.place[0]]
+        context = np.roll(pair, 1)
+        context[t.starts] = before[t.starts]
+        share = lambda x, y: np.divide(x, y, out=np.zeros(len(x)), where=y > 0)
+        told = np.stack([share(triples[t.place[1]], context), share(pair, before), of / max(n, 1), (of + 0.5) / (n + 0.5 * (v + 1))])
+        return np.where(context > 0, BUCKETS + _bucket(context), _bucket(before)), told, of
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1)
+    return np.minimum(np.frexp(context.astype(np.float64))[1], BUCKETS - 1).astype(np.int64)
 
 
-def _base(of: np.ndarray, n: float, v: float) -> np.ndarray:
-    return (of + 0.5) / (n + 0.5 * (v + 1))
+def cells_of(bucket: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """A number for each token's bucket and quantised log ratios of its three estimates to the base."""
+    code = bucket
+    for p in told[:3]:
+        ratio = np.full(len(p), -SPAN * GRID, dtype=np.int64)
+        seen = p > 0
+        ratio[seen] = np.clip(np.rint(np.log2(p[seen] / told[3][seen]) * GRID), -SPAN * GRID + 1, SPAN * GRID)
+        code = code * SIDE + ratio + SPAN * GRID
+    return code
 
 
-def _histogram(n: float, v: float, bits: int):
-    """Held-out tokens by bucket and by the quantised log ratios of the two estimates to the base."""
+def _histogram(n: float, v: float):
+    """Held-out tokens by cell."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _Scored(rows, bits)
+        s = _Scored(rows)
+        bucket, told, _ = s.estimates(n, v, core=True)
         pick = s.t.part == 2
-        both, context, of = (x[pick] for x in s.counts(core=True))
-        q = _base(of, n, v)
-        cells = []
-        for p in (np.divide(both, context, out=np.zeros(len(q)), where=context > 0), of / max(n, 1)):
-            ratio = np.full(len(q), -SPAN * GRID, dtype=np.int64)
-            seen = p > 0
-            ratio[seen] = np.clip(np.rint(np.log2(p[seen] / q[seen]) * GRID), -SPAN * GRID + 1, SPAN * GRID)
-            cells.append(ratio)
-        side = 2 * SPAN * GRID + 1
-        code = (_bucket(context).astype(np.int64) * side + cells[0] + SPAN * GRID) * side + cells[1] + SPAN * GRID
-        found, count = np.unique(code, return_counts=True)
+        found, count = np.unique(cells_of(bucket[pick], told[:, pick]), return_counts=True)
         return pd.DataFrame({"cell": found, "n": count})
 
     return run
 
 
 def expectation_maximisation(cells: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights (bucket, order 2 | order 1 | base) from the histogram; buckets without tokens take the nearest below."""
-    side = 2 * SPAN * GRID + 1
-    bucket, ratios = cells // (side * side), np.stack([cells // side % side, cells % side]) - SPAN * GRID
-    p = np.ones((len(cells), 3))
-    for i in (0, 1):
-        p[:, i] = np.where(ratios[i] == -SPAN * GRID, 0.0, 2.0 ** (ratios[i] / GRID))
-    weights = np.full((BUCKETS, 3), 1 / 3)
-    mass = np.bincount(bucket, weights=count, minlength=BUCKETS)
+    """Weights (bucket, order 3 | order 2 | order 1 | base) from the histogram; those of buckets without tokens are of the nearest below."""
+    ratios, rest = [], cells
+    for _ in range(3):
+        ratios.append(rest % SIDE - SPAN * GRID)
+        rest = rest // SIDE
+    p = np.ones((len(cells), 4))
+    for i, r in enumerate(ratios[::-1]):
+        p[:, i] = np.where(r == -SPAN * GRID, 0.0, 2.0 ** (r / GRID))
+    return mixed(rest, p, count, rounds)
+
+
+def mixed(bucket: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Expectation-maximisation of the mixture weights of estimates ``p`` by bucket, each row ``count`` times."""
+    weights = np.full((2 * BUCKETS, 4), 1 / 4)
+    mass = np.bincount(bucket, weights=count, minlength=2 * BUCKETS)
     for _ in range(rounds):
         share = weights[bucket] * p
         share *= (count / share.sum(1))[:, None]
-        new = np.stack([np.bincount(bucket, weights=share[:, i], minlength=BUCKETS) for i in range(3)], axis=1) + np.array([0.0, 0.01, 0.01])
+        new = np.stack([np.bincount(bucket, weights=share[:, i], minlength=2 * BUCKETS) for i in range(4)], axis=1) + np.array([0.0, 0.0, 0.01, 0.01])
         weights = np.where(mass[:, None] > 0, new / new.sum(1, keepdims=True), weights)
-    weights[0, 0] = 0  # an unseen context has no order-2 estimate
-    weights[0] /= weights[0].sum()
-    for b in range(1, BUCKETS):
+    weights[:BUCKETS, 0] = 0  # an unseen context has no estimate
+    weights[0, 1] = 0
+    weights /= weights.sum(1, keepdims=True)
+    for b in [*range(1, BUCKETS), *range(BUCKETS + 1, 2 * BUCKETS)]:
         if not mass[b]:
             weights[b] = weights[b - 1]
     return weights
 
 
-def _final(weights: np.ndarray, n: float, v: float, bits: int):
+def _final(weights: np.ndarray, n: float, v: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _Scored(rows, bits)
-        both, context, of = s.counts(core=False)
-        q = _base(of, n, v)
-        w = weights[_bucket(context)]
-        p = w[:, 0] * np.divide(both, context, out=np.zeros(len(q)), where=context > 0) + w[:, 1] * (of / max(n, 1)) + w[:, 2] * q
+        s = _Scored(rows)
+        bucket, told, of = s.estimates(n, v, core=False)
+        p = (weights[bucket].T * told).sum(0)
         add = lambda x: np.add.reduceat(x, s.t.starts)
-        return pd.DataFrame({"id": s.t.docs["id"].astype("Int64"), "n_tokens": s.t.docs["n"].astype(np.int64), "n_known": add((of > 0).astype(np.int64)), "base_score": add(np.log10(q)), "score": add(np.log10(p))})
+        return pd.DataFrame({"id": s.t.docs["id"].astype("Int64"), "n_tokens": s.t.docs["n"].astype(np.int64), "n_known": add((of > 0).astype(np.int64)), "base_score": add(np.log10(told[3])), "score": add(np.log10(p))})
 
     return run
 
@@ -312,21 +333,18 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     bound_batches(spark)
     rest = crc_mod(F.col(id_col), FOLDS)
     part = F.when(rest == HELD_OUT, 0).when(rest == DELETED, 2).otherwise(1)
-    size = input_bytes(docs)
-    n_ranges = ranges or int(min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)))
-    bits = min(64, 20 + max(20, (size // 2).bit_length()))
+    n_ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // RANGE_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).alias("text"))
-    packed, packed_path = materialise(texts.mapInPandas(_chunked(n_ranges, bits, scratch_path(spark, "lm-tokens")), _BLOCK), "lm-keys")
+    packed = texts.mapInPandas(_chunked(n_ranges, scratch_path(spark, "lm-tokens")), _BLOCK)
     answers, _ = materialise(packed.groupBy("range").applyInPandas(_answers, _BLOCK), "lm-answers")
-    release(spark, packed_path)
     sums = np.zeros(4, dtype=np.int64)
     for r in answers.where("chunk = ''").select("data").toLocalIterator():
         sums += np.frombuffer(r["data"], dtype=np.int64)
     n, v, core_n, core_v = (int(x) for x in sums)
     beside = answers.where("chunk <> ''").groupBy("chunk")
-    cells = beside.applyInPandas(_histogram(core_n, core_v, bits), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = expectation_maximisation(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float)) if len(cells) else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-    scored = beside.applyInPandas(_final(weights, n, v, bits), "id long, n_tokens long, n_known long, base_score double, score double")
+    cells = beside.applyInPandas(_histogram(core_n, core_v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    weights = expectation_maximisation(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float)) if len(cells) else np.tile([0.0, 0.0, 0.0, 1.0], (2 * BUCKETS, 1))
+    scored = beside.applyInPandas(_final(weights, n, v), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(crc_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",

@@ -50,26 +50,36 @@ def open_read(path: str):
 
 
 class Output:
-    """Written under a passing name and renamed when whole, so that a lost task leaves no half package."""
+    """Written under a passing name of its own and renamed when whole: a lost task leaves no half file, two do not meet."""
 
     def __init__(self, path: str):
         self.path, self.local = path, path.startswith("file:") or "://" not in path
+        passing = f".{uuid.uuid4().hex}.part"
         if self.local:
             self.name = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
             os.makedirs(os.path.dirname(self.name), exist_ok=True)
-            self.file = open(self.name + ".part", "wb")
+            self.part = self.name + passing
+            self.file = open(self.part, "wb")
         else:
             from pyarrow import fs
 
             self.system, self.name = fs.FileSystem.from_uri(path)
-            self.file = self.system.open_output_stream(self.name + ".part")
+            self.part = self.name + passing
+            self.file = self.system.open_output_stream(self.part)
 
     def close(self) -> None:
         self.file.close()
         if self.local:
-            os.replace(self.name + ".part", self.name)
-        else:
-            self.system.move(self.name + ".part", self.name)
+            os.replace(self.part, self.name)
+            return
+        from pyarrow import fs
+
+        try:
+            self.system.move(self.part, self.name)
+        except OSError:  # some file systems do not move onto the file of an earlier attempt
+            if self.system.get_file_info(self.name).type == fs.FileType.NotFound:
+                raise
+            self.system.delete_file(self.part)
 
 
 # ZIP
