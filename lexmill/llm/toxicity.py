@@ -1,10 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Two states, clean and toxic. A token's features are its word and its prefixes and suffixes of 3 to 6 characters, kept
-where labelled documents tie them to toxicity; tokens with none are neutral and carry the bias alone. Document labels
-become token labels: in a toxic document each token with a kept feature is toxic, everything else is clean. Training
-maximises the penalised conditional likelihood of windows of the labelled documents by gradient ascent on forward-backward
-expectations; all windows of all sampled texts count. Scoring is exact and sparse: runs of neutral tokens are powers of one 2 x 2 matrix, so forward-backward
+where labelled documents tie them to toxicity; tokens with none are neutral and carry the bias alone. Training is by
+gradient ascent on forward-backward expectations over the windows of the labelled documents; all windows of all sampled
+texts count. It starts from token labels that are guessed (in a toxic document each token with a kept feature is toxic,
+everything else is clean) and then learns them: token labels are latent, and what is maximised is the likelihood of the
+document labels, that a toxic document has a toxic token and a clean one has none. Scoring is exact and sparse: runs of neutral tokens are powers of one 2 x 2 matrix, so forward-backward
 steps only on tokens that carry a feature. Marginals add up to a document score, calibrated on the labelled sample, and
 give the offending code-point spans.
 
@@ -206,13 +207,13 @@ def fit(docs: list[tuple[list[bytes], int]], rounds: int = 60, ridge: float = 1e
             memo[w] = [index[f] for f in features_of(w) if f in index] or _NONE
         return memo[w]
 
-    cells, gold, length = array("q"), array("b"), array("q")  # window, place and feature in turn; WINDOW states a window
-    plain: Counter[int] = Counter()  # windows without a kept feature are alike but for their length
-    for words, label in docs:
+    cells, gold, length, of = array("q"), array("b"), array("q"), array("q")  # window, place and feature in turn; WINDOW states a window
+    plain: Counter[tuple[int, int]] = Counter()  # a document's windows without a kept feature are alike but for their length
+    for d, (words, label) in enumerate(docs):
         for s in range(0, len(words), WINDOW):
             part = [ids(w) for w in words[s : s + WINDOW]]
             if not any(part):
-                plain[len(part)] += 1
+                plain[d, len(part)] += 1
                 continue
             at = len(length)
             for p, own in enumerate(part):
@@ -220,39 +221,111 @@ def fit(docs: list[tuple[list[bytes], int]], rounds: int = 60, ridge: float = 1e
                     cells.extend((at, p, f))
             gold.extend([label if own else 0 for own in part] + [0] * (WINDOW - len(part)))
             length.append(len(part))
+            of.append(d)
     if length:
-        times = np.array([1] * len(length) + list(plain.values()), dtype=float)
-        gold.extend([0] * (WINDOW * len(plain)))
-        length.extend(plain)
-        _ascend(model, np.frombuffer(cells, dtype=np.int64).reshape(-1, 3), np.frombuffer(gold, dtype=np.int8).reshape(-1, WINDOW), np.array(length), times, names, rounds, ridge)
+        held = _Windows(
+            np.frombuffer(cells, dtype=np.int64).reshape(-1, 3), np.frombuffer(gold, dtype=np.int8).reshape(-1, WINDOW), np.array(length), np.array(of),
+            np.array([(*k, n) for k, n in plain.items()], dtype=np.int64).reshape(-1, 3), np.array([label for _, label in docs]),
+        )
+        _ascend(model, held, names, rounds, ridge)
     tagger = Tagger(model)
     xs = np.array([evidence([p for _, p in tagger.score(words)[1]]) for words, _ in docs] or [0.0])
     _calibrate(model, xs, np.array([label for _, label in docs] or [0]))
     return model
 
 
-def _ascend(model: Model, cells: np.ndarray, gold: np.ndarray, length: np.ndarray, times: np.ndarray, names: list[str], rounds: int, ridge: float) -> None:
-    """Gradient ascent over windows, of which each counts so many times; ``_CHUNK`` of them are in memory at once."""
-    weights, params = np.zeros(len(names)), np.array([-3.0, 0.0, -1.0, 0.0, 0.5, 0.0, -1.0])  # bias, trans (4), start (2)
-    square, square_p = np.full(len(names), 1e-8), np.full(7, 1e-8)
-    counts = np.bincount(cells[:, 2], minlength=len(names))
-    cuts = [*range(0, len(gold), _CHUNK), len(gold)]
-    places = np.searchsorted(cells[:, 0], cuts)  # cells come in the order of windows
-    for _ in range(rounds):
-        grad, grad_p = np.zeros(len(names)), np.zeros(7)
+@dataclass
+class _Windows:
+    """cells: (window, place, feature), in the order of windows; of: a window's document; plain: (document, length, how many)."""
+
+    cells: np.ndarray
+    gold: np.ndarray
+    length: np.ndarray
+    of: np.ndarray
+    plain: np.ndarray
+    labels: np.ndarray
+
+    def parts(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Windows and their cells, ``_CHUNK`` windows at once."""
+        cuts = [*range(0, len(self.gold), _CHUNK), len(self.gold)]
+        places = np.searchsorted(self.cells[:, 0], cuts)
         for lo, hi, first, last in zip(cuts, cuts[1:], places, places[1:], strict=False):
-            part = cells[first:last] - np.array([lo, 0, 0])
-            more, more_p = _gradient(weights, params, part, gold[lo:hi], length[lo:hi], times[lo:hi])
+            yield slice(lo, hi), self.cells[first:last] - np.array([lo, 0, 0])
+
+
+_NO_CELLS = np.empty((0, 3), dtype=np.int64)
+
+
+def _ascend(model: Model, held: _Windows, names: list[str], rounds: int, ridge: float) -> None:
+    """``rounds`` steps towards the guessed token labels, then half as many towards the document labels."""
+    weights, params = np.zeros(len(names)), np.array([-3.0, 0.0, -1.0, 0.0, 0.5, 0.0, -1.0])  # bias, trans (4), start (2)
+    counts = np.bincount(held.cells[:, 2], minlength=len(names))
+    lengths = np.arange(1, WINDOW + 1)
+    blank = np.zeros((WINDOW, WINDOW), dtype=np.int8)  # one window of each length, without features
+
+    def gradient(gold: np.ndarray, by_window: np.ndarray, by_length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grad, grad_p = _gradient(weights, params, _NO_CELLS, blank, lengths, by_length)
+        for rows, part in held.parts():
+            more, more_p = _gradient(weights, params, part, gold[rows], held.length[rows], by_window[rows])
             grad, grad_p = grad + more, grad_p + more_p
-        grad = grad / np.maximum(counts, 1) - ridge * weights
-        grad_p = grad_p / times.sum() - ridge * params
-        square, square_p = 0.9 * square + 0.1 * grad**2, 0.9 * square_p + 0.1 * grad_p**2
-        weights += 0.2 * grad / np.sqrt(square + 1e-6)
-        params += 0.1 * grad_p / np.sqrt(square_p + 1e-6)
+        return grad, grad_p
+
+    size = len(held.length) + held.plain[:, 2].sum()
+    by_length = np.bincount(held.plain[:, 1] - 1, weights=held.plain[:, 2], minlength=WINDOW)
+    none = np.zeros_like(held.gold)
+    for stage, steps, pace in (("guessed", rounds, 1.0), ("latent", rounds // 2, 0.25)):
+        square, square_p = np.full(len(names), 1e-8), np.full(7, 1e-8)
+        for _ in range(steps):
+            if stage == "guessed":
+                grad, grad_p = gradient(held.gold, np.ones(len(held.length)), by_length)
+            else:
+                push = _push(weights, params, held)
+                grad, grad_p = gradient(none, -push[held.of], np.bincount(held.plain[:, 1] - 1, weights=-push[held.plain[:, 0]] * held.plain[:, 2], minlength=WINDOW))
+            grad = grad / np.maximum(counts, 1) - ridge * weights
+            grad_p = grad_p / size - ridge * params
+            square, square_p = 0.9 * square + 0.1 * grad**2, 0.9 * square_p + 0.1 * grad_p**2
+            weights += pace * 0.2 * grad / np.sqrt(square + 1e-6)
+            params += pace * 0.1 * grad_p / np.sqrt(square_p + 1e-6)
     model.weights = {f: float(x) for f, x in zip(names, weights, strict=True)}
     model.bias, model.trans, model.start = float(params[0]), params[1:5].reshape(2, 2), params[5:]
 
 
+def _push(weights: np.ndarray, params: np.ndarray, held: _Windows, most: float = 20.0) -> np.ndarray:
+    """How much each document's label asks for more toxic tokens: P0 / (1 - P0) of a toxic one, -1 of a clean one.
+
+    P0 is the chance that all its tokens are clean; these are the factors by which the expected features, less those of
+    an all-clean text, enter the gradient of the document labels' likelihood. ``most`` bounds a step.
+    """
+    clean = np.bincount(held.plain[:, 0], weights=held.plain[:, 2] * _log_clean(weights, params, _NO_CELLS, np.arange(1, WINDOW + 1))[held.plain[:, 1] - 1], minlength=len(held.labels))
+    for rows, part in held.parts():
+        clean += np.bincount(held.of[rows], weights=_log_clean(weights, params, part, held.length[rows]), minlength=len(held.labels))
+    odds = np.minimum(most, np.exp(clean) / np.maximum(-np.expm1(np.minimum(clean, -1e-9)), 1e-9))
+    return np.where(held.labels > 0, odds, -1.0)
+
+
+def _emissions(weights: np.ndarray, params: np.ndarray, cells: np.ndarray, n: int, w: int) -> np.ndarray:
+    raw = np.bincount(cells[:, 0] * w + cells[:, 1], weights=weights[cells[:, 2]], minlength=n * w).reshape(n, w)
+    emit = np.ones((n, w, 2))
+    emit[:, :, 1] = np.exp(np.clip(raw + params[0], -30, 30))
+    return emit
+
+
+def _log_clean(weights: np.ndarray, params: np.ndarray, cells: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Log chance that all tokens of a window are clean."""
+    n, trans, start = len(length), np.exp(params[1:5].reshape(2, 2)), np.exp(params[5:])
+    emit = _emissions(weights, params, cells, n, WINDOW)
+    state = start * emit[:, 0]
+    total = np.log(state.sum(1))
+    state /= state.sum(1, keepdims=True)
+    for i in range(1, WINDOW):
+        step = (state @ trans) * emit[:, i]
+        size = step.sum(1)
+        live = i < length
+        total += np.where(live, np.log(size), 0.0)
+        state = np.where(live[:, None], step / size[:, None], state)
+    return params[5] + (length - 1) * params[1] - total
+
+
 def _gradient(weights: np.ndarray, params: np.ndarray, cells: np.ndarray, gold: np.ndarray, length: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the gradient over windows, for the weights and for bias, trans and start."""
     n, w = gold.shape
@@ -261,9 +334,7 @@ def _gradient(weights: np.ndarray, params: np.ndarray, cells: np.ndarray, gold:
     gold_pairs = np.array([[((gold[:, :-1] == a) & (gold[:, 1:] == b)) * pair for b in (0, 1)] for a in (0, 1)]).sum((2, 3))
     gold_start = np.array([((gold[:, 0] == s) * times).sum() for s in (0, 1)])
     trans, start = np.exp(params[1:5].reshape(2, 2)), np.exp(params[5:])
-    raw = np.bincount(cells[:, 0] * w + cells[:, 1], weights=weights[cells[:, 2]], minlength=n * w).reshape(n, w)
-    emit = np.ones((n, w, 2))
-    emit[:, :, 1] = np.exp(np.clip(raw + params[0], -30, 30))
+    emit = _emissions(weights, params, cells, n, w)
     fwd, back = np.zeros((n, w, 2)), np.ones((n, w, 2))
     fwd[:, 0] = start * emit[:, 0]
     fwd[:, 0] /= fwd[:, 0].sum(1, keepdims=True)
@@ -279,8 +350,9 @@ def _gradient(weights: np.ndarray, params: np.ndarray, cells: np.ndarray, gold:
     marginal = fwd * back
     marginal /= marginal.sum(2, keepdims=True)
     miss = gold * live - np.where(live, marginal[:, :, 1], 0.0)
+    miss = miss * times[:, None]
     grad = np.bincount(cells[:, 2], weights=miss[cells[:, 0], cells[:, 1]], minlength=len(weights))
-    return grad, np.r_[(miss * times[:, None]).sum(), (gold_pairs - pairs).ravel(), gold_start - (marginal[:, 0] * times[:, None]).sum(0)]
+    return grad, np.r_[miss.sum(), (gold_pairs - pairs).ravel(), gold_start - (marginal[:, 0] * times[:, None]).sum(0)]
 
 
 def _calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
