@@ -26,6 +26,8 @@ from lexmill.llm.runtime import bound_batches, materialise, release, unused
 SEGMENTS, WIDTH, MAX_DIFF, SHINGLE, SEED = 16, 4, 3, 3, 42
 #: Members of a bucket that one task compares directly.
 BUCKET = 4096
+#: Rows from which a fingerprint counts as shared by very many, and how many such are broadcast (200 kB).
+HOT_ROWS, HOT_CLASSES = 200, 8_000
 _SLICE = 1 << 16
 
 
@@ -148,6 +150,8 @@ def near_links(fps: DataFrame, fp: str = "fp", bucket: int = BUCKET) -> DataFram
     """(src, dst) between distinct long fingerprints at most 3 bits apart, enough to connect all that are."""
     spark = fps.sparkSession
     distinct = fps.select(F.col(fp).cast("long").alias("fp")).where("fp is not null").distinct()
+    # few bytes become 32 keys each: a number of partitions that is asked for is not coalesced before that
+    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
     counts, counts_path = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "simhash-keys")
     pairs = counts.where("n = 2").where(_within(F.col("lo").bitwiseXOR(F.col("hi")), F.shiftright("key", 31))).select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
@@ -167,7 +171,7 @@ def _fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(firsts: DataFrame, links: DataFrame) -> DataFrame:
-    """(fp, first, component_id, kept) of each distinct fingerprint, first its own smallest id, kept where its row stays.
+    """(fp, first, n, component_id, kept) of each distinct fingerprint: its smallest id, how many rows, whether one stays.
 
     Components may share their smallest id, where that id occurs with several texts; each keeps a fingerprint of its own.
     """
@@ -176,22 +180,27 @@ def _classes(firsts: DataFrame, links: DataFrame) -> DataFrame:
     least = named.where("first is not null").groupBy("component").agg(F.min(F.struct("first", "fp")).alias("least"))
     told = named.join(least, "component").select("fp", F.col("least.first").alias("component_id"), (F.col("fp") == F.col("least.fp")).alias("kept"))
     every = firsts.join(told, "fp", "left")
-    return every.select("fp", "first", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("kept", F.col("first").isNotNull()).alias("kept"))
+    return every.select("fp", "first", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("kept", F.col("first").isNotNull()).alias("kept"))
 
 
 def _firsts(fps: DataFrame) -> DataFrame:
-    return materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-firsts")[0]
+    return materialise(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "simhash-firsts")[0]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, fp, component_id) per row of ``docs``; component_id is the smallest id reachable over links.
 
     Null texts count as empty (fingerprint 0, linked like any other); repeated rows stay; a component whose ids are all
-    null has a null component_id; an empty table gives no rows. Other columns of ``docs`` are not read.
+    null has a null component_id; an empty table gives no rows. Other columns of ``docs`` are not read. Fingerprints of
+    very many rows are told their class by a broadcast of at most ``HOT_CLASSES``, so large groups of copies meet in no task.
     """
     fps = _fingerprints(docs, id_col, text_col)
     firsts = _firsts(fps)
-    return fps.join(_classes(firsts, near_links(firsts)).drop("first"), "fp", "left").select(F.col("id").alias(id_col), "fp", "component_id")
+    classes, _ = materialise(_classes(firsts, near_links(firsts)), "simhash-classes")
+    hot = classes.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "fp").limit(HOT_CLASSES).select("fp", F.col("component_id").alias("hot"), F.lit(True).alias("is_hot"))
+    near = fps.join(F.broadcast(hot), "fp", "left").withColumn("key", F.when(F.col("is_hot").isNull(), F.col("fp")).otherwise(F.xxhash64("id", "fp")))
+    told = near.join(classes.select(F.col("fp").alias("key"), "component_id"), "key", "left")
+    return told.select(F.col("id").alias(id_col), "fp", F.when(F.col("is_hot").isNull(), F.col("component_id")).otherwise(F.col("hot")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
