@@ -3,19 +3,44 @@
 Each round sends every vertex to the smallest member of its closed neighbourhood under a fresh permutation of the 64-bit
 ids and contracts the edges. A constant share of the vertices goes in each round whatever the shape (chains, stars,
 cliques), so the rounds grow with the logarithm of the vertices. Permutations are bijections (xor and shifts), so the
-permuted value is itself the new vertex id: minima are taken over plain longs with map-side combining.
+permuted value is itself the new vertex id: minima are taken over plain longs with map-side combining. Once at most
+``SMALL`` edges are left, one task joins them up, which bounds its memory and saves the last rounds.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.runtime import materialise, release
 
 
+#: Edges that one task joins up, about 50 MB in a Python worker.
+SMALL = 300_000
+
+
+def _joined_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(v, r): each vertex of the edges (a, b) with the smallest one that it is connected to."""
+    held = [b.to_numpy(dtype=np.int64) for b in batches]
+    names, ends = np.unique(np.concatenate(held) if held else np.empty((0, 2), dtype=np.int64), return_inverse=True)
+    up = list(range(len(names)))
+    for a, b in ends.reshape(-1, 2).tolist():
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    for i, x in enumerate(up):  # parents come before their children
+        up[i] = up[x]
+    yield pd.DataFrame({"v": names, "r": names[up]})
+
+
 def _permute(c: Column, rng: random.Random) -> Column:
     for left, right in ((13, 7), (17, 9)):
         c = c.bitwiseXOR(F.lit(rng.randrange(-(2**63), 2**63)))
@@ -24,7 +49,7 @@ def _permute(c: Column, rng: random.Random) -> Column:
     return c
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200, small: int | None = None) -> DataFrame:
     """(vertex, component): one row per long vertex of ``edges``; equal component values mean connected.
 
     Null ends, loops and repeated edges are ignored; a vertex with loops alone gives no row. No edges give no rows.
@@ -38,8 +63,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     )
     both = live.select(F.col("a").alias("vertex")).union(live.select("b")).distinct()
     labels, labels_path = materialise(both.select("vertex", F.col("vertex").alias("component")), "cc-labels")
+    small = SMALL if small is None else small
     for turn in range(max_rounds):
-        if live.isEmpty():
+        left = live.limit(small + 1).count()
+        if not left:
+            break
+        if left <= small:
+            rep = live.repartition(1).mapInPandas(_joined_up, "v long, r long")
+            told = labels.join(rep, labels["component"] == rep["v"], "left")
+            renamed, renamed_path = materialise(told.select("vertex", F.coalesce("r", "component").alias("component")), "cc-labels")
+            release(spark, labels_path)
+            labels, labels_path = renamed, renamed_path
             break
         rng = random.Random(turn)
         state = rng.getstate()

@@ -11,7 +11,7 @@ that are similar share one of the first n - 0.8 n + 1. So passages that very man
 nothing, and only sets that share rare shingles are compared, by their whole sets: no link is false.
 
 The members of a shingle are never turned into all their pairs at once: a few of them are compared with the rest, and only
-where the rest is not connected yet more of them follow, eight times as many each round.
+where the rest is not connected yet more of them follow, 16 times as many each round.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from lexmill.llm.runtime import bound_batches, materialise, release
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 60, 8, 42
 #: Members of a shingle that are compared with its rest in the first round, about, and how many times as many in the next.
-CENTRES, GROWTH = 1, 8
+CENTRES, GROWTH = 2, 16
 #: Shingles in more sets than this are told their frequency by a broadcast, as far as they fit it (1 MB).
 HOT_SETS, HOT_SHINGLES = 1_000, 50_000
 _SLICE = 512
