@@ -39,11 +39,12 @@ def components(n, links):
 
 
 # Graph
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 40, None])
+def test_components(spark, small):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     edges = spark.createDataFrame(links + [(5, 5), (3, 4), (None, 1)], "src long, dst long")
-    got = {r["vertex"]: r["component"] for r in graph.connected_components(edges).collect()}
+    got = {r["vertex"]: r["component"] for r in graph.connected_components(edges, small=small).collect()}
     want = components(300, links)
     ids = {v for a, b in links if a != b for v in (a, b)}
     assert set(got) == ids
@@ -273,23 +274,62 @@ def test_urls(spark):
 
 
 # 6 Syncmers
-def test_syncmers(spark, odd, none):
-    got = syncmers.fingerprint_report(odd).collect()
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def text_hash(data, seed=42):
+    return xxhash.xxh64_intdigest(data if isinstance(data, bytes) else data.encode(), seed % 2**64)
+
+
+def long_hash(values):
+    seed = 42
+    for v in values:
+        seed = text_hash(v.to_bytes(8, "little", signed=True), seed)
+    return seed
+
+
+def plain_anchors(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+    inner = [signed(text_hash(b, text_hash(a))) for a, b in zip(words, words[1:], strict=False)]
+    out = []
+    for i in range(len(words) - 4):
+        own = inner[i : i + 4]
+        if own.index(min(own)) in (0, 3):
+            out.append((i, long_hash([own[0], own[2], own[3]]) & syncmers.MASK))
+    return out or ([(0, text_hash(" ".join(words)) & syncmers.MASK)] if words else [])
+
+
+def dice(a, b):
+    return 2 * len(set(a) & set(b)) / (len(a) + len(b)) if a or b else 1.0
+
+
+def plain_shift(a, b):
+    first = [{}, {}]
+    for own, side in zip((a, b), first, strict=True):
+        for pos, h in own:
+            side.setdefault(h, pos)
+    votes = Counter(first[1][h] - p for h, p in first[0].items() if h in first[1])
+    best = max(votes.items(), key=lambda v: (v[1], -abs(v[0]), v[0]), default=(None, 0))
+    return best
+
+
+@pytest.mark.parametrize("cell_rows", [512, 4])
+def test_syncmers(spark, odd, none, monkeypatch, cell_rows):
+    monkeypatch.setattr(syncmers, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(syncmers.with_next, "__defaults__", (cell_rows,))
     docs = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
-    seq = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1]))
+    seq = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), signed(text_hash(d[1]))))
     want = Counter()
+    told = lambda marks: " ".join(f"{h:x}" for h in marks)
     for (i, t), (_, nxt) in zip(seq, seq[1:] + seq[:1], strict=True):
         h = len(t) // 2
-        want[i, len(t), hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
-    prints = {}
-    for r in got:
-        t = dict(docs)[r["doc_id"]] if r["doc_id"] is not None else None
-        if t is not None:
-            assert prints.setdefault(t, r["fingerprint"]) == r["fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    long = next(r for r in got if r["n_chars"] > 20000)
-    assert long["near_edited"] > 0.4 > 0.1 > long["near_next"]
+        edited = t[: len(t) - h] + nxt[:h]
+        own, changed, following = (plain_anchors(x) for x in (t, edited, nxt))
+        a, b, c = (list(dict.fromkeys(h for _, h in x)) for x in (own, changed, following))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), told(a), told(b), round(dice(a, b), 9), round(dice(a, c), 9), *plain_shift(own, changed)] += 1
+    got = syncmers.fingerprint_report(odd).collect()
+    assert Counter((*r[:5], round(r[5], 9), round(r[6], 9), *r[7:]) for r in got) == want
     assert syncmers.fingerprint_report(none).count() == 0
     assert syncmers.fingerprint_report(odd.where("doc_id = 5")).first()["near_next"] == 1.0
 
@@ -305,6 +345,14 @@ def test_anchor_choice(spark):
     assert best["shift"] == 1
 
 
+def test_cells_are_even(spark):
+    ids = spark.range(1500).selectExpr("if(id = 0, 4611686018427387904L, id) AS doc_id", "concat('w', id) AS text")
+    alike = spark.range(700).selectExpr("cast(null AS long)", "concat('n', id)").union(spark.range(800).selectExpr("5L", "concat('f', id)"))
+    rows, _ = syncmers.with_next(ids.union(alike), "doc_id", "text", 100)
+    sizes = [r["count"] for r in rows.groupBy("_cell").count().collect()]
+    assert len(sizes) == 30 and max(sizes) <= 101 and sum(sizes) == 3030
+
+
 # 7 Decontamination
 def plain_contamination(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -414,40 +462,68 @@ def test_toxicity(spark, odd, none):
 
 
 # 10 LM
-def test_lm(spark, odd, none):
+def lm_counts(tokens, parts, least):
+    """Counts of words, pairs and triples in documents of at least a part; starts are counted as one context."""
+    out = [Counter(), Counter(), Counter()]
+    for w, part in zip(tokens, parts, strict=True):
+        if part >= least:
+            out[0].update(["<s>", *w])
+            out[1].update(zip(["<s>", *w], w, strict=False))
+            out[2].update(zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False))
+    return out
+
+
+def lm_estimates(w, counts, n, v):
+    """Bucket and the four estimates of each token."""
+    one, two, three = counts
+    bucket, told = [], []
+    for u, a, b in zip(["<s>", "<s>", *w], ["<s>", *w], w, strict=False):
+        context = one["<s>"] if u == a == "<s>" and not told else two[u, a]
+        bucket.append((lm.BUCKETS if context else 0) + min((context or one[a]).bit_length(), lm.BUCKETS - 1))
+        told.append([three[u, a, b] / context if context else 0, two[a, b] / one[a] if one[a] else 0, one[b] / n, (one[b] + 0.5) / (n + 0.5 * (v + 1))])
+    return np.array(bucket), np.array(told).T
+
+
+def test_lm(spark, odd, none, monkeypatch):
     rows = [(r["doc_id"], r["text"] or "") for r in odd.collect()]
-    train, deleted, lone, tokens = Counter(), Counter(), Counter(), {}
-    n_train, pairs, gone_pairs = Counter(), Counter(), Counter()
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({k: k + 32 for k in range(65, 91)})) + [""]
-        rest = None if i is None else zlib.crc32(str(i).encode()) % 5
-        tokens[i, t] = w
-        if rest != 1:
-            train.update(w)
-            pairs.update(zip(["<s>", *w], w, strict=False))
-            n_train["<s>"] += 1
-    n, v = sum(train.values()), len(train)
-    q = lambda a: (train[a] + 0.5) / (n + 0.5 * (v + 1))
-    got = lm.lm_scores(odd, ranges=5).collect()
-    want = Counter()
-    for i, t in rows:
-        w = tokens[i, t]
-        held = i is not None and zlib.crc32(str(i).encode()) % 5 == 1
-        want[i, held, len(w), sum(train[a] > 0 for a in w), n, round(sum(math.log10(q(a)) for a in w), 6)] += 1
-    assert Counter((*r[:5], round(r["base_score"], 6)) for r in got) == want
-    ordinary = [r for r in got if r["held_out"]]
-    assert ordinary and all(r["score"] < 0 for r in got)
-    assert sum(r["score"] for r in got if not r["held_out"]) > sum(r["base_score"] for r in got if not r["held_out"])
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", t.translate({k: k + 32 for k in range(65, 91)})) + [""] for _, t in rows]
+    rest = [None if i is None else zlib.crc32(str(i).encode()) % 5 for i, _ in rows]
+    parts = [{1: 0, 0: 2}.get(r, 1) for r in rest]
+    every, deleted = lm_counts(tokens, parts, 1), lm_counts(tokens, parts, 2)
+    core = [a - b for a, b in zip(every, deleted, strict=True)]
+    size = lambda c: (sum(c[0].values()) - c[0]["<s>"], sum(k > 0 for w, k in c[0].items() if w != "<s>"))
+    (n, v), (core_n, core_v) = size(every), size(core)
+    held = [lm_estimates(w, core, core_n, core_v) for w, p in zip(tokens, parts, strict=True) if p == 2]
+    bucket, told = np.concatenate([b for b, _ in held]), np.concatenate([t for _, t in held], axis=1)
+    cells, times = np.unique(lm.cells_of(bucket, told), return_counts=True)
+    weights = lm.expectation_maximisation(cells, times.astype(float))
+    exact = lm.mixed(bucket, told.T, np.ones(len(bucket)))
+    want, close = Counter(), []
+    for (i, _), w, r in zip(rows, tokens, rest, strict=True):
+        b, p = lm_estimates(w, every, n, v)
+        score, near = (float(np.log10((x[b].T * p).sum(0)).sum()) for x in (weights, exact))
+        close.append(abs(score - near) / len(w))
+        want[i, r == 1, len(w), sum(every[0][a] > 0 for a in w), n, round(float(np.log10(p[3]).sum()), 6), round(score, 6)] += 1
+    got = lm.lm_scores(odd, ranges=5)
+    assert Counter((*r[:5], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect()) == want
+    assert max(close) < 0.05  # what the quantised ratios cost, in digits a token
     assert lm.lm_scores(none).count() == 0
-    again = {(r["doc_id"], round(r["score"], 8)) for r in lm.lm_scores(odd.repartition(7), ranges=2).collect()}
-    assert again == {(r["doc_id"], round(r["score"], 8)) for r in got}
+    monkeypatch.setattr(lm, "CHUNK_TOKENS", 300)
+    again = Counter((r["doc_id"], round(r["score"], 6)) for r in lm.lm_scores(odd.repartition(7), ranges=2).collect())
+    assert again == Counter({(k[0], k[6]): 0 for k in want}) + Counter(x for k, c in want.items() for x in [(k[0], k[6])] * c)
 
 
 def test_expectation_maximisation():
-    side = 2 * lm.SPAN * lm.GRID + 1
-    cell = lambda b, x, y: (b * side + x + lm.SPAN * lm.GRID) * side + y + lm.SPAN * lm.GRID
-    w = lm.expectation_maximisation(np.array([cell(3, 80, 0), cell(3, -lm.SPAN * lm.GRID, 8), cell(0, -lm.SPAN * lm.GRID, 0)]), np.array([90.0, 10.0, 5.0]))
-    assert w[3, 0] > 0.8 and w[0, 0] == 0 and np.allclose(w.sum(1), 1) and np.allclose(w[5], w[3])
+    no = -lm.SPAN * lm.GRID
+
+    def cell(bucket, *ratios):
+        for r in ratios:
+            bucket = bucket * lm.SIDE + r + lm.SPAN * lm.GRID
+        return bucket
+
+    w = lm.expectation_maximisation(np.array([cell(3, no, 40, 0), cell(3, no, no, 4), cell(0, no, no, 0), cell(lm.BUCKETS + 2, 60, 8, 0)]), np.array([90.0, 10.0, 5.0, 50.0]))
+    assert w[3, 1] > 0.8 and w[3, 0] == 0 and w[0, 1] == 0 and np.allclose(w.sum(1), 1) and np.allclose(w[5], w[3])
+    assert w[lm.BUCKETS + 2, 0] > 0.8 and np.allclose(w[lm.BUCKETS + 4], w[lm.BUCKETS + 2])
 
 
 def test_registered(spark):

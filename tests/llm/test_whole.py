@@ -1,9 +1,12 @@
 """Whole jobs: cases beyond the bounds that operators once had."""
 
+import itertools
 import json
+import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -110,7 +113,7 @@ def test_blocks_pass_on_to_relative_aliases(spark):
 
 def test_fit_takes_all_windows(monkeypatch):
     told = {}
-    monkeypatch.setattr(toxicity, "_ascend", lambda model, cells, gold, length, times, names, *_: told.update(words=float((length * times).sum()), toxic=int(gold.sum())))
+    monkeypatch.setattr(toxicity, "_ascend", lambda model, held, *_: told.update(words=int(held.length.sum() + (held.plain[:, 1] * held.plain[:, 2]).sum()), toxic=int(held.gold.sum())))
     rng = random.Random(8)
     docs = [(t.encode().split(), y) for _, t, y in toxic_corpus(rng, 400)]
     docs += [(prose(rng, 1000).encode().split(), 0) for _ in range(60)] + [(b" ".join([b"zorgle the of"] * 20_000).split(), 1)]
@@ -119,6 +122,54 @@ def test_fit_takes_all_windows(monkeypatch):
     assert told["toxic"] >= sum(w.startswith((b"zorgle", b"blatch", b"grunkel")) for words, label in docs if label for w in words)
 
 
+def latent_likelihood(weights, params, docs, names):
+    """Log chance of the document labels by enumeration of all token labels."""
+    index, total = {f: i for i, f in enumerate(names)}, 0.0
+    trans, start = params[1:5].reshape(2, 2), params[5:]
+    for words, label in docs:
+        clean = 1.0
+        for s in range(0, len(words), toxicity.WINDOW):
+            part = words[s : s + toxicity.WINDOW]
+            score = {}
+            for y in itertools.product((0, 1), repeat=len(part)):
+                x = start[y[0]] + sum(trans[a, b] for a, b in zip(y, y[1:], strict=False))
+                score[y] = math.exp(x + sum(params[0] + sum(weights[index[f]] for f in toxicity.features_of(w) if f in index) for w, k in zip(part, y, strict=True) if k))
+            clean *= score[(0,) * len(part)] / sum(score.values())
+        total += math.log(1 - clean if label else clean)
+    return total
+
+
+def test_latent_gradient_is_the_likelihoods(monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 4)
+    docs = [(b"a bad b c bad d".split(), 1), (b"a b".split(), 0), (b"meh b c d bad".split(), 0), (b"meh".split(), 1)]
+    names, seen = ["=bad", "=meh"], {}
+    monkeypatch.setattr(toxicity, "_kept_features", lambda _: set(names))
+    monkeypatch.setattr(toxicity, "_ascend", lambda model, held, *_: seen.update(held=held))
+    toxicity.fit(docs)
+    held, rng = seen["held"], np.random.default_rng(3)
+    weights, params = rng.normal(size=2), rng.normal(size=7)
+    push = toxicity._push(weights, params, held, 1e9)
+    got, got_p = toxicity._gradient(weights, params, held.cells, np.zeros_like(held.gold), held.length, -push[held.of])
+    for d, n, k in held.plain:
+        more = toxicity._gradient(weights, params, toxicity._NO_CELLS, np.zeros((1, 4), dtype=np.int8), np.array([n]), np.array([-push[d] * k]))
+        got_p = got_p + more[1]
+    step = 1e-6
+    for i in range(2):
+        up, down = (weights + step * sign * np.eye(2)[i] for sign in (1, -1))
+        assert got[i] == pytest.approx((latent_likelihood(up, params, docs, names) - latent_likelihood(down, params, docs, names)) / (2 * step), rel=1e-4, abs=1e-6)
+    for i in range(7):
+        up, down = (params + step * sign * np.eye(7)[i] for sign in (1, -1))
+        assert got_p[i] == pytest.approx((latent_likelihood(weights, up, docs, names) - latent_likelihood(weights, down, docs, names)) / (2 * step), rel=1e-4, abs=1e-6)
+
+
+def test_training_does_not_depend_on_partitions(spark):
+    data = toxic_corpus(random.Random(6), 300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in data], "doc_id long, quality int, toxic int")
+    one, two = toxicity.train(docs.coalesce(1), labels), toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert one.weights == two.weights and one.weights and (one.trans == two.trans).all() and one.slope == two.slope
+
+
 def test_gradient_by_chunks(monkeypatch):
     docs = [(t.encode().split(), y) for _, t, y in toxic_corpus(random.Random(9), 200)]
     whole = toxicity.fit(docs, rounds=5)
