@@ -3,15 +3,15 @@
 Texts are linked where their sets of ``WORDS``-word shingles have a similarity of at least ``SIMILARITY``. Candidates come
 from two sides. The first is the SimHash operator: fingerprints over the same shingles, joined by the pigeonring keys,
 give the pairs at most 3 bits apart. At a similarity of 0.8 fingerprints lie about 10 bits apart, out of reach of any
-radius that keys can serve, so the second side is an exact set join of the texts that may have a partner at all. Those
-are the texts that agree with another in all ``ROWS`` minima of one of ``BANDS`` bands of min-wise hashes; a pair at 0.8
-exactly agrees in no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1.6e-5, a closer one with less. No pairs are made of
-bands. The join is by prefix filtering: with the shingles of a set in the order of their frequency, rarest first, two sets
-that are similar share one of the first n - 0.8 n + 1. So passages that very many texts share, which come last, join
-nothing, and only sets that share rare shingles are compared, by their whole sets: no link is false.
-
-The members of a shingle are never turned into all their pairs at once: a few of them are compared with the rest, and only
-where the rest is not connected yet more of them follow, 16 times as many each round.
+radius that keys can serve, so the second side are min-wise hashes: pairs that agree in all ``ROWS`` minima of one of
+``BANDS`` bands. A pair at 0.8 exactly agrees in none with a chance of (1 - 0.8 ** ROWS) ** BANDS, 2.5e-5, a closer one with
+less; a pair at 0.3, such as texts that share a passage, in any with a chance of one in a hundred.
+
+The share of equal minima estimates a candidate's similarity with a deviation of 0.0225 at 0.8. Beyond ``SURE`` deviations
+to either side it decides (wrong once in 5e7); in between the whole sets are compared, made from the texts again, since
+sets are several times as large as texts. The members of a band are never turned into all their pairs at once: a few of
+them are compared with the rest, and only where the rest is not connected yet more of them follow, 16 times as many each
+round.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from lexmill.llm import simhash
 from lexmill.llm.graph import connected_components
 from lexmill.llm.runtime import bound_batches, materialise, release
 
-WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 60, 8, 42
-#: Members of a shingle that are compared with its rest in the first round, about, and how many times as many in the next.
+WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 45, 7, 42
+#: Deviations of the estimate from the similarity asked for, beyond which it decides.
+SURE = 5.5
+#: Members of a band that are compared with its rest in the first round, about, and how many times as many in the next.
 CENTRES, GROWTH = 2, 16
-#: Shingles in more sets than this are told their frequency by a broadcast, as far as they fit it (1 MB).
-HOT_SETS, HOT_SHINGLES = 1_000, 50_000
+#: Keys that a semi-join may broadcast, 30 MB; beyond it texts are shuffled.
+BROADCAST_KEYS = 500_000
 _SLICE = 512
 _RNG = np.random.default_rng(SEED)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -47,14 +49,19 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xx(s, SEED) for s in grams), dtype=np.uint64, count=len(parts) - words + 1))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A long for each band: the hash of the band's number and its minima."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of a set under each of BANDS * ROWS hash functions."""
     high, least = (hashes >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32)
     for at in range(0, len(high), _SLICE):
         mixed = (high[at : at + _SLICE, None] ^ _XOR) * _TIMES
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x2C1B3C6D)
         np.minimum(least, mixed.min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A long for each band: the hash of the band's number and its minima."""
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
 
@@ -73,31 +80,74 @@ def shingle_fingerprint(text: Column | str) -> Column:
 
 
 def sketch(text: Column | str) -> Column:
-    """struct(fp, sim, keys, hashes): the set's hash, its SimHash, its band keys and the set."""
+    """struct(fp, sim, n, keys, sig): the set's hash, its SimHash, its size, its band keys and a byte of each minimum."""
+
+    @F.pandas_udf("fp long, sim long, n int, keys array<long>, sig binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_hashes(x) for x in texts]
+        least = [minima(s) for s in sets]
+        longs = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({
+            "fp": longs([set_hash(s) for s in sets]), "sim": longs([simhash.majority(s) for s in sets]), "n": [len(s) for s in sets],
+            "keys": [band_keys(x) for x in least], "sig": [(x >> np.uint32(24)).astype(np.uint8).tobytes() for x in least],
+        })
+
+    return of(text)
+
+
+def _estimate(one: str, two: str) -> Column:
+    """Similarity by the share of equal bytes, of which one in 256 is equal by chance."""
 
-    @F.pandas_udf("fp long, sim long, keys array<long>, hashes array<long>")
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), dtype=np.uint8).reshape(len(c), BANDS * ROWS) for c in (a, b))
+        return pd.Series(((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256), dtype=float)
+
+    return of(one, two)
+
+
+def _hashes(text: Column) -> Column:
+    @F.pandas_udf("fp long, hashes array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_hashes(x) for x in texts]
-        sims = np.array([simhash.majority(s) for s in sets], dtype=np.uint64).view(np.int64)
-        return pd.DataFrame({"sim": sims, "fp": np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64), "keys": [band_keys(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})[["fp", "sim", "keys", "hashes"]]
+        return pd.DataFrame({"fp": np.array([set_hash(s) for s in sets], dtype=np.uint64).view(np.int64), "hashes": [s.view(np.int64) for s in sets]})
 
     return of(text)
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (src, dst) whose whole sets are similar enough."""
+def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, hashes) of the texts whose hashes are among ``wanted`` (th, fp)."""
+    keys = wanted.select("th").distinct()
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    found = texts.where("text is not null").withColumn("th", F.xxhash64("text")).join(F.broadcast(keys) if few else keys, "th", "left_semi")
+    once = found.groupBy("th").agg(F.min("text").alias("text"))  # texts of one hash are the same but for chance
+    made = once.withColumn("s", _hashes(F.col("text"))).select("s.*")
+    return made.join(wanted.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of ``sets`` (fp, th, sig, ..) that are similar enough."""
+    spark = pairs.sparkSession
+    wide = SURE * (similarity * (1 - similarity) / (BANDS * ROWS)) ** 0.5
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("fp")).distinct()
-    whole, path = materialise(sets.select("fp", "hashes").join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "shingle-whole")
-    a, b = (whole.select(F.col("fp").alias(end), F.col("hashes").alias(f"{end}_set")) for end in ("src", "dst"))
+    own, own_path = materialise(sets.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th"), F.first("sig").alias("sig")), "shingle-ends")
+    a, b = (own.select(F.col("fp").alias(end), F.col("th").alias(f"{end}_th"), F.col("sig").alias(f"{end}_sig")) for end in ("src", "dst"))
+    told = pairs.join(a, "src").join(b, "dst").withColumn("like", _estimate("src_sig", "dst_sig")).where(F.col("like") >= similarity - wide)
+    told, told_path = materialise(told.select("src", "dst", "src_th", "dst_th", "like"), "shingle-estimates")
+    sure, open_pairs = told.where(F.col("like") >= similarity + wide).select("src", "dst"), told.where(F.col("like") < similarity + wide)
+    wanted = open_pairs.select(F.explode(F.array(F.struct(F.col("src_th").alias("th"), F.col("src").alias("fp")), F.struct(F.col("dst_th").alias("th"), F.col("dst").alias("fp")))).alias("x")).select("x.*").distinct()
+    whole, whole_path = materialise(whole_sets(texts, wanted), "shingle-whole")
+    x, y = (whole.select(F.col("fp").alias(end), F.col("hashes").alias(f"{end}_set")) for end in ("src", "dst"))
     common = F.size(F.array_intersect("src_set", "dst_set"))
     alike = common >= similarity * (F.size("src_set") + F.size("dst_set") - common) - 1e-9
-    links, _ = materialise(pairs.join(a, "src").join(b, "dst").where(alike).select("src", "dst"), "shingle-links")
-    release(pairs.sparkSession, path)
+    exact = open_pairs.select("src", "dst").join(x, "src").join(y, "dst").where(alike).select("src", "dst")
+    links, _ = materialise(sure.union(exact), "shingle-links")
+    release(spark, own_path, told_path, whole_path)
     return links
 
 
-def simhash_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst) between similar sets (fp, sim, hashes) whose SimHash fingerprints are equal or linked by the pigeonring.
+def simhash_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst) between similar sets (fp, sim, ..) whose SimHash fingerprints are equal or linked by the pigeonring.
 
     Sets of one fingerprint hang on the smallest of them, and linked fingerprints on each other's smallest.
     """
@@ -106,89 +156,68 @@ def simhash_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     across = simhash.near_links(first, "sim").join(ends[0], "src").join(ends[1], "dst").select(F.col("src_first").alias("src"), F.col("dst_first").alias("dst"))
     within = sets.select("sim", "fp").distinct().join(first, "sim").where("fp <> first").select(F.col("first").alias("src"), F.col("fp").alias("dst"))
     pairs, pairs_path = materialise(across.union(within).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "shingle-pairs")
-    links = _checked(pairs, sets, similarity)
+    links = _checked(pairs, sets, texts, similarity)
     release(sets.sparkSession, path, pairs_path)
     return links
 
 
-def _promising(sets: DataFrame) -> DataFrame:
-    """(fp, n, hashes): the distinct sets that share a band with another."""
-    keyed = sets.select(F.explode("keys").alias("key"), "fp")
-    shared = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
-    marked = keyed.join(shared, "key", "left_semi").select("fp").distinct()
-    return sets.join(marked, "fp", "left_semi").select("fp", F.size("hashes").alias("n"), "hashes").dropDuplicates(["fp"])
-
+def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
+    """(src, dst) between similar sets (fp, th, n, keys, sig), enough to connect all similar pairs that share a band.
 
-def prefixes(whole: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, fp, n) from sets (fp, n, hashes): the shingles of each set's prefix that another set holds too.
-
-    A prefix is the first n - ceil(similarity n) + 1 shingles in the order of frequency, then value; those of a single
-    set take up places and join nothing.
+    ``texts``: a column text, of which th are the hashes.
     """
-    each = whole.select(F.explode("hashes").alias("h"), "fp", "n")
-    counts, counts_path = materialise(each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shingle-counts")
-    # frequencies of the most frequent shingles go by broadcast, so their rows meet in no task
-    hot = counts.where(F.col("c") > HOT_SETS).orderBy(F.desc("c"), "h").limit(HOT_SHINGLES).select("h", F.col("c").alias("hot"))
-    near = each.join(F.broadcast(hot), "h", "left")
-    cold = near.where("hot is null").drop("hot").join(counts, "h")
-    told = near.where("hot is not null").withColumnRenamed("hot", "c").unionByName(cold)
-    own = told.groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("shared"))  # within one set
-    room = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1 - (F.col("n") - F.size("shared"))
-    head = F.slice("shared", 1, F.greatest(F.lit(0), room).cast("int"))
-    keys, _ = materialise(own.select(F.explode(head).alias("x"), "fp", "n").select(F.col("x.h").alias("key"), "fp", "n"), "shingle-prefixes")
-    release(whole.sparkSession, counts_path)
-    return keys
-
-
-def similar_links(sets: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
-    """(src, dst) between similar sets (fp, keys, hashes), enough to connect all similar pairs that share a band."""
     spark = sets.sparkSession
-    whole, whole_path = materialise(_promising(sets), "shingle-promising")
-    keyed = prefixes(whole, similarity)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct(_lot(), "fp")).alias("least")).where("many > 1")
-    members = keyed.join(sizes, "key").select("key", "fp", "n", "many", (F.col("fp") == F.col("least.fp")).alias("least"), _lot())
+    keyed = sets.groupBy("fp", "n").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "fp", "n")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(_lot()).alias("least")).where("many > 1")
+    members = keyed.join(sizes, "key").select("key", "fp", "n", "many", (_lot() == F.col("least")).alias("least"), _lot().alias("lot"))
     live, live_path = materialise(members.withColumn("part", F.lit(0).cast("long")), "shingle-members")
     links, upto = None, centres
     while not live.isEmpty():
-        first = live.where(_centre(upto)).where(~_centre(upto / GROWTH) if links is not None else F.lit(True))
-        first = first.select("key", F.col("fp").alias("src"), F.col("n").alias("m"), F.col("lot").alias("l"), F.col("part").alias("p"))
+        first = live.where(_centre(upto)).select("key", F.col("fp").alias("src"), F.col("n").alias("m"), F.col("lot").alias("l"), F.col("part").alias("p"))
         later = (F.col("lot") > F.col("l")) | ((F.col("lot") == F.col("l")) & (F.col("fp") > F.col("src")))
         near = later & ((F.col("part") != F.col("p")) | (F.col("part") == 0)) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
         met = first.join(live, "key").where(near).select(F.least("src", "fp").alias("src"), F.greatest("src", "fp").alias("dst")).distinct()
         pairs, pairs_path = materialise(met, "shingle-pairs")
-        found = _checked(pairs, whole, similarity)
+        found = _checked(pairs, sets, texts, similarity)
         links = found if links is None else links.union(found)
         release(spark, pairs_path)
         rest = live.where(~_centre(upto))
         if rest.isEmpty():
             break
-        # a shingle goes on where its rest is in several parts; part 0 is a set without links
+        # a band goes on where its rest is in several parts; part 0 is a set without links
         parts = connected_components(links).withColumnRenamed("vertex", "fp")
         rest = rest.drop("part").join(parts, "fp", "left").withColumn("part", F.coalesce("component", F.lit(0))).drop("component")
         open_keys = rest.groupBy("key").agg(F.count("*").alias("c"), F.min("part").alias("x"), F.max("part").alias("y")).where("c > 1 and (x <> y or x = 0)").select("key")
         rest, rest_path = materialise(rest.join(open_keys, "key", "left_semi"), "shingle-members")
         release(spark, live_path)
         live, live_path, upto = rest, rest_path, upto * GROWTH
-    release(spark, live_path, whole_path)
+    release(spark, live_path)
     return links if links is not None else spark.createDataFrame([], "src long, dst long")
 
 
 def _lot() -> Column:
-    return F.xxhash64("fp").alias("lot")
+    return F.xxhash64("fp")
 
 
 def _centre(upto: float) -> Column:
-    """Whether a member is among about the ``upto`` smallest lots of its shingle; the smallest always is."""
+    """Whether a member is among about the ``upto`` smallest lots of its band; the smallest always is."""
     share = F.col("lot") / F.lit(2.0**64) + 0.5
     return F.col("least") | (share < F.lit(float(upto)) / F.col("many"))
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, fp, sim, n, keys, sig) of each row."""
+    bound_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    return own.withColumn("s", sketch("_text")).select("id", F.xxhash64("_text").alias("th"), "s.*")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns as they are, of which one stays for each component of similar texts.
 
     Rows, ids and nulls as in ``simhash.keep_one``; texts with the same shingle set are one, as are all without words.
     """
-    bound_batches(docs.sparkSession)
-    sets, _ = materialise(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).withColumn("s", sketch("_text")).select("id", "s.*"), "shingle-sets")
-    links = simhash_links(sets, similarity).union(similar_links(sets, similarity)).distinct()
+    sets, _ = materialise(sketches(docs, id_col, text_col), "shingle-sketches")
+    texts = docs.select(F.col(text_col).alias("text"))
+    links = simhash_links(sets, texts, similarity).union(similar_links(sets, texts, similarity)).distinct()
     return simhash.keep_first(docs, sets.select("id", "fp"), links, shingle_fingerprint, id_col, text_col)

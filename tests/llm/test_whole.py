@@ -44,7 +44,7 @@ def test_pipeline_links_by_five_words(spark):
     assert got == sorted(set(components(len(texts), links)))
 
 
-def test_similar_links_of_large_buckets(spark):
+def test_similar_links_of_large_buckets(spark, monkeypatch):
     rng = random.Random(4)
     base = prose(rng, 120).split()
     texts = []
@@ -54,21 +54,27 @@ def test_similar_links_of_large_buckets(spark):
             words[at] = f"new{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    sets = docs.withColumn("s", shingles.sketch("text")).select("id", "s.*").cache()
+    sets = shingles.sketches(docs, "id", "text").cache()
     place = {r["fp"]: r["id"] for r in sets.collect()}
-    got = [(place[r["src"]], place[r["dst"]]) for r in shingles.similar_links(sets, centres=2).collect()]
-    assert {(max(p), min(p)) for p in got} <= set(similar(texts))
-    assert components(60, got) == components(60, similar(texts))
-    close = [(place[r["src"]], place[r["dst"]]) for r in shingles.simhash_links(sets).collect()]
+    for broadcast in (shingles.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(shingles, "BROADCAST_KEYS", broadcast)
+        got = [(place[r["src"]], place[r["dst"]]) for r in shingles.similar_links(sets, docs.select("text"), centres=1).collect()]
+        assert {(max(p), min(p)) for p in got} <= set(similar(texts))
+        assert components(60, got) == components(60, similar(texts))
+    close = [(place[r["src"]], place[r["dst"]]) for r in shingles.simhash_links(sets, docs.select("text")).collect()]
     assert {(max(p), min(p)) for p in close} <= set(similar(texts)) and close
 
 
-def test_band_recall():
-    rng, missed = np.random.default_rng(1), 0
+def test_band_recall_and_estimates():
+    rng, missed, told = np.random.default_rng(1), 0, []
     for _ in range(3000):
         pool = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
-        missed += not np.intersect1d(shingles.band_keys(pool[:90]), shingles.band_keys(pool[10:])).size
-    assert missed == 0  # similarity 0.8
+        a, b = shingles.minima(pool[:90]), shingles.minima(pool[10:])
+        missed += not np.intersect1d(shingles.band_keys(a), shingles.band_keys(b)).size
+        told.append((a == b).mean())
+    assert missed <= 1  # similarity 0.8
+    wide = shingles.SURE * (0.8 * 0.2 / (shingles.BANDS * shingles.ROWS)) ** 0.5
+    assert abs(np.mean(told) - 0.8) < 0.005 and max(abs(x - 0.8) for x in told) < wide
 
 
 def test_deep_chains(spark):
