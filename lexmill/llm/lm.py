@@ -7,9 +7,10 @@ expectation-maximisation on the counts of held-out training documents, whose est
 documents; final counts cover all training documents.
 
 Counts are never gathered in one place. Texts are packed into chunks: a file of token numbers, and the sorted distinct
-64-bit keys of the chunk's words, word pairs and triples. Keys travel as compressed differences by hash range; each range
-sums its blocks and answers each block in the block's order, and a chunk is scored beside its answers. A frequent word
-costs one key a chunk, and only keys and counts are shuffled. Two of n different keys agree by chance once in 2^64 / n.
+keys of the chunk's words (64 bits), word pairs and triples (60 bits). Keys travel as compressed differences by hash range;
+each range sums its blocks and answers each block in the block's order, and a chunk is scored beside the file of its
+answers. A frequent word costs one key a chunk, and only keys and counts are shuffled. Of n different pairs or triples one
+in 2^60 / n shares its key with another, one in 100,000 for ten thousand billion of them.
 A chunk is named by its partition and place, so a task that runs again writes the same chunk. The expectation step reads a
 histogram of quantised probability ratios whose size is bounded whatever the corpus.
 """
@@ -44,6 +45,7 @@ GRID, SPAN = 4, 40
 SIDE = 2 * SPAN * GRID + 1
 #: Orders above 1 whose keys are made of a context and a word.
 ORDERS = (2, 3)
+KEY_BITS = 60
 _END, _START = np.uint64(xxhash.xxh64_intdigest(b"", seed=1)), np.uint64(xxhash.xxh64_intdigest(b"", seed=2))
 _BLOCK = "chunk string, range int, data binary"
 
@@ -75,11 +77,11 @@ def _key(context: np.ndarray, w: np.ndarray) -> np.ndarray:
     x = context * np.uint64(0x9E3779B97F4A7C15) + (w ^ (w >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(64 - KEY_BITS)
 
 
-def _bounds(ranges: int) -> np.ndarray:
-    return np.array([(i << 64) // ranges for i in range(ranges)], dtype=np.uint64)
+def _bounds(ranges: int, bits: int) -> np.ndarray:
+    return np.array([(i << bits) // ranges for i in range(ranges)], dtype=np.uint64)
 
 
 def _fields(data: bytes) -> list[bytes]:
@@ -126,7 +128,7 @@ class _Tokens:
             for (keys, counts), place in zip(held, (self.word, *self.place), strict=True):
                 counts.append(np.bincount(place[mask], minlength=len(keys)).astype(np.int32))
             held[0][1][-1][self.start] = (of_docs >= least).sum()
-        cuts = [np.r_[np.searchsorted(keys, _bounds(ranges)), len(keys)] for keys, _ in held]
+        cuts = [np.r_[np.searchsorted(keys, _bounds(ranges, KEY_BITS if i else 64)), len(keys)] for i, (keys, _) in enumerate(held)]
         for r in range(ranges):
             if any(c[r + 1] > c[r] for c in cuts):
                 yield r, _join([x for (keys, counts), c in zip(held, cuts, strict=True) for x in (_pack_sorted(keys[c[r] : c[r + 1]]), *(_pack(n[c[r] : c[r + 1]]) for n in counts))])
@@ -230,16 +232,30 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([*out, ("", r, sums.tobytes())], columns=["chunk", "range", "data"])
 
 
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Writes all answers of a chunk beside its file; the sums of ranges, which belong to no chunk, are added up."""
+    chunk, data = rows["chunk"].iloc[0], rows.sort_values("range")["data"]
+    if not chunk:
+        sums = np.sum([np.frombuffer(d, dtype=np.int64) for d in data], axis=0)
+        return pd.DataFrame({"chunk": [""], "data": [sums.tobytes()]})
+    answers = [_fields(d) for d in data]
+    whole = [_pack(np.concatenate([_unpack(a[i], "<i8") for a in answers])) for i in range(2 * (1 + len(ORDERS)))]
+    out = Output(f"{chunk}-answers")
+    out.file.write(_join(whole))
+    out.close()
+    return pd.DataFrame({"chunk": [chunk], "data": [b""]})
+
+
 class _Scored:
     """A chunk beside its answers."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.t = t = _Tokens.read(rows["chunk"].iloc[0])
-        answers = [_fields(d) for d in rows.sort_values("range")["data"]]
-        got = [np.concatenate([_unpack(a[i], "<i8") for a in answers]) for i in range(2 * (1 + len(ORDERS)))]
+    def __init__(self, chunk: str):
+        self.t = t = _Tokens.read(chunk)
+        with open_read(f"{chunk}-answers") as file:
+            got = [_unpack(x, "<i8") for x in _fields(file.read())]
         self.counts = list(zip(got[::2], got[1::2], strict=True))
         if any(len(c[0]) != len(k) for c, k in zip(self.counts, (t.hashes, *t.keys), strict=True)):
-            raise ValueError(f"chunk {rows['chunk'].iloc[0]} was written anew in another order")
+            raise ValueError(f"chunk {chunk} was written anew in another order")
 
     def estimates(self, n: float, v: float, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token its bucket, the estimates of orders 3, 2, 1 and the base, and c(w); core: without deleted documents."""
@@ -272,14 +288,24 @@ def cells_of(bucket: np.ndarray, told: np.ndarray) -> np.ndarray:
 def _histogram(n: float, v: float):
     """Held-out tokens by cell."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _Scored(rows)
+    def run(s: _Scored) -> pd.DataFrame:
         bucket, told, _ = s.estimates(n, v, core=True)
         pick = s.t.part == 2
         found, count = np.unique(cells_of(bucket[pick], told[:, pick]), return_counts=True)
         return pd.DataFrame({"cell": found, "n": count})
 
-    return run
+    return _each(run)
+
+
+def _each(run):
+    """For a mapping of rows (chunk), a chunk at once."""
+
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for chunk in b["chunk"]:
+                yield run(_Scored(chunk))
+
+    return over
 
 
 def expectation_maximisation(cells: np.ndarray, count: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -313,14 +339,13 @@ def mixed(bucket: np.ndarray, p: np.ndarray, count: np.ndarray, rounds: int = 60
 
 
 def _final(weights: np.ndarray, n: float, v: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        s = _Scored(rows)
+    def run(s: _Scored) -> pd.DataFrame:
         bucket, told, of = s.estimates(n, v, core=False)
         p = (weights[bucket].T * told).sum(0)
         add = lambda x: np.add.reduceat(x, s.t.starts)
         return pd.DataFrame({"id": s.t.docs["id"].astype("Int64"), "n_tokens": s.t.docs["n"].astype(np.int64), "n_known": add((of > 0).astype(np.int64)), "base_score": add(np.log10(told[3])), "score": add(np.log10(p))})
 
-    return run
+    return _each(run)
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
@@ -336,15 +361,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     n_ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // RANGE_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).alias("text"))
     packed = texts.mapInPandas(_chunked(n_ranges, scratch_path(spark, "lm-tokens")), _BLOCK)
-    answers, _ = materialise(packed.groupBy("range").applyInPandas(_answers, _BLOCK), "lm-answers")
-    sums = np.zeros(4, dtype=np.int64)
-    for r in answers.where("chunk = ''").select("data").toLocalIterator():
-        sums += np.frombuffer(r["data"], dtype=np.int64)
+    answered = packed.groupBy("range").applyInPandas(_answers, _BLOCK).groupBy("chunk").applyInPandas(_packed, "chunk string, data binary")
+    answers, _ = materialise(answered, "lm-answers")
+    told = answers.where("chunk = ''").select("data").collect()  # one row
+    sums = np.frombuffer(told[0]["data"], dtype=np.int64) if told else np.zeros(4, dtype=np.int64)
     n, v, core_n, core_v = (int(x) for x in sums)
-    beside = answers.where("chunk <> ''").groupBy("chunk")
-    cells = beside.applyInPandas(_histogram(core_n, core_v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    chunks = answers.where("chunk <> ''").select("chunk")
+    many = chunks.count()
+    beside = chunks.repartition(max(1, min(many, max(4 * spark.sparkContext.defaultParallelism, many // 4))))
+    cells = beside.mapInPandas(_histogram(core_n, core_v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = expectation_maximisation(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float)) if len(cells) else np.tile([0.0, 0.0, 0.0, 1.0], (2 * BUCKETS, 1))
-    scored = beside.applyInPandas(_final(weights, n, v), "id long, n_tokens long, n_known long, base_score double, score double")
+    scored = beside.mapInPandas(_final(weights, n, v), "id long, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(crc_mod(F.col("id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
