@@ -82,14 +82,14 @@ def best_shift(a: Column, b: Column) -> Column:
             last = F.get(s, i - 1)
             return F.when((i > 0) & (x["t"] == 1) & (last["t"] == 0) & (last["h"] == x["h"]), x["p"] + last["p"])
 
-        return F.array_sort(F.array_compact(F.transform(s, one)))
+        return F.sort_array(F.array_compact(F.transform(s, one)))
 
     def mode(d: Column) -> Column:
         ends = F.array_compact(F.transform(d, lambda x, i: F.when(~F.get(d, i + 1).eqNullSafe(x), F.struct(i.alias("i"), x.alias("x")))))
         runs = _bind(ends, lambda e: F.transform(e, lambda x, i: F.struct((x["i"] - F.when(i > 0, F.get(e, i - 1)["i"]).otherwise(-1)).alias("n"), (-F.abs(x["x"])).alias("near"), x["x"].alias("shift"))))
         return _bind(F.array_max(runs), lambda v: F.when(v.isNotNull(), F.struct(v["shift"].alias("shift"), v["n"].alias("n"))))
 
-    return _bind(_bind(F.array_sort(F.concat(tagged(a, 0), tagged(b, 1))), met), mode)
+    return _bind(_bind(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))), met), mode)
 
 
 def _place(i: Column, text: Column) -> Column:
@@ -119,7 +119,7 @@ def cell_heads(places: DataFrame, cell_rows: int = CELL_ROWS, max_blocks: int =
     cells = first.select("place", F.row_number().over(order).alias("cell"))
     heads = cells.select("place", "cell", F.coalesce(F.lag("cell").over(order), F.last("cell").over(ends)).alias("into"))
     block = ((F.col("cell") - 1) / BLOCK_CELLS).cast("int") + 1
-    return heads.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "cell", "into"))).alias("heads"))
+    return heads.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "cell", "into"))).alias("heads"))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Window]:
