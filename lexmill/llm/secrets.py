@@ -96,7 +96,7 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0
 def base_spans(text: Column) -> Column:
     """All base spans by start, then kind as listed; text must not be null."""
     found = F.concat(_spans(text, ASSIGN, 0, 2, ASSIGN_MIN), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
-    return F.array_sort(F.transform(found, lambda s: F.struct(s["lo"].alias("lo"), s["kind"].alias("kind"), s["hi"].alias("hi"))))
+    return F.sort_array(F.transform(found, lambda s: F.struct(s["lo"].alias("lo"), s["kind"].alias("kind"), s["hi"].alias("hi"))))
 
 
 def _normal_upper(z: Column) -> Column:
@@ -225,7 +225,7 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return scan(docs, [id_col], text_col).select(
         id_col, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
-        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("base", "added"))).alias("spans"),
     )
 
 
@@ -239,7 +239,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     text = F.col(text_col)
     own = F.coalesce(text, F.lit(""))
     found, _ = materialise(docs.select("*", base_spans(own).alias(base), tested_runs(own).alias(runs)), "secret-texts")
-    spans = _merged(F.array_sort(F.concat(F.col(base), _reported(found, base, runs))))
+    spans = _merged(F.sort_array(F.concat(F.col(base), _reported(found, base, runs))))
     changed = found.withColumn(new, F.when(F.size(base) + F.size(runs) > 0, _bind(spans, lambda m: _replaced(text, m, mark))).otherwise(text))
     if length_col in docs.columns:
         changed = changed.withColumn(length_col, F.when(F.size(base) + F.size(runs) == 0, F.col(length_col)).when(F.col(new) != text, F.length(new).cast("long")).otherwise(F.col(length_col)))
