@@ -210,7 +210,7 @@ def test_numbers_and_texts_that_json_cannot_hold(spark):
         (1, 0, "tool", '{"tool_call_id":"a","content":NaN}'), (1, 1, "tool", '{"tool_call_id":"a","content":1e400}'), (1, 2, "tool", '{"tool_call_id":"a","content":"\\ud800"}'),
         (1, 3, "assistant", json.dumps({"tool_calls": [{"id": "b", "name": "calculate", "arguments": '{"expression": -Infinity}'}]})),
         (1, 4, "assistant", '{"tool_calls":[{"id":"c\\udc00","name":"calculate","arguments":{"expression":"1"}}]}'), (1, 5, "tool", '{"tool_call_id":"c\\udc00"}'),
-        (1, 6, "assistant", '{"tool_calls":' + "[" * 5000 + "]" * 5000 + "}"), (1, 7, "tool", '{"tool_call_id":"a","content":1' + "0" * 5000 + "}"),
+        (1, 6, "assistant", '{"tool_calls":[{"id":"x","name":"calculate","arguments":{"a":' + "[" * 5000 + "]" * 5000 + "}}]}"), (1, 7, "tool", '{"tool_call_id":"a","content":1' + "0" * 5000 + "}"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r["turn"]: r for r in chat.link(df, queries.TOOLS).collect()}
