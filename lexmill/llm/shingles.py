@@ -11,13 +11,16 @@ The share of equal minima estimates a candidate's similarity with a deviation of
 to either side it decides (wrong once in 5e7); in between the whole sets are compared, made from the texts again, since
 sets are several times as large as texts. The members of a band are never turned into all their pairs at once: a few of
 them are compared with the rest, and only where the rest is not connected yet more of them follow, 16 times as many each
-round.
+round. Bands of over ``CROWD`` members are linked from whole sets instead (``_Crowd``), exact too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +34,9 @@ WORDS, SIMILARITY, BANDS, ROWS, SEED = 5, 0.8, 45, 7, 42
 SURE = 5.5
 #: Members of a band that are compared with its rest in the first round, about, and how many times as many in the next.
 CENTRES, GROWTH = 2, 16
+#: Members from which a band is linked by differences from its common set, the first members that tell this set, and how
+#: often a difference occurs at most to be looked up.
+CROWD, TELLING, RARE = 32, 256, 16
 #: Keys that a semi-join may broadcast, 30 MB; beyond it texts are shuffled.
 BROADCAST_KEYS = 500_000
 _SLICE = 512
@@ -161,6 +167,175 @@ def simhash_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     return links
 
 
+class _Crowd:
+    """One band: each member as the difference of its set from a common set, the shingles of most of its first members.
+
+    Sets x and y with differences X and Y differ in |X| + |Y| - 2 |X & Y| shingles and are similar if that is at most k(|x| +
+    |y|), k = (1 - similarity) / (1 + similarity): g(x) + g(y) <= 2 |X & Y| for g(x) = |X| - k|x|. Pairs with g(x) + g(y) <= 0
+    are similar whatever they share, and each end is similar to the member of the smallest g, so a star links them all. Other
+    similar pairs share a difference: a rare one, and are looked up by it; or frequent ones alone, and then at least half of
+    g(x) + g(y) of them. Members with too few frequent ones for that are done, the rest is multiplied out.
+    """
+
+    def __init__(self, key: int, similarity: float):
+        self.key, self.k = key, (1 - similarity) / (1 + similarity)
+        self.common: np.ndarray | None = None
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = self.count = 0
+        self.fps: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.owner: list[np.ndarray] = []
+        self.what: list[np.ndarray] = []
+
+    def add(self, fps: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        """Members with their sets one after another."""
+        self.fps.append(fps)
+        self.sizes.append(sizes)
+        if self.common is not None:
+            return self._reduce(sizes, hashes)
+        self.held.append((sizes, hashes))
+        self.waiting += len(sizes)
+        if self.waiting >= TELLING:
+            self._tell()
+
+    def _tell(self) -> None:
+        found, times = np.unique(np.concatenate([h for _, h in self.held]), return_counts=True)
+        self.common = found[2 * times > self.waiting]
+        for sizes, hashes in self.held:
+            self._reduce(sizes, hashes)
+        self.held.clear()
+
+    def _reduce(self, sizes: np.ndarray, hashes: np.ndarray) -> None:
+        own, common = np.repeat(np.arange(len(sizes)), sizes), self.common
+        place = np.searchsorted(common, hashes)
+        there = np.zeros(len(hashes), dtype=bool)
+        inner = place < len(common)
+        there[inner] = common[place[inner]] == hashes[inner]
+        has = np.zeros((len(sizes), len(common)), dtype=bool)
+        has[own[there], place[there]] = True
+        lacks, which = np.nonzero(~has)
+        self.owner += [self.count + own[~there], self.count + lacks]
+        self.what += [hashes[~there], common[which]]
+        self.count += len(sizes)
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the similar pairs."""
+        if self.common is None:
+            self._tell()
+        n, fps = self.count, np.concatenate(self.fps)
+        _, what, times = np.unique(np.concatenate(self.what), return_inverse=True, return_counts=True)
+        owner, eps = np.concatenate(self.owner), 1e-9
+        order = np.lexsort((what, owner))
+        owner, what = owner[order], what[order]
+        many = np.bincount(owner, minlength=n)
+        starts = np.concatenate([[0], np.cumsum(many)])
+        g = many - self.k * np.concatenate(self.sizes)
+        often = times[what] > RARE
+        shared = np.bincount(owner[often], minlength=n)
+        up, src, dst = np.arange(n), [], []
+
+        def root(a: int) -> int:
+            while up[a] != a:
+                up[a] = a = up[up[a]]
+            return a
+
+        def link(a: int, b: int) -> None:
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                src.append(a)
+                dst.append(b)
+
+        hub = int(g.argmin())
+        star = g + g[hub] <= eps
+        star[hub] = True
+        for x in np.flatnonzero(star).tolist():
+            link(hub, x)
+
+        # pairs that share a rare difference
+        rare = np.flatnonzero((times[what] > 1) & ~often)
+        rare = rare[np.argsort(what[rare], kind="stable")]
+        for d in range(2, RARE + 1):
+            rows = owner[rare[times[what[rare]] == d]].reshape(-1, d)
+            codes = []
+            for i in range(d):
+                for j in range(i):
+                    a, b = rows[:, j], rows[:, i]
+                    worth = ~(star[a] & star[b]) & (g[a] + g[b] <= 2 * np.minimum(many[a], many[b]) + eps)
+                    codes.append(a[worth] * np.int64(n) + b[worth])
+            for code in np.unique(np.concatenate(codes)).tolist():
+                a, b = divmod(code, n)
+                if root(a) != root(b):
+                    both = np.intersect1d(what[starts[a] : starts[a + 1]], what[starts[b] : starts[b + 1]], assume_unique=True)
+                    if g[a] + g[b] <= 2 * len(both) + eps:
+                        link(a, b)
+
+        # pairs that share frequent ones alone
+        least = g - 2 * shared
+        left = np.flatnonzero(~star & (g + least.min() <= eps))
+        if len(left):
+            others = np.flatnonzero((least + g[left].min() <= eps) & (g + least[left].min() <= eps))
+            column = np.cumsum(times > RARE) - 1
+            wide = int(column[-1]) + 1 if len(column) else 0
+            step = max(1, (1 << 24) // max(1, wide))
+
+            def dense(of: np.ndarray) -> np.ndarray:
+                out = np.zeros((len(of), wide), dtype=np.float32)
+                for i, x in enumerate(of):
+                    at = slice(starts[x], starts[x + 1])
+                    out[i, column[what[at][often[at]]]] = 1
+                return out
+
+            for lo in range(0, len(others), min(step, 4096)):
+                ends = others[lo : lo + min(step, 4096)]
+                right = dense(ends).T
+                for at in range(0, len(left), min(step, 1024)):
+                    own = left[at : at + min(step, 1024)]
+                    near = g[own][:, None] + g[ends][None, :] <= 2 * (dense(own) @ right).astype(float) + eps
+                    for i in np.flatnonzero(near.any(axis=1)).tolist():
+                        for j in ends[near[i]].tolist():
+                            link(int(own[i]), j)
+        return fps[np.array(src, dtype=np.int64)], fps[np.array(dst, dtype=np.int64)]
+
+
+def _crowd_links(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches (key, fp, hashes) sorted by key: links of each key's members."""
+
+    def done(crowd: _Crowd) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in crowd.links()], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowd = None
+        for batch in batches:
+            keys, fps, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            sizes, hashes = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                if crowd is None or crowd.key != keys[lo]:
+                    if crowd is not None:
+                        yield done(crowd)
+                    crowd = _Crowd(keys[lo], similarity)
+                crowd.add(fps[lo:hi], sizes[lo:hi], hashes[ends[lo] : ends[hi]])
+        if crowd is not None:
+            yield done(crowd)
+
+    return run
+
+
+def crowd_links(members: DataFrame, sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(src, dst) that connect all similar pairs of ``members`` (key, fp, lot) with a key in common."""
+    spark = members.sparkSession
+    wanted = sets.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("th").alias("th"))
+    whole, path = materialise(whole_sets(texts, wanted), "shingle-crowds")
+    rows = members.select("key", "fp", "lot").join(whole, "fp").repartition("key").sortWithinPartitions("key", "lot")
+    links, _ = materialise(rows.select("key", "fp", "hashes").mapInArrow(_crowd_links(similarity), "src long, dst long").distinct(), "shingle-links")
+    release(spark, path)
+    return links
+
+
 def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, centres: int = CENTRES) -> DataFrame:
     """(src, dst) between similar sets (fp, th, n, keys, sig), enough to connect all similar pairs that share a band.
 
@@ -170,8 +345,9 @@ def similar_links(sets: DataFrame, texts: DataFrame, similarity: float = SIMILAR
     keyed = sets.groupBy("fp", "n").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "fp", "n")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("many"), F.min(_lot()).alias("least")).where("many > 1")
     members = keyed.join(sizes, "key").select("key", "fp", "n", "many", (_lot() == F.col("least")).alias("least"), _lot().alias("lot"))
-    live, live_path = materialise(members.withColumn("part", F.lit(0).cast("long")), "shingle-members")
-    links, upto = None, centres
+    every, live_path = materialise(members.withColumn("part", F.lit(0).cast("long")), "shingle-members")
+    live, crowd = every.where(F.col("many") <= CROWD), every.where(F.col("many") > CROWD)
+    links, upto = None if crowd.isEmpty() else crowd_links(crowd, sets, texts, similarity), centres
     while not live.isEmpty():
         first = live.where(_centre(upto)).select("key", F.col("fp").alias("src"), F.col("n").alias("m"), F.col("lot").alias("l"), F.col("part").alias("p"))
         later = (F.col("lot") > F.col("l")) | ((F.col("lot") == F.col("l")) & (F.col("fp") > F.col("src")))
