@@ -11,6 +11,8 @@ keys of the chunk's words (64 bits), word pairs and triples (60 bits). Keys trav
 each range sums its blocks and answers each block in the block's order, and a chunk is scored beside the file of its
 answers. A frequent word costs one key a chunk, and only keys and counts are shuffled. Of n different pairs or triples one
 in 2^60 / n shares its key with another, one in 100,000 for ten thousand billion of them.
+Triples come after words and pairs: where one chunk has a pair alone, it has the triples with that pair alone too, and
+their counts in the chunk are whole without a shuffle.
 A chunk is named by its partition and place, so a task that runs again writes the same chunk. The expectation step reads a
 histogram of quantised probability ratios whose size is bounded whatever the corpus.
 """
@@ -119,19 +121,24 @@ class _Tokens:
             context = np.roll(told, 1)
             context[self.starts] = _START
 
-    def blocks(self, ranges: int) -> Iterator[tuple[int, bytes]]:
-        """(range, keys of all orders with their counts in training and in deleted documents)."""
-        of_docs = self.docs["part"].to_numpy()
-        held = [(self.hashes, []), *((k, []) for k in self.keys)]
-        for least in (1, 2):
-            mask = self.part >= least
-            for (keys, counts), place in zip(held, (self.word, *self.place), strict=True):
-                counts.append(np.bincount(place[mask], minlength=len(keys)).astype(np.int32))
-            held[0][1][-1][self.start] = (of_docs >= least).sum()
-        cuts = [np.r_[np.searchsorted(keys, _bounds(ranges, KEY_BITS if i else 64)), len(keys)] for i, (keys, _) in enumerate(held)]
+    def counted(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of words (0), pairs (1) or triples (2) with their counts in training and in deleted documents."""
+        keys, place = (self.hashes, self.word) if not i else (self.keys[i - 1], self.place[i - 1])
+        counts = [np.bincount(place[self.part >= least], minlength=len(keys)).astype(np.int32) for least in (1, 2)]
+        if not i:
+            for least, held in enumerate(counts, 1):
+                held[self.start] = (self.docs["part"].to_numpy() >= least).sum()
+        return keys, *counts
+
+    def blocks(self, ranges: int, orders: tuple[int, ...], wanted: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+        """(range, keys of the orders with their counts), the wanted ones; the first range has a block at any rate."""
+        held = [self.counted(i) for i in orders]
+        if wanted is not None:
+            held = [tuple(x[wanted] for x in columns) for columns in held]
+        cuts = [np.r_[np.searchsorted(keys, _bounds(ranges, KEY_BITS if i else 64)), len(keys)] for i, (keys, *_) in zip(orders, held, strict=True)]
         for r in range(ranges):
-            if any(c[r + 1] > c[r] for c in cuts):
-                yield r, _join([x for (keys, counts), c in zip(held, cuts, strict=True) for x in (_pack_sorted(keys[c[r] : c[r + 1]]), *(_pack(n[c[r] : c[r + 1]]) for n in counts))])
+            if not r or any(c[r + 1] > c[r] for c in cuts):
+                yield r, _join([x for (keys, *counts), c in zip(held, cuts, strict=True) for x in (_pack_sorted(keys[c[r] : c[r + 1]]), *(_pack(n[c[r] : c[r + 1]]) for n in counts))])
 
     def write(self, path: str) -> None:
         docs = zstandard.compress(pa.serialize_pandas(self.docs, preserve_index=False).to_pybytes(), 3)
@@ -189,7 +196,7 @@ def _chunked(ranges: int, folder: str):
             tokens = chunk.done()
             path = f"{folder}/{partition}-{next(numbers)}"
             tokens.write(path)
-            return pd.DataFrame([(path, r, data) for r, data in tokens.blocks(ranges)], columns=["chunk", "range", "data"])
+            return pd.DataFrame([(path, r, data) for r, data in tokens.blocks(ranges, (0, 1))], columns=["chunk", "range", "data"])
 
         chunk = _Gathering()
         for batch in batches:
@@ -204,58 +211,88 @@ def _chunked(ranges: int, folder: str):
     return run
 
 
-def _answers(rows: pd.DataFrame) -> pd.DataFrame:
+def _answers(words: bool):
     """One hash range: sums the counts of all chunks' blocks and answers each block in its order.
 
-    The row of the empty chunk has the range's tokens and distinct words, of all training documents and without the
-    deleted ones.
+    words: the keys are of words and pairs. Then pairs are also told whether no other chunk has them, and the row of the empty chunk has the range's tokens and distinct words, of all
+    training documents and without the deleted ones.
     """
-    blocks = [_fields(d) for d in rows["data"]]
-    back: list[list[bytes]] = [[] for _ in blocks]
-    sums = np.zeros(4, dtype=np.int64)
-    for at in range(0, 3 * (1 + len(ORDERS)), 3):
-        keys = [_unpack_sorted(b[at]) for b in blocks]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        stops = np.cumsum([len(k) for k in keys])[:-1]
-        both = []
-        for i in (1, 2):
-            held = np.concatenate([_unpack(b[at + i], "<i4") for b in blocks])
-            both.append(np.bincount(inverse, weights=held, minlength=len(every)).astype(np.int64))
-        if not at:
-            words = every != _START
-            total, core = both[0][words], (both[0] - both[1])[words]
-            sums = np.array([total.sum(), (total > 0).sum(), core.sum(), (core > 0).sum()], dtype=np.int64)
-        for own, mine in zip(back, np.split(inverse, stops), strict=True):
-            own += [_pack(both[0][mine]), _pack(both[1][mine])]
-    r = int(rows["range"].iloc[0])
-    out = [(c, r, _join(parts)) for c, parts in zip(rows["chunk"], back, strict=True)]
-    return pd.DataFrame([*out, ("", r, sums.tobytes())], columns=["chunk", "range", "data"])
-
-
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        blocks = [_fields(d) for d in rows["data"]]
+        back: list[list[bytes]] = [[] for _ in blocks]
+        r = int(rows["range"].iloc[0])
+        told = []
+        for at in range(0, len(blocks[0]), 3):
+            keys = [_unpack_sorted(b[at]) for b in blocks]
+            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            stops = np.cumsum([len(k) for k in keys])[:-1]
+            both = []
+            for i in (1, 2):
+                held = np.concatenate([_unpack(b[at + i], "<i4") for b in blocks])
+                both.append(np.bincount(inverse, weights=held, minlength=len(every)).astype(np.int64))
+            if words and not at:
+                own = every != _START
+                total, core = both[0][own], (both[0] - both[1])[own]
+                told.append(("", r, np.array([total.sum(), (total > 0).sum(), core.sum(), (core > 0).sum()], dtype=np.int64).tobytes()))
+            for own, mine in zip(back, np.split(inverse, stops), strict=True):
+                own += [_pack(both[0][mine]), _pack(both[1][mine])]
+            if words and at:
+                alone = (np.bincount(inverse, minlength=len(every)) == 1).astype(np.int64)
+                for own, mine in zip(back, np.split(inverse, stops), strict=True):
+                    own.append(_pack(alone[mine]))
+        out = [(c, r, _join(parts)) for c, parts in zip(rows["chunk"], back, strict=True)]
+        return pd.DataFrame([*out, *told], columns=["chunk", "range", "data"])
+
+    return run
+
+
+def _packed(suffix: str):
     """Writes all answers of a chunk beside its file; the sums of ranges, which belong to no chunk, are added up."""
-    chunk, data = rows["chunk"].iloc[0], rows.sort_values("range")["data"]
-    if not chunk:
-        sums = np.sum([np.frombuffer(d, dtype=np.int64) for d in data], axis=0)
-        return pd.DataFrame({"chunk": [""], "data": [sums.tobytes()]})
-    answers = [_fields(d) for d in data]
-    whole = [_pack(np.concatenate([_unpack(a[i], "<i8") for a in answers])) for i in range(2 * (1 + len(ORDERS)))]
-    out = Output(f"{chunk}-answers")
-    out.file.write(_join(whole))
-    out.close()
-    return pd.DataFrame({"chunk": [chunk], "data": [b""]})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        chunk, data = rows["chunk"].iloc[0], rows.sort_values("range")["data"]
+        if not chunk:
+            sums = np.sum([np.frombuffer(d, dtype=np.int64) for d in data], axis=0)
+            return pd.DataFrame({"chunk": [""], "data": [sums.tobytes()]})
+        answers = [_fields(d) for d in data]
+        whole = [_pack(np.concatenate([_unpack(a[i], "<i8") for a in answers])) for i in range(len(answers[0]))]
+        out = Output(chunk + suffix)
+        out.file.write(_join(whole))
+        out.close()
+        return pd.DataFrame({"chunk": [chunk], "data": [b""]})
+
+    return run
 
 
 class _Scored:
-    """A chunk beside its answers."""
-
-    def __init__(self, chunk: str):
-        self.t = t = _Tokens.read(chunk)
-        with open_read(f"{chunk}-answers") as file:
-            got = [_unpack(x, "<i8") for x in _fields(file.read())]
-        self.counts = list(zip(got[::2], got[1::2], strict=True))
-        if any(len(c[0]) != len(k) for c, k in zip(self.counts, (t.hashes, *t.keys), strict=True)):
+    """A chunk beside its answers; triples: with those for triples."""
+
+    def __init__(self, chunk: str, triples: bool = True):
+        self.chunk, self.t = chunk, _Tokens.read(chunk)
+        word_all, word_deleted, pair_all, pair_deleted, self.alone = self._told("-answers")
+        self.counts = [(word_all, word_deleted), (pair_all, pair_deleted)]
+        if any(len(c[0]) != len(k) for c, k in zip(self.counts, (self.t.hashes, self.t.keys[0]), strict=True)):
             raise ValueError(f"chunk {chunk} was written anew in another order")
+        if triples:
+            wanted, told, (_, *own) = self.wanted(), self._told("-triples"), self.t.counted(2)
+            self.counts.append(tuple(x.astype(np.int64) for x in own))
+            for x, y in zip(self.counts[2], told, strict=True):
+                x[wanted] = y
+
+    def _told(self, suffix: str) -> list[np.ndarray]:
+        with open_read(self.chunk + suffix) as file:
+            return [_unpack(x, "<i8") for x in _fields(file.read())]
+
+    def wanted(self) -> np.ndarray:
+        """Which triples other chunks may hold: those without a pair that this chunk has alone."""
+        t = self.t
+        own = (self.alone > 0)[t.place[0]]
+        before = np.roll(own, 1)
+        before[t.starts] = False
+        out = np.zeros(len(t.keys[1]), dtype=bool)
+        out[t.place[1][~(own | before)]] = True
+        return out
 
     def estimates(self, n: float, v: float, core: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token its bucket, the estimates of orders 3, 2, 1 and the base, and c(w); core: without deleted documents."""
@@ -297,13 +334,18 @@ def _histogram(n: float, v: float):
     return _each(run)
 
 
-def _each(run):
+def _asked(ranges: int):
+    """Blocks of the triples that are to be counted with other chunks."""
+    return _each(lambda s: pd.DataFrame([(s.chunk, r, data) for r, data in s.t.blocks(ranges, (2,), s.wanted())], columns=["chunk", "range", "data"]), False)
+
+
+def _each(run, triples: bool = True):
     """For a mapping of rows (chunk), a chunk at once."""
 
     def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for chunk in b["chunk"]:
-                yield run(_Scored(chunk))
+                yield run(_Scored(chunk, triples))
 
     return over
 
@@ -361,7 +403,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     n_ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // RANGE_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), part.alias("part"), F.col(text_col).alias("text"))
     packed = texts.mapInPandas(_chunked(n_ranges, scratch_path(spark, "lm-tokens")), _BLOCK)
-    answered = packed.groupBy("range").applyInPandas(_answers, _BLOCK).groupBy("chunk").applyInPandas(_packed, "chunk string, data binary")
+    answered = packed.groupBy("range").applyInPandas(_answers(True), _BLOCK).groupBy("chunk").applyInPandas(_packed("-answers"), "chunk string, data binary")
     answers, _ = materialise(answered, "lm-answers")
     told = answers.where("chunk = ''").select("data").collect()  # one row
     sums = np.frombuffer(told[0]["data"], dtype=np.int64) if told else np.zeros(4, dtype=np.int64)
@@ -369,6 +411,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     chunks = answers.where("chunk <> ''").select("chunk")
     many = chunks.count()
     beside = chunks.repartition(max(1, min(many, max(4 * spark.sparkContext.defaultParallelism, many // 4))))
+    asked = beside.mapInPandas(_asked(n_ranges), _BLOCK)
+    materialise(asked.groupBy("range").applyInPandas(_answers(False), _BLOCK).groupBy("chunk").applyInPandas(_packed("-triples"), "chunk string, data binary"), "lm-triples")
     cells = beside.mapInPandas(_histogram(core_n, core_v), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = expectation_maximisation(cells["cell"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float)) if len(cells) else np.tile([0.0, 0.0, 0.0, 1.0], (2 * BUCKETS, 1))
     scored = beside.mapInPandas(_final(weights, n, v), "id long, n_tokens long, n_known long, base_score double, score double")
