@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lexmill import scratch
 from lexmill.functions import text as X
 
+#: Characters of a level's words that are broadcast at most.
+FEW_CHARS = 200_000
+
 
 def occurrences(rows: DataFrame, text: Column, low: int, high: int, keep: tuple[str, ...] = (), context: int = 0) -> DataFrame:
     """One row for each substring of low..high characters: ``keep``, pos (from 0), len, word.
@@ -113,26 +116,30 @@ def repeated_listing(texts: DataFrame, text_col: str, n: int) -> DataFrame:
 def frequent_substrings(texts: DataFrame, id_col: str, text_col: str, threshold: int, max_len: int | None = None, checkpoint_every: int = 4) -> DataFrame:
     """(word, len, cnt) of every substring that occurs ``threshold`` times or more, whatever its length.
 
-    Level k + 1 looks at places whose first k and last k characters are both frequent. A level is one aggregation; the
-    places that live on are written every few levels.
+    Equal texts are walked once, with their number as a weight. Level k + 1 looks at places whose first k and last k
+    characters are both frequent. A level is one aggregation; the places that live on are written every few levels. Tables
+    of places grow with the input though their files are small, so no join on them may broadcast; a level's words are
+    broadcast where they are few.
     """
-    rows = scratch.written(texts.select(F.monotonically_increasing_id().alias("_d"), F.col(text_col).alias("_t")), "frequent-rows")
-    alive = occurrences(rows, F.col("_t"), 1, 1, ("_d",)).select("_d", "pos", "word")
+    held = texts.where(F.length(text_col) > 0).groupBy(F.col(text_col).alias("_t")).agg(F.count("*").alias("times"))
+    rows = scratch.written(held.select(F.monotonically_increasing_id().alias("_d"), "_t", "times"), "frequent-rows")
+    alive = occurrences(rows, F.col("_t"), 1, 1, ("_d", "times")).select("_d", "pos", "times", "word")
     chars = alive.select("_d", "pos", F.col("word").alias("ch"))
     found, k = None, 1
     while True:
-        kept = alive.groupBy("word").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= threshold)
+        kept = alive.groupBy("word").agg(F.sum("times").alias("cnt")).where(F.col("cnt") >= threshold)
         level = scratch.written(kept.select("word", F.lit(k).alias("len"), "cnt"), "frequent-level")
-        if level.isEmpty():
+        n = level.count()
+        if n == 0:
             break
         found = level if found is None else found.unionByName(level)
         if max_len is not None and k >= max_len:
             break
-        alive = alive.join(level.select("word"), "word", "left_semi")
+        alive = alive.join(level.select("word").hint("broadcast" if n * k <= FEW_CHARS else "merge"), "word", "left_semi")
         after = alive.select("_d", (F.col("pos") - 1).alias("pos"))
-        longer = alive.join(after, ["_d", "pos"], "left_semi")
+        longer = alive.join(after.hint("merge"), ["_d", "pos"], "left_semi")
         tail = chars.select("_d", (F.col("pos") - k).alias("pos"), "ch")
-        alive = longer.join(tail, ["_d", "pos"]).select("_d", "pos", F.concat("word", "ch").alias("word"))
+        alive = longer.join(tail.hint("merge"), ["_d", "pos"]).select("_d", "pos", "times", F.concat("word", "ch").alias("word"))
         k += 1
         if k % checkpoint_every == 0:
             alive = scratch.written(alive, "frequent-places")
