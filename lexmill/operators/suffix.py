@@ -1,17 +1,22 @@
 """Suffix order, common prefixes and what follows from them.
 
-Suffixes are ordered within a text, first by keys of ``key_len`` characters. Where keys agree in full the order is refined
-by prefix doubling: pairs of ranks (of a place, and of the place 64, 128, .. characters on) give ranks over twice the
-length, until all ranks differ. So order and heights are exact for texts of any length and repetition.
+Suffixes are ordered within a text, first by keys of some characters. Where keys agree in full the order is refined by
+prefix doubling: pairs of ranks (of a place, and of the place a key's length on) give ranks over twice the length, until
+all ranks differ. So order and heights are exact for texts of any length and repetition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lexmill import scratch
 from lexmill.functions import text as X
+from lexmill.operators import codes
 
 
 def suffixes(texts: DataFrame, id_col: str, text_col: str, key_len: int = 64) -> DataFrame:
@@ -21,43 +26,27 @@ def suffixes(texts: DataFrame, id_col: str, text_col: str, key_len: int = 64) ->
     return base.select(id_col, F.explode(each).alias("s")).select(id_col, "s.pos", "s.suffix")
 
 
-def _ranked(rows: DataFrame, id_col: str, *order) -> DataFrame:
-    """Rank r by the given order, equal for equal keys, and whether another place has it."""
-    w = Window.partitionBy(id_col).orderBy(*order)
-    same = Window.partitionBy(id_col, "r")
-    return rows.withColumn("r", F.rank().over(w)).withColumn("tied", F.count("*").over(same) > 1)
-
-
 def suffix_array(texts: DataFrame, id_col: str, text_col: str, key_len: int = 64) -> DataFrame:
-    """(id, rank, pos, height) per text: rank from 0, height the characters shared with the suffix before."""
-    keyed = suffixes(texts, id_col, text_col, key_len)
-    first = _ranked(keyed, id_col, "suffix")
-    levels = [scratch.written(first.select(id_col, "pos", "suffix", "r", "tied"), "suffix-ranks")]
-    span = key_len
-    while not levels[-1].where("tied").isEmpty():
-        last = levels[-1]
-        on = last.select(id_col, (F.col("pos") - span).alias("pos"), F.col("r").alias("on"))
-        paired = last.select(id_col, "pos", "r").join(on, [id_col, "pos"], "left").withColumnRenamed("r", "own")
-        levels.append(scratch.written(_ranked(paired, id_col, "own", F.coalesce("on", F.lit(0))).select(id_col, "pos", "r", "tied"), "suffix-ranks"))
-        span *= 2
-    pair = levels[-1].select(id_col, "pos", (F.col("r") - 1).cast("int").alias("rank"), F.lag("pos").over(Window.partitionBy(id_col).orderBy("r")).alias("before"))
-    # a height: whole spans on which ranks agree, the longest first, then the rest by the keys
-    at = pair.withColumn("height", F.lit(0))
-    for k in range(len(levels) - 1, -1, -1):
-        step = key_len << k
-        ranks = levels[k].select(id_col, "pos", "r")
-        mine = ranks.select(F.col(id_col), F.col("pos").alias("p"), F.col("r").alias("mine"))
-        theirs = ranks.select(F.col(id_col), F.col("pos").alias("q"), F.col("r").alias("theirs"))
-        moved = at.withColumns({"p": F.col("pos") + F.col("height"), "q": F.col("before") + F.col("height")})
-        told = moved.join(mine, [id_col, "p"], "left").join(theirs, [id_col, "q"], "left")
-        # texts end between: ranks then agree on less than a whole span, which the keys settle
-        whole = F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False))
-        at = told.withColumn("height", F.when(whole, F.col("height") + step).otherwise(F.col("height"))).select(id_col, "pos", "rank", "before", "height")
-    keys = levels[0].select(id_col, "pos", "suffix")
-    moved = at.withColumns({"p": F.col("pos") + F.col("height"), "q": F.col("before") + F.col("height")})
-    told = moved.join(keys.select(F.col(id_col), F.col("pos").alias("p"), F.col("suffix").alias("a")), [id_col, "p"], "left").join(keys.select(F.col(id_col), F.col("pos").alias("q"), F.col("suffix").alias("b")), [id_col, "q"], "left")
-    rest = F.coalesce(X.common_prefix_length(F.col("a"), F.col("b")), F.lit(0))
-    return told.select(id_col, "rank", "pos", (F.col("height") + rest).cast("int").alias("height"))
+    """(id, rank, pos, height) per text: rank from 0, height the characters shared with the suffix before.
+
+    Each text is ordered inside its row, without a shuffle, scratch table or join. ``key_len`` has no effect on the result;
+    it is kept for callers of the keyed plan.
+    """
+    base = texts.where(F.length(text_col) > 0).select(id_col, F.col(text_col).alias("__text"))
+    number = lambda name: StructField(name, IntegerType())
+    schema = StructType([base.schema[id_col], number("rank"), number("pos"), number("height")])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, end in codes.groups(batch.column(1)):
+                part = batch.slice(low, end - low)
+                owner, *told = codes.suffix_order(*codes.flat(part.column(1)))
+                for at in range(0, len(owner), codes.ROWS):
+                    own = slice(at, at + codes.ROWS)
+                    columns = [pa.array(x[own].astype("int32")) for x in told]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner[own])), *columns], names=[id_col, "rank", "pos", "height"])
+
+    return base.mapInArrow(order, schema)
 
 
 def prefix_bounds(queries: DataFrame, texts: DataFrame, id_col: str, text_col: str, word_col: str = "word", key_len: int = 64) -> DataFrame:

@@ -228,7 +228,7 @@ _SUFFIXES = """s AS (SELECT p_partkey, p - 1 AS pos, substring(p_name, p) AS suf
 WITH {_SUFFIXES}, r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix) - 1 AS rank, lag(suffix) OVER (PARTITION BY p_partkey ORDER BY suffix) AS b FROM s)
 SELECT p_partkey, rank, pos, coalesce(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: left(suffix, i::INT) = left(b, i::INT))), 0) AS height FROM r""")
 def suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_array(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return suffix.suffix_array(_spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), "p_partkey", "p_name")
 
 
 @query("""
@@ -237,7 +237,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY suffix) - 1 A
 SELECT p_partkey, rank, pos, coalesce(len(list_filter(range(1, least(length(suffix), length(b)) + 1), lambda i: left(suffix, i::INT) = left(b, i::INT))), 0) AS height FROM r""")
 def suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose suffixes agree far beyond a key."""
-    return suffix.suffix_array(table(spark, sf_dir, "part").select("p_partkey", F.repeat("p_name", 6).alias("t")), "p_partkey", "t")
+    return suffix.suffix_array(_spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", F.repeat("p_name", 6).alias("t")), "p_partkey", "t")
 
 
 @query(f"""
