@@ -1,12 +1,14 @@
 """Plans whose driver memory and row counts must not grow with the input."""
 
+import os
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import ngrams
+from lexmill.operators import codes, ngrams, suffix
 
 
 def texts(spark, *items):
@@ -46,3 +48,29 @@ def test_frequent_substrings_walk_equal_texts_once(spark, monkeypatch):
     got = ngrams.frequent_substrings(texts(spark, *["abc"] * 40, "abd"), "doc_id", "text", 40)
     assert {r["word"]: r["cnt"] for r in got.collect()} == {"a": 41, "b": 41, "c": 40, "ab": 41, "bc": 40, "abc": 40}
     assert seen == [2]
+
+
+def test_suffix_array_needs_no_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    held = ["banana", "", None, "é😀\0a" * 20, "".join(rng.choice("ab") for _ in range(500)), "a" * 700]
+    told = plans(monkeypatch, suffix)
+    array = suffix.suffix_array(texts(spark, *held), "doc_id", "text")
+    plan = array._jdf.queryExecution().executedPlan().toString()
+    assert not told and "Exchange" not in plan and "Join" not in plan
+    for d, t in enumerate(held):
+        got = sorted((r["rank"], r["pos"], r["height"]) for r in array.where(F.col("doc_id") == d).collect())
+        order = sorted(range(len(t or "")), key=lambda i: t[i:].encode())
+        heights = [0] + [len(os.path.commonprefix([t[p:], t[q:]])) for p, q in zip(order, order[1:], strict=False)]
+        assert got == list(zip(range(len(order)), order, heights, strict=False))
+
+
+def test_suffix_order_of_groups(monkeypatch):
+    rng = random.Random(6)
+    held = ["".join(rng.choice("abcdé") for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["x" * 300]
+    monkeypatch.setattr(codes, "GROUP", 100)
+    column, seen = pa.array(held), []
+    for low, end in codes.groups(column):
+        assert end == low + 1 or sum(len(t.encode()) for t in held[low:end]) <= 100
+        owner, rank, pos, _ = codes.suffix_order(*codes.flat(column.slice(low, end - low)))
+        seen += zip((owner + low).tolist(), rank.tolist(), pos.tolist(), strict=True)
+    assert seen == [(d, r, p) for d, t in enumerate(held) for r, p in enumerate(sorted(range(len(t)), key=lambda i: t[i:].encode()))]
