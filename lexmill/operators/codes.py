@@ -55,12 +55,12 @@ def strings(codes: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
-def groups(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most GROUP bytes, one row at least."""
+def groups(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes (GROUP where it is None), one row at least."""
     _, at = raw(column)
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + GROUP, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + (most or GROUP), "right")) - 1)
         yield row, end
         row = end
 

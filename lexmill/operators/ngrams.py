@@ -6,11 +6,15 @@ counts as weights, so repeated chunks cost one row each before the shuffle on n-
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill import scratch
 from lexmill.functions import text as X
+from lexmill.operators import codes
 
 #: Characters of a level's words that are broadcast at most.
 FEW_CHARS = 200_000
@@ -40,6 +44,24 @@ def occurrences(rows: DataFrame, text: Column, low: int, high: int, keep: tuple[
     return base.select(*keep, F.explode(F.flatten(places)).alias("_g")).select(*keep, "_g.*")
 
 
+def window_counts(texts: DataFrame, text_col: str, before: int, ahead: int, least: int = 1) -> DataFrame:
+    """(window, at, cnt): distinct windows around the places of whole texts and how often each is there.
+
+    A window reaches from ``before`` characters before a place, ``at`` of which the text has, to ``ahead`` from it on, as far
+    as the text goes; places with fewer than ``least`` characters from them on are left out. Groups of texts are counted as
+    arrays, so only their distinct windows become rows.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, end in codes.groups(batch.column(0), codes.STEP):
+                for window, at, cnt in codes.window_counts(batch.column(0).slice(low, end - low), before, ahead, least):
+                    yield pa.RecordBatch.from_arrays([window, pa.array(at.astype("int32")), pa.array(cnt.astype("int64"))], names=["window", "at", "cnt"])
+
+    own = texts.where(F.length(text_col) >= least).select(text_col).mapInArrow(count, "window string, at int, cnt bigint")
+    return own.groupBy("window", "at").agg(F.sum("cnt").alias("cnt"))
+
+
 def fixed_counts(texts: DataFrame, text_col: str, n: int) -> DataFrame:
     """(word, cnt) of all substrings of n characters of whole texts."""
     return occurrences(texts, F.col(text_col), n, n).groupBy("word").agg(F.count("*").alias("cnt"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as X
-from lexmill.operators.ngrams import occurrences
+from lexmill.operators.ngrams import window_counts
 from lexmill.scratch import written
 
 
@@ -21,11 +21,15 @@ def signals(texts: DataFrame, text_col: str, min_len: int = 2, max_len: int = 2,
 
     Probabilities are shares of all occurrences of all lengths. Cohesion is the least pointwise mutual information over
     the ways to cut a word in two, infinite for one character. Entropies look at ``neighbours`` characters, 0 where no
-    text goes on; texts do not run into each other. Texts are cut once, into counts by word and neighbours, which are
-    written; everything else comes from that table.
+    text goes on; texts do not run into each other. Texts are cut once, into distinct windows that hold a longest word and
+    its neighbours; words are cut from these. Counts by word and neighbours are written; everything else comes from them.
     """
-    found = occurrences(texts, F.col(text_col), 1, max_len, (), neighbours)
-    sides = written(found.groupBy("word", "len", "next", "prev").agg(F.count("*").alias("c")), "phrase-sides")
+    windows_ = window_counts(texts, text_col, neighbours, max_len + neighbours)
+    each = windows_.withColumn("room", F.length("window") - F.col("at")).withColumn("len", F.explode(F.expr(f"sequence(1, least({max_len}, room))")))
+    after = F.expr(f"CASE WHEN len + {neighbours} <= room THEN substring(window, at + len + 1, {neighbours}) END")
+    before = F.expr(f"CASE WHEN at = {neighbours} THEN substring(window, 1, at) END")
+    found = each.select(F.expr("substring(window, at + 1, len)").alias("word"), "len", after.alias("next"), before.alias("prev"), "cnt")
+    sides = written(found.groupBy("word", "len", "next", "prev").agg(F.sum("cnt").alias("c")), "phrase-sides")
     counts = written(sides.groupBy("word", "len").agg(F.sum("c").alias("freq")), "phrase-counts")
     total = counts.agg(F.sum("freq").alias("_all"))
     probs = counts.join(F.broadcast(total)).select("word", "len", "freq", (F.col("freq") / F.col("_all")).alias("prob"), (F.ln("freq") - F.ln("_all")).alias("log_prob"))

@@ -1,14 +1,15 @@
 """Plans whose driver memory and row counts must not grow with the input."""
 
+import math
 import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import codes, ngrams, suffix
+from lexmill.operators import codes, ngrams, phrases, suffix
 
 
 def texts(spark, *items):
@@ -74,3 +75,41 @@ def test_suffix_order_of_groups(monkeypatch):
         owner, rank, pos, _ = codes.suffix_order(*codes.flat(column.slice(low, end - low)))
         seen += zip((owner + low).tolist(), rank.tolist(), pos.tolist(), strict=True)
     assert seen == [(d, r, p) for d, t in enumerate(held) for r, p in enumerate(sorted(range(len(t)), key=lambda i: t[i:].encode()))]
+
+
+def test_signals_cut_texts_into_few_rows(spark, monkeypatch):
+    """Whole texts become rows of distinct windows, not a row for each place and length."""
+    seen, own = [], phrases.window_counts
+    monkeypatch.setattr(phrases, "window_counts", lambda *a: seen.append(own(*a)) or seen[-1])
+    held = ["abcab", "x", "", None, "é😀\0a" * 30] + ["the cat sat on the mat"] * 200
+    for neighbours in (1, 2):
+        told = phrases.signals(texts(spark, *held), "text", 1, 3, neighbours)
+        got = {r["word"]: (r["freq"], r["suffix_entropy"], r["prefix_entropy"]) for r in told.collect()}
+        want, after, before = Counter(), defaultdict(Counter), defaultdict(Counter)
+        for t in filter(None, held):
+            for n in (1, 2, 3):
+                for i in range(len(t) - n + 1):
+                    w = t[i : i + n]
+                    want[w] += 1
+                    if i + n + neighbours <= len(t):
+                        after[w][t[i + n : i + n + neighbours]] += 1
+                    if i >= neighbours:
+                        before[w][t[i - neighbours : i]] += 1
+        entropy = lambda c: -sum(x / c.total() * math.log(x / c.total()) for x in c.values())
+        assert {w: f for w, (f, _, _) in got.items()} == want
+        for w, (_, s, p) in got.items():
+            assert s == pytest.approx(entropy(after[w]), abs=1e-9) and p == pytest.approx(entropy(before[w]), abs=1e-9)
+    assert seen[0].count() < 100 < sum(map(len, filter(None, held)))
+
+
+@pytest.mark.parametrize("step", [13, 1 << 22])
+def test_windows_of_arrays(monkeypatch, step):
+    monkeypatch.setattr(codes, "STEP", step)
+    rng = random.Random(4)
+    held = ["x", "", "é😀\0a" * 7, "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(400))] + ["".join(rng.choice("ab é") for _ in range(rng.randint(0, 30))) for _ in range(50)]
+    for before, ahead, least in ((0, 2, 2), (1, 4, 1), (2, 5, 3), (7, 9, 2)):
+        got = Counter()
+        for window, at, cnt in codes.window_counts(pa.array([None, *held]).slice(1), before, ahead, least):
+            for w, a, c in zip(window.to_pylist(), at.tolist(), cnt.tolist(), strict=True):
+                got[w, a] += c
+        assert got == Counter((t[max(0, i - before) : i + ahead], min(i, before)) for t in held for i in range(len(t) - least + 1))
