@@ -64,7 +64,7 @@ def window_counts(texts: DataFrame, text_col: str, before: int, ahead: int, leas
 
 def fixed_counts(texts: DataFrame, text_col: str, n: int) -> DataFrame:
     """(word, cnt) of all substrings of n characters of whole texts."""
-    return occurrences(texts, F.col(text_col), n, n).groupBy("word").agg(F.count("*").alias("cnt"))
+    return window_counts(texts, text_col, 0, n, n).select(F.col("window").alias("word"), "cnt")
 
 
 def top(counts: DataFrame, k: int = 100) -> DataFrame:

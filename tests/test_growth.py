@@ -113,3 +113,13 @@ def test_windows_of_arrays(monkeypatch, step):
             for w, a, c in zip(window.to_pylist(), at.tolist(), cnt.tolist(), strict=True):
                 got[w, a] += c
         assert got == Counter((t[max(0, i - before) : i + ahead], min(i, before)) for t in held for i in range(len(t) - least + 1))
+
+
+def test_fixed_counts_make_no_row_of_each_place(spark, monkeypatch):
+    seen, own = [], ngrams.window_counts
+    monkeypatch.setattr(ngrams, "window_counts", lambda *a: seen.append(own(*a)) or seen[-1])
+    held = ["", None, "a", "é😀\0a" * 9] + ["banana"] * 300
+    for n in (1, 2, 5):
+        got = {r["word"]: r["cnt"] for r in ngrams.fixed_counts(texts(spark, *held), "text", n).collect()}
+        assert got == Counter(t[i : i + n] for t in held if t for i in range(len(t) - n + 1))
+    assert [w.count() for w in seen] == [6, 7, 6]
