@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from lexmill.operators import codes
 
 #: Characters of a level's words that are broadcast at most.
 FEW_CHARS = 200_000
+#: Words that are sent to tasks at most.
+MANY_WORDS = 200_000
 
 
 def occurrences(rows: DataFrame, text: Column, low: int, high: int, keep: tuple[str, ...] = (), context: int = 0) -> DataFrame:
@@ -177,19 +180,36 @@ def counts_of(queries: DataFrame, model: DataFrame, word_col: str = "word") -> D
 def occurrence_counts(queries: DataFrame, texts: DataFrame, text_col: str, word_col: str = "word", missing: int = 0) -> DataFrame:
     """(word, cnt): occurrences, overlapping ones too, of each distinct query word in whole texts; ``missing`` where none.
 
-    One pass over the texts, whatever the number of lengths: only the lengths that are asked for are cut, and only words
-    that are asked for leave the scan.
+    One pass over the texts, whatever the number of lengths. Up to MANY_WORDS words are sent to the tasks, which look for
+    them in the bytes of whole groups of texts; more words are joined to the substrings of the lengths that are asked for.
     """
     words = queries.select(F.col(word_col).alias("word")).where(F.length(word_col) > 0).distinct()
-    lengths = [r[0] for r in words.select(F.length("word").alias("n")).distinct().orderBy("n").collect()]
-    if not lengths:
+    own = [r[0] for r in words.limit(MANY_WORDS + 1).collect()]
+    if not own:
         return words.withColumn("cnt", F.lit(missing).cast("long"))
+    if len(own) > MANY_WORDS:
+        each = _cut_lengths(texts, text_col, words)
+        hits = each.join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("cnt"))
+    else:
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = codes.Words(own)
+            total = sum((asked.count(batch.column(0)) for batch in batches), np.zeros(len(own), np.int64))
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in found], pa.string()), pa.array(total[found])], names=["word", "cnt"])
+
+        found = texts.where(F.length(text_col) > 0).select(text_col).mapInArrow(count, "word string, cnt bigint")
+        hits = found.groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    return words.join(hits, "word", "left").withColumn("cnt", F.coalesce("cnt", F.lit(missing).cast("long")))
+
+
+def _cut_lengths(texts: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
+    """(word) for each place of the texts and each length that a word has."""
+    lengths = [r[0] for r in words.select(F.length("word").alias("n")).distinct().orderBy("n").collect()]
     base = texts.select(X.chars(F.col(text_col)).alias("__c")).where(F.size("__c") >= lengths[0])
     asked = F.array(*(F.lit(n) for n in lengths))
     cut = lambda p: F.transform(F.filter(asked, lambda n: n <= F.size("__c") - p + 1), lambda n: F.array_join(F.slice("__c", p, n), ""))
-    each = base.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("__c") - lengths[0] + 1), cut))).alias("word"))
-    hits = each.join(words, "word", "left_semi").groupBy("word").agg(F.count("*").alias("cnt"))
-    return words.join(hits, "word", "left").withColumn("cnt", F.coalesce("cnt", F.lit(missing).cast("long")))
+    return base.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("__c") - lengths[0] + 1), cut))).alias("word"))
 
 
 def occurring(queries: DataFrame, texts: DataFrame, text_col: str, word_col: str = "word") -> DataFrame:

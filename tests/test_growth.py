@@ -123,3 +123,28 @@ def test_fixed_counts_make_no_row_of_each_place(spark, monkeypatch):
         got = {r["word"]: r["cnt"] for r in ngrams.fixed_counts(texts(spark, *held), "text", n).collect()}
         assert got == Counter(t[i : i + n] for t in held if t for i in range(len(t) - n + 1))
     assert [w.count() for w in seen] == [6, 7, 6]
+
+
+@pytest.mark.parametrize("many", [200_000, 3])
+def test_asked_words_make_no_row_of_each_place(spark, monkeypatch, many):
+    """Few words are looked for in the texts as they lie; more than MANY_WORDS by a join, with the same counts."""
+    monkeypatch.setattr(ngrams, "MANY_WORDS", many)
+    held = ["", None, "é", "é😀\0a" * 9, "aaaa", "ab" * 30] + ["banana"] * 50
+    asked = ["a", "é", "aa", "an", "ana", "😀\0", "ab" * 29, "ab" * 31, "nab", "ba", "bananab", "", None]
+    words = spark.createDataFrame([(w,) for w in [*asked, "a"]], "word string")
+    told = ngrams.occurrence_counts(words, texts(spark, *held), "text", missing=-1)
+    got = {r["word"]: r["cnt"] for r in told.collect()}
+    want = {w: sum(t.startswith(w, i) for t in held if t for i in range(len(t))) for w in asked if w}
+    assert got == {w: c or -1 for w, c in want.items()}
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert ("Generate" in plan) == (many == 3)
+
+
+@pytest.mark.parametrize("step", [7, 1 << 22])
+def test_words_across_steps(monkeypatch, step):
+    monkeypatch.setattr(codes, "STEP", step)
+    rng = random.Random(8)
+    held = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    asked = ["a", "é", "ab", "bé", "aab", "abéab", "x", "abababab"]
+    want = [sum(t.startswith(w, i) for t in held for i in range(len(t))) for w in asked]
+    assert codes.Words(asked).count(pa.array(["ab", *held]).slice(1)).tolist() == want
