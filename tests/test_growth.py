@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import codes, ngrams, phrases, suffix
+from lexmill.plans import catalog
 
 
 def texts(spark, *items):
@@ -148,3 +149,12 @@ def test_words_across_steps(monkeypatch, step):
     asked = ["a", "é", "ab", "bé", "aab", "abéab", "x", "abababab"]
     want = [sum(t.startswith(w, i) for t in held for i in range(len(t))) for w in asked]
     assert codes.Words(asked).count(pa.array(["ab", *held]).slice(1)).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["phrase_select"])
+def test_phrase_queries_explode_no_places(spark, monkeypatch, name):
+    """Queries on signals explode the lengths of distinct windows, not the characters of the texts."""
+    told, write = [], phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, tag: told.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, tag))
+    catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" in told[0] and "explode(flatten" not in told[0]
