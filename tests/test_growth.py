@@ -151,7 +151,7 @@ def test_words_across_steps(monkeypatch, step):
     assert codes.Words(asked).count(pa.array(["ab", *held]).slice(1)).tolist() == want
 
 
-@pytest.mark.parametrize("name", ["phrase_select"])
+@pytest.mark.parametrize("name", ["phrase_select", "phrase_signals"])
 def test_phrase_queries_explode_no_places(spark, monkeypatch, name):
     """Queries on signals explode the lengths of distinct windows, not the characters of the texts."""
     told, write = [], phrases.written
